@@ -1,4 +1,216 @@
-"""Queries over the driver's tables, by name, with SQL that computes the same where SQL can."""
+"""Queries over the driver's tables, by name, with SQL that computes the same where SQL can.
+
+The tables hold no packets, so a packet trace is derived from events by a fixed mapping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.operators import detectors, flows
+
+HOUR = 3_600_000_000
+
+
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet rows from events; addresses are 32-bit numbers."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tcp = F.col("event_type").isin("click", "view", "signup")
+    k = F.get_json_object("props", "$.k").cast("int")
+    client, server = F.struct((F.lit(167772161) + F.col("user_id")).alias("ip"), (40000 + F.col("user_id") % 1000).alias("port")), F.struct(
+        (F.lit(3232235521) + k % 4).alias("ip"), F.when(tcp, 443).otherwise(53).cast("long").alias("port")
+    )
+    rows = e.select(
+        (F.col("event_id") + 1).alias("frame_no"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.when(tcp, "tcp").otherwise("udp").alias("protocol"),
+        client.alias("c"), server.alias("s"), (F.col("event_id") % 2 == 0).alias("fwd"), (F.col("event_type") == "signup").alias("syn"),
+        (54 + (F.col("value") * 10).cast("long")).alias("wire_len"), k.alias("k"), F.col("user_id"),
+    )
+    pick = lambda a, b, f: F.when(F.col("fwd"), F.col(f"{a}.{f}")).otherwise(F.col(f"{b}.{f}"))
+    return rows.select(
+        "frame_no", "ts_us", "protocol", pick("c", "s", "ip").alias("src_ip"), pick("c", "s", "port").alias("src_port"), pick("s", "c", "ip").alias("dst_ip"),
+        pick("s", "c", "port").alias("dst_port"), "syn", F.lit(False).alias("ack"), "wire_len", "k", "user_id",
+    )
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.with_key(flows.eligible(trace(spark, sf_dir)))
+
+
+_TRACE = """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type IN ('click', 'view', 'signup') AS tcp FROM events),
+r AS (SELECT event_id + 1 AS frame_no, epoch_us(ts) AS ts_us, CASE WHEN tcp THEN 'tcp' ELSE 'udp' END AS protocol,
+      167772161 + user_id AS c_ip, 40000 + user_id % 1000 AS c_port, 3232235521 + k % 4 AS s_ip, CASE WHEN tcp THEN 443 ELSE 53 END::BIGINT AS s_port,
+      event_id % 2 = 0 AS fwd, event_type = 'signup' AS syn, 54 + CAST(trunc(value * 10) AS BIGINT) AS wire_len, k, user_id FROM e),
+t AS (SELECT frame_no, ts_us, protocol, CASE WHEN fwd THEN c_ip ELSE s_ip END AS src_ip, CASE WHEN fwd THEN c_port ELSE s_port END AS src_port,
+      CASE WHEN fwd THEN s_ip ELSE c_ip END AS dst_ip, CASE WHEN fwd THEN s_port ELSE c_port END AS dst_port, syn, FALSE AS ack, wire_len, k, user_id FROM r),
+p AS (SELECT *, src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) AS a_to_b, least(src_ip, dst_ip) AS a_ip,
+      CASE WHEN src_ip < dst_ip THEN src_port WHEN src_ip > dst_ip THEN dst_port ELSE least(src_port, dst_port) END AS a_port, greatest(src_ip, dst_ip) AS b_ip,
+      CASE WHEN src_ip < dst_ip THEN dst_port WHEN src_ip > dst_ip THEN src_port ELSE greatest(src_port, dst_port) END AS b_port FROM t)"""
+_K = "protocol, a_ip, a_port, b_ip, b_port"
+_AGG = """min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) FILTER (a_to_b) AS packets_a_to_b, count(*) FILTER (NOT a_to_b) AS packets_b_to_a,
+ sum(CASE WHEN a_to_b THEN wire_len ELSE 0 END)::BIGINT AS bytes_a_to_b, sum(CASE WHEN a_to_b THEN 0 ELSE wire_len END)::BIGINT AS bytes_b_to_a,
+ count(*) AS packets_total, sum(wire_len)::BIGINT AS bytes_total"""
+_FRAME = "frame_no, ts_us, protocol, src_ip, src_port, dst_ip, dst_port, wire_len"
+_LIVES = """, w AS (SELECT frame_no, max(ts_us) OVER (ORDER BY frame_no) AS m FROM t),
+up AS (SELECT m, min(frame_no) AS frame_no FROM w GROUP BY m)"""
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(f"{_TRACE} SELECT {_FRAME} FROM t")
+def trace_scan(spark, sf_dir):
+    return trace(spark, sf_dir).select(*_FRAME.split(", "))
+
+
+@query(f"{_TRACE} SELECT {_FRAME} FROM t ORDER BY frame_no LIMIT 500")
+def trace_limit(spark, sf_dir):
+    return flows.limited(trace(spark, sf_dir), 500).select(*_FRAME.split(", "))
+
+
+@query(f"{_TRACE} SELECT {_FRAME} FROM t WHERE frame_no % 7 = 0")
+def trace_sample(spark, sf_dir):
+    return flows.sampled(trace(spark, sf_dir), 7).select(*_FRAME.split(", "))
+
+
+@query(f"{_TRACE} SELECT {_FRAME} FROM t WHERE protocol = 'udp' AND (src_port = 53 OR dst_port = 53)")
+def trace_filter_port(spark, sf_dir):
+    from tracelake.functions.bpf import compile_filter
+
+    return trace(spark, sf_dir).filter(compile_filter("udp port 53")).select(*_FRAME.split(", "))
+
+
+@query(f"{_TRACE} SELECT {_FRAME} FROM t WHERE (src_ip = 3232235522 OR dst_ip = 3232235522) AND NOT (protocol = 'tcp' AND dst_port BETWEEN 400 AND 500) AND wire_len >= 100")
+def trace_filter_host(spark, sf_dir):
+    from tracelake.functions.bpf import compile_filter
+
+    return trace(spark, sf_dir).filter(compile_filter("host 192.168.0.2 and not (tcp dst portrange 400-500) and greater 100")).select(*_FRAME.split(", "))
+
+
+@query(f"{_TRACE} SELECT count(*) AS frames_read, sum(wire_len)::BIGINT AS wire_bytes, count(*) FILTER (protocol = 'tcp') AS tcp, count(*) FILTER (protocol = 'udp') AS udp, max(ts_us) AS watermark_us FROM t")
+def accounting(spark, sf_dir):
+    p = F.col("protocol")
+    return trace(spark, sf_dir).agg(F.count("*").alias("frames_read"), F.sum("wire_len").alias("wire_bytes"), F.count_if(p == "tcp").alias("tcp"), F.count_if(p == "udp").alias("udp"), F.max("ts_us").alias("watermark_us"))
+
+
+@query(f"{_TRACE} SELECT {_K}, {_AGG} FROM p GROUP BY {_K}")
+def flow_aggregate(spark, sf_dir):
+    return flows.aggregate(_keyed(spark, sf_dir)).drop("duration_secs", "avg_bps")
+
+
+@query(f"{_TRACE}, f AS (SELECT {_K}, {_AGG} FROM p GROUP BY {_K}) SELECT {_K}, round(CASE WHEN last_us > first_us THEN bytes_total * 8 / ((last_us - first_us) / 1e6) ELSE 0 END, 6) AS avg_bps FROM f")
+def flow_avg_bps(spark, sf_dir):
+    return flows.aggregate(_keyed(spark, sf_dir)).select(*flows.KEY, F.round("avg_bps", 6).alias("avg_bps"))
+
+
+@query(f"{_TRACE} SELECT {_K}, {_AGG} FROM p GROUP BY {_K} ORDER BY bytes_total DESC, {_K} LIMIT 10")
+def flow_top_n(spark, sf_dir):
+    return flows.top_n(flows.aggregate(_keyed(spark, sf_dir)), 10).drop("duration_secs", "avg_bps")
+
+
+@query(f"{_TRACE}{_LIVES}".replace("WITH e AS", "WITH RECURSIVE e AS") + """,
+s(frame_no, sweep_us) AS (SELECT * FROM (SELECT frame_no, m FROM up ORDER BY m LIMIT 1)
+ UNION ALL SELECT n.frame_no, n.m FROM s, LATERAL (SELECT frame_no, m FROM up WHERE m >= s.sweep_us + 1000000 ORDER BY m LIMIT 1) n)
+SELECT frame_no, sweep_us FROM s""")
+def sweeps(spark, sf_dir):
+    return flows.sweeps(flows.with_watermark(trace(spark, sf_dir)))
+
+
+def _lives(spark, sf_dir, timeout_us):
+    from tracelake.sources.tables import cut
+
+    packets = trace(spark, sf_dir)
+    swept = cut(flows.sweeps(flows.with_watermark(packets)), "sweeps")
+    return flows.lives(flows.with_key(flows.eligible(packets)), swept, timeout_us)
+
+
+def _lives_sql(tail: str) -> str:
+    return SQL["sweeps"].rpartition("SELECT frame_no, sweep_us")[0] + f""",
+x AS (SELECT p.*, s.sweep_us AS swept FROM p ASOF LEFT JOIN s ON p.frame_no > s.frame_no),
+y AS (SELECT *, coalesce((swept - lag(ts_us) OVER k > {6 * HOUR})::BIGINT, 0) AS sp FROM x WINDOW k AS (PARTITION BY {_K} ORDER BY frame_no)),
+z AS (SELECT *, sum(sp) OVER (PARTITION BY {_K} ORDER BY frame_no)::BIGINT AS instance FROM y),
+f AS (SELECT {_K}, instance, {_AGG} FROM z GROUP BY {_K}, instance),
+l AS (SELECT f.*, (SELECT min(sweep_us) FROM s WHERE sweep_us > f.last_us + {6 * HOUR}) AS expired_us FROM f) {tail}"""
+
+
+@query(_lives_sql(f"SELECT {_K}, instance, first_us, last_us, packets_total, bytes_total, expired_us FROM l WHERE expired_us IS NOT NULL"))
+def expired_flows(spark, sf_dir):
+    return _lives(spark, sf_dir, 6 * HOUR).filter("expired_us is not null").select(*flows.KEY, "instance", "first_us", "last_us", "packets_total", "bytes_total", "expired_us")
+
+
+@query(_lives_sql(f"SELECT {_K}, instance, first_us, last_us, packets_total, bytes_total FROM l WHERE expired_us IS NULL"))
+def retained_flows(spark, sf_dir):
+    return _lives(spark, sf_dir, 6 * HOUR).filter("expired_us is null").select(*flows.KEY, "instance", "first_us", "last_us", "packets_total", "bytes_total")
+
+
+@query(f"{_TRACE} SELECT ts_us // {HOUR} AS tick, sum(wire_len)::BIGINT AS bytes, count(*) AS packets, count(DISTINCT ({_K})) AS active_flows, round(sum(wire_len) * 8 / 3600.0 / 1e6, 9) AS mbps, round(count(*) / 3600.0, 9) AS pps FROM p GROUP BY 1")
+def ticks(spark, sf_dir):
+    return flows.ticks(_keyed(spark, sf_dir), HOUR).withColumns({c: F.round(c, 9) for c in ("mbps", "pps")})
+
+
+@query(f"""{_TRACE}, g AS (SELECT ts_us // {24 * HOUR} AS tick, {_K}, sum(wire_len)::BIGINT AS delta_bytes FROM p GROUP BY 1, {_K}),
+q AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY delta_bytes DESC, {_K}) AS rank FROM g) SELECT * FROM q WHERE rank <= 5""")
+def tick_top_flows(spark, sf_dir):
+    return flows.tick_top_flows(_keyed(spark, sf_dir), 24 * HOUR, 5)
+
+
+@query(f"{_TRACE}, n AS (SELECT *, 'host' || (k % 5)::VARCHAR || '.example.test' AS sni FROM p WHERE protocol = 'tcp' AND k % 3 = 0) SELECT {_K}, arg_min(sni, frame_no) AS sni FROM n GROUP BY {_K}")
+def flow_first_sni(spark, sf_dir):
+    sni = F.when((F.col("protocol") == "tcp") & (F.col("k") % 3 == 0), F.concat(F.lit("host"), (F.col("k") % 5).cast("string"), F.lit(".example.test")))
+    return flows.first_name(_keyed(spark, sf_dir).withColumn("sni", sni), "sni")
+
+
+
+
+@query(f"""{_TRACE}, m AS (SELECT *, max(ts_us) OVER (ORDER BY frame_no) AS m FROM t), c AS (SELECT frame_no, dst_ip, dst_port, count(*) OVER w AS n, len(list_distinct(list(src_ip) OVER w))::BIGINT AS n_sources
+FROM m WHERE syn AND NOT ack WINDOW w AS (PARTITION BY dst_ip, dst_port ORDER BY m RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)) SELECT * FROM c WHERE n >= 4 AND n_sources >= 2""")
+def syn_flood_candidates(spark, sf_dir):
+    return detectors.syn_candidates(flows.with_watermark(trace(spark, sf_dir)), 6 * HOUR, 4, 2).select("frame_no", "dst_ip", "dst_port", "n", "n_sources")
+
+
+@query(f"""{_TRACE}, m AS (SELECT *, max(ts_us) OVER (ORDER BY frame_no) AS m FROM t), c AS (SELECT frame_no, src_ip, len(list_distinct(list(dst_port) OVER w))::BIGINT AS n_ports, len(list_distinct(list(dst_ip) OVER w))::BIGINT AS n_hosts
+FROM m WHERE protocol = 'udp' OR syn WINDOW w AS (PARTITION BY src_ip ORDER BY m RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)) SELECT * FROM c WHERE n_ports >= 5 OR n_hosts >= 6""")
+def port_scan_candidates(spark, sf_dir):
+    return detectors.scan_candidates(flows.with_watermark(trace(spark, sf_dir)), 6 * HOUR, 5, 6).select("frame_no", "src_ip", "n_ports", "n_hosts")
+
+
+@query()
+def syn_flood_alerts(spark, sf_dir):
+    return detectors.syn_flood_alerts(flows.with_watermark(trace(spark, sf_dir)), 6 * HOUR, 4, 2, 12 * HOUR)
+
+
+@query()
+def port_scan_alerts(spark, sf_dir):
+    return detectors.port_scan_alerts(flows.with_watermark(trace(spark, sf_dir)), 6 * HOUR, 5, 6, 12 * HOUR)
+
+
+def _messages(spark, sf_dir):
+    """Queries, and a response to each whose number isn't divisible by 4, some late."""
+    asked = _keyed(spark, sf_dir).filter("protocol = 'udp'").withColumns({"dns_id": F.col("frame_no") % 65536, "question": F.concat(F.lit("q"), F.col("k").cast("string")), "response": F.lit(False), "rcode": F.lit(0).cast("long")})
+    told = asked.filter("frame_no % 4 != 0").withColumns(
+        {"ts_us": F.col("ts_us") + (F.col("frame_no") % 8) * 1_000_000, "frame_no": F.col("frame_no") + 10_000_000_000, "a_to_b": ~F.col("a_to_b"), "response": F.lit(True), "rcode": F.col("k").cast("long") % 4}
+    )
+    return asked.unionByName(told)
+
+
+@query(f"""{_TRACE} SELECT {_K}, frame_no % 65536 AS dns_id, 'q' || k::VARCHAR AS question, frame_no AS query_no, ts_us AS query_us, frame_no + 10000000000 AS response_no,
+ts_us + (frame_no % 8) * 1000000 AS response_us, k::BIGINT % 4 AS rcode, (frame_no % 8) * 1000000 AS latency_us FROM p WHERE protocol = 'udp' AND frame_no % 4 <> 0 AND frame_no % 8 <= 5""")
+def dns_transactions(spark, sf_dir):
+    return flows.dns_transactions(_messages(spark, sf_dir))
+
+
+@query("""SELECT l_orderkey, count(*) AS packets, sum(54 + CAST(trunc(l_quantity) AS BIGINT) * 10)::BIGINT AS bytes, min(epoch_us(l_shipdate)) AS first_us, max(epoch_us(l_shipdate)) AS last_us
+FROM lineitem GROUP BY l_orderkey""")
+def lineitem_flow_volume(spark, sf_dir):
+    t = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    size = 54 + F.col("l_quantity").cast("long") * 10
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("packets"), F.sum(size).alias("bytes"), F.min(t).alias("first_us"), F.max(t).alias("last_us"))
