@@ -90,7 +90,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
     names = {"n_bytes", "n_tokens", "over_limit"}
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    at = docs.columns.index(text)
+    columns = docs.columns
+    at = columns.index(text)
 
     def run(batches):
         counter = Counter(vocabulary)
@@ -100,7 +101,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
                 n = counter.count(buf, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)],
-                    names=[*docs.columns, "n_bytes", "n_tokens", "over_limit"],
+                    names=[*columns, "n_bytes", "n_tokens", "over_limit"],
                 )
 
     return docs.mapInArrow(run, schema)
