@@ -13,11 +13,13 @@ With 32 bands of 4 coordinates a pair at 0.8 shares no band with a probability o
 2. The members of a bucket (band, value) form a group with the bucket's least class as centre.
 3. Groups of up to GROUP classes are resolved in one task: every pair that is not yet connected is
    checked on full sets. Larger groups are salted: each part checks its members against the centre.
-4. In a large group, a member not linked to the centre can still have a link to another member. Each
-   member is known by its difference from the centre: extra and missing shingles. A link needs so many
-   common extra shingles that, ordered by rarity, short prefixes of both must meet; that join gives
-   the candidates, and the differences give their exact intersections.
-5. Links become components by least-label propagation with pointer jumping.
+4. Links become components by least-label propagation with pointer jumping.
+5. In a large group, a member that is not in its centre's component can still have a link to another
+   member. Groups whose centres share a component become one, around the least class of it. Each
+   member is known by its difference from that centre: extra and missing shingles. A link needs so
+   many common extra shingles that, ordered by rarity, short prefixes of both must meet; that join,
+   for members of different components, gives the candidates, and the differences give their exact
+   intersections.
 
 No step holds all pairs of a group, and no link between different sets that share a bucket is left out.
 
@@ -142,13 +144,14 @@ def _resolve(members: list[int], sets: list[np.ndarray], percent: int) -> list[t
     return out
 
 
-def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int = PERCENT) -> DataFrame:
-    """groups: c, x, size (members besides the centre). Links (kind 0: c, x) and, for the members of
-    large groups, their differences from the centre (kind 1)."""
+def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int = PERCENT, differences: bool = False) -> DataFrame:
+    """groups: c, x, size (members besides the centre). Links (kind 0: c, x) that connect small groups, and
+    those of the members of large ones to the centre; or the members' differences from it (kind 1)."""
     parts = F.ceil(F.col("size") / group).cast("int")
     members = groups.select("c", "size", F.col("x").alias("node"), F.when(F.col("size") > group, F.pmod(F.xxhash64("x"), parts)).otherwise(0).cast("int").alias("part"), F.lit(False).alias("centre"))
     centres = groups.groupBy("c").agg(F.max("size").alias("size")).select("c", "size", F.col("c").alias("node"), F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("part"), F.lit(True).alias("centre"))
-    texts = members.unionByName(centres).join(docs, F.col("node") == F.col("doc")).select("c", "part", "size", "centre", "node", "text")
+    # A merge join at every size: a broadcast where few members are left would not do on a larger corpus.
+    texts = members.unionByName(centres).hint("merge").join(docs, F.col("node") == F.col("doc")).select("c", "part", "size", "centre", "node", "text")
     spread = texts.repartition("c", "part").sortWithinPartitions("c", "part", F.desc("centre"), "node")
 
     def settle(rows: list[tuple], texts: list[bytes]):
@@ -160,15 +163,17 @@ def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int
             while j < len(rows) and rows[j][:2] == rows[i][:2]:
                 j += 1
             c, size = rows[i][0], rows[i][2]
-            if size <= group:
+            if size <= group and not differences:
                 yield from ((0, a, b, 0, 0, True, None, None) for a, b in _resolve([r[4] for r in rows[i:j]], sets[i:j], percent) if a != b)
             elif rows[i][3]:
                 for k in range(i + 1, j):
                     if rows[k][3] or rows[k][4] == c:
                         continue
                     link = linked(sets[i], sets[k], percent)
-                    if link:
-                        yield 0, c, rows[k][4], 0, 0, True, None, None
+                    if not differences:
+                        if link:
+                            yield 0, c, rows[k][4], 0, 0, True, None, None
+                        continue
                     extra, missing = (as_long(np.setdiff1d(*pair, assume_unique=True)).tolist() for pair in ((sets[k], sets[i]), (sets[i], sets[k])))
                     yield 1, c, rows[k][4], len(sets[k]), len(sets[i]), link, extra, missing
             i = j
@@ -199,23 +204,25 @@ def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int
 
 
 def inner_links(diffs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of large groups of which one at least is not linked to the centre."""
+    """Links (a, b) between members of large groups that are in different components. diffs: with component."""
     p = percent
+    linked_ = F.col("component") == F.col("c")
+    diffs = diffs.withColumn("linked", linked_)
     own = F.col("n") - F.size("extra")  # shared with the centre
     lows = diffs.groupBy("c").agg(F.min("n").alias("low"))
     # A link of sizes n, m needs (100 + p) * common >= p * (n + m); m is at least ...
     least = F.greatest(F.col("low"), F.ceil(p * F.col("n") / 100))
-    known = diffs.join(lows, "c").select("c", "x", "n", "linked", own.alias("own"), F.size("extra").alias("k"), (F.ceil(p * (F.col("n") + least) / (100 + p)) - own).alias("need"), "extra")
-    tokens = known.select("c", "x", "n", "linked", "own", "k", "need", F.explode("extra").alias("t"))
+    known = diffs.join(lows, "c").select("c", "x", "n", "linked", "component", own.alias("own"), F.size("extra").alias("k"), (F.ceil(p * (F.col("n") + least) / (100 + p)) - own).alias("need"), "extra")
+    tokens = known.select("c", "x", "n", "linked", "component", "own", "k", "need", F.explode("extra").alias("t"))
     rarity = tokens.groupBy("c", "t").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("c", "x").orderBy("df", "t"))
     prefix = tokens.join(rarity, ["c", "t"]).withColumn("place", place).filter((F.col("place") <= F.col("k") - F.greatest("need", F.lit(1)) + 1) & (F.col("df") > 1))
-    mine = ["n", "linked", "own"]
+    mine = ["n", "linked", "own", "component"]
 
     def side(df: DataFrame, mark: str, *keys: str) -> DataFrame:
         return df.select("c", *keys, F.col("x").alias("x" + mark), *(F.col(m).alias(m + mark) for m in mine))
 
-    once = (F.col("x1") != F.col("x2")) & (F.col("linked2") | (F.col("x1") < F.col("x2")))
+    once = (F.col("component1") != F.col("component2")) & (F.col("linked2") | (F.col("x1") < F.col("x2")))
     sizes = (100 * F.col("n1") >= p * F.col("n2")) & (100 * F.col("n2") >= p * F.col("n1"))
     meet = side(prefix.filter("not linked"), "1", "t").join(side(prefix, "2", "t"), ["c", "t"]).filter(once & sizes)
     # Members so close to the threshold that a smaller one may be linked without a common extra shingle.
@@ -257,12 +264,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", gr
     pairs = cut(members.join(buckets, "key").filter("x != c").select("c", "x").distinct(), "pairs")
     groups = pairs.join(pairs.groupBy("c").agg(F.count("*").alias("size")), "c")
     texts = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    found = cut(verify(groups, texts, group, percent), "links")
-    links = found.filter("kind = 0").select(F.col("c").alias("a"), F.col("x").alias("b"))
-    diffs = found.filter("kind = 1").drop("kind")
-    if diffs.filter(~F.col("linked")).limit(1).count():
-        links = links.union(inner_links(diffs, percent))
+    groups = cut(groups, "groups")
+    links = cut(verify(groups, texts, group, percent).select(F.col("c").alias("a"), F.col("x").alias("b")), "links")
     labels = components(links)
+    large = groups.filter(F.col("size") > group).select("c", "x")
+    for end in ("c", "x"):
+        of = labels.select(F.col("node").alias(end), F.col("label").alias("l" + end))
+        large = large.join(of, end, "left").withColumn("l" + end, F.coalesce("l" + end, end))
+    # A centre has been checked against all its members, so a group whose members are in one component is done.
+    several = large.groupBy("c").agg(F.min("lx").alias("lo"), F.max("lx").alias("hi")).filter("lo != hi").select("c")
+    large = large.join(several, "c")
+    merged = cut(large.select(F.col("lc").alias("c"), "x", F.col("lx").alias("component")).filter("c != x").distinct(), "merged")
+    sizes = merged.groupBy("c").agg(F.count("*").alias("size"), F.count_if(F.col("component") != F.col("c")).alias("apart")).filter("apart > 0")
+    if sizes.limit(1).count():
+        around = merged.join(sizes.drop("apart"), "c")
+        differences = verify(around.drop("component"), texts, group, percent, differences=True).join(merged, ["c", "x"])
+        inner = inner_links(cut(differences.drop("kind", "linked"), "differences"), percent)
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(inner))
     named = signed.join(classes.drop("bands"), ["n", "k1", "k2"], "left").join(labels, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "rep", "doc"))
     out = named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
