@@ -7,7 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import detectors, flows
+from tracelake.functions.decode import decode
+from tracelake.functions.encode import encode
+from tracelake.operators import accounting as run_accounting
+from tracelake.operators import detectors, flows, tcp
 
 HOUR = 3_600_000_000
 
@@ -214,3 +217,47 @@ def lineitem_flow_volume(spark, sf_dir):
     t = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     size = 54 + F.col("l_quantity").cast("long") * 10
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("packets"), F.sum(size).alias("bytes"), F.min(t).alias("first_us"), F.max(t).alias("last_us"))
+
+
+def _captured(spark, sf_dir):
+    """The trace as bytes: sequence numbers grow with the frame number, all TCP packets but SYNs acknowledge nothing new."""
+    acked = (F.col("protocol") == "tcp") & ~F.col("syn")
+    return encode(trace(spark, sf_dir).withColumns({"ack": acked, "seq": F.col("frame_no") * 100 % 4294967296, "ack_no": F.lit(0).cast("long")}))
+
+
+def _decoded(spark, sf_dir, *fields):
+    """The trace from its bytes, addresses as 32-bit numbers again."""
+    frames = _captured(spark, sf_dir).select("frame_no", "ts_us", "wire_len", "link_type", "raw")
+    rows = decode(frames, "protocol", "src_ip", "dst_ip", "src_port", "dst_port", *fields)
+    return rows.withColumns({c: F.conv(F.hex(c), 16, 10).cast("long") for c in ("src_ip", "dst_ip")})
+
+
+@query(f"{_TRACE} SELECT {_FRAME}, coalesce(syn, FALSE) AS syn, protocol = 'tcp' AND NOT syn AS ack, CASE WHEN protocol = 'tcp' THEN frame_no * 100 % 4294967296 END AS seq, TRUE AS checksum_ok FROM t")
+def decoded_frames(spark, sf_dir):
+    return _decoded(spark, sf_dir, "syn", "ack", "seq", "checksum_ok").select(*_FRAME.split(", "), "syn", "ack", "seq", "checksum_ok")
+
+
+@query(f"{_TRACE} SELECT {_K}, {_AGG} FROM p GROUP BY {_K}")
+def decoded_flow_aggregate(spark, sf_dir):
+    return flows.aggregate(flows.with_key(flows.eligible(_decoded(spark, sf_dir)))).drop("duration_secs", "avg_bps")
+
+
+@query(f"""{_TRACE}, x AS (SELECT ts_us, wire_len, frame_no % 11 = 0 AS bad, frame_no % 11 <> 0 AND frame_no % 13 = 0 AS odd, frame_no % 11 <> 0 AND frame_no % 13 <> 0 AND frame_no % 17 = 0 AS half FROM t)
+SELECT count(*) AS frames_read, sum(wire_len)::BIGINT AS wire_bytes, count(*) FILTER (NOT bad) AS parsed, count(*) FILTER (NOT bad AND NOT odd) AS with_network,
+ count(*) FILTER (NOT bad AND NOT odd AND NOT half) AS with_transport, count(*) FILTER (bad) AS parse_errors, count(*) FILTER (half) AS transport_errors,
+ count(*) FILTER (odd) AS unsupported, count(*) FILTER (bad OR odd OR half) AS malformed_or_unsupported, max(ts_us) AS watermark_us FROM x""")
+def decoded_accounting(spark, sf_dir):
+    """Some frames end in the Ethernet header, some have another Ethernet type, some end in the ports."""
+    n, raw = F.col("frame_no"), F.col("raw")
+    spoilt = F.when(n % 11 == 0, F.substring(raw, 1, 10)).when(n % 13 == 0, F.concat(F.substring(raw, 1, 12), F.unhex(F.lit("88B5")), F.substring(raw, 15, 28))).when(n % 17 == 0, F.substring(raw, 1, 37)).otherwise(raw)
+    frames = _captured(spark, sf_dir).select("ts_us", "wire_len", "link_type", spoilt.alias("raw"))
+    return run_accounting.account(decode(frames, "parse_error", "transport_error", "unsupported", "ip_version", "protocol"))
+
+
+@query(f"""{_TRACE}, g AS (SELECT *, frame_no * 100 + least(wire_len, 65549) - 54 + syn::INT AS e, least(wire_len, 65549) - 54 + syn::INT > 0 AS l FROM p WHERE protocol = 'tcp'),
+h AS (SELECT *, coalesce(l AND e <= max(e) FILTER (l) OVER (PARTITION BY {_K}, a_to_b ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS o FROM g)
+SELECT {_K}, CASE WHEN arg_max(syn, frame_no) THEN 'syn_sent' ELSE 'established' END AS tcp_state, arg_min(CASE WHEN a_to_b THEN 'a_to_b' ELSE 'b_to_a' END, frame_no) FILTER (syn) AS client,
+ count(*) FILTER (o) AS out_of_order FROM h GROUP BY {_K}""")
+def tcp_flow_states(spark, sf_dir):
+    packets = flows.with_key(flows.eligible(_decoded(spark, sf_dir, "syn", "ack", "fin", "rst", "seq", "ack_no", "seq_len")))
+    return tcp.tcp_flows(packets).select(*flows.KEY, "tcp_state", "client", "out_of_order")
