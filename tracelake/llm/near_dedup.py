@@ -17,9 +17,10 @@ With 32 bands of 4 coordinates a pair at 0.8 shares no band with a probability o
 5. In a large group, a member that is not in its centre's component can still have a link to another
    member. Groups whose centres share a component become one, around the least class of it. Each
    member is known by its difference from that centre: extra and missing shingles. A link needs so
-   many common extra shingles that, ordered by rarity, short prefixes of both must meet; that join,
-   for members of different components, gives the candidates, and the differences give their exact
-   intersections.
+   many common extra shingles that, in the order of their hashes, prefixes of both must meet. That
+   join, for members of different components, gives the candidates; its condition also has the bound
+   from the shingles' places and one from parity bitmaps of the differences, whose Hamming distance
+   never exceeds that of the sets. The differences give the exact intersections.
 
 No step holds all pairs of a group, and no link between different sets that share a bucket is left out.
 
@@ -29,6 +30,9 @@ component; such rows are kept. Rows that repeat a doc_id are each returned. Empt
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +49,8 @@ GROUP = 64
 PERCENT = 80
 #: Bytes of text of whole groups that are verified together.
 VERIFY_BYTES = 4 << 20
+#: Longs of a parity bitmap.
+SIGN = 4
 
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _NONE = np.uint64(2**64 - 1)
@@ -104,6 +110,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def parity(items: np.ndarray) -> list[int]:
+    """SIGN longs; a bit is set if an odd number of items falls on it. Where two bitmaps differ, there is
+    an item that only one of the sets has."""
+    bits = np.bincount((items % np.uint64(64 * SIGN)).astype(np.int64), minlength=64 * SIGN).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def signatures(docs: DataFrame, text: str, doc: str) -> DataFrame:
     """doc, n (set size), k1 and k2 (128 bits that name the set), bands."""
 
@@ -121,7 +134,7 @@ def signatures(docs: DataFrame, text: str, doc: str) -> DataFrame:
     return docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, "doc long, n long, k1 long, k2 long, bands array<long>")
 
 
-OUT = "kind int, c long, x long, n long, nc long, linked boolean, extra array<long>, missing array<long>"
+OUT = "kind int, c long, x long, n long, nc long, linked boolean, extra array<long>, missing array<long>, sign array<long>"
 
 
 def _resolve(members: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -164,7 +177,7 @@ def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int
                 j += 1
             c, size = rows[i][0], rows[i][2]
             if size <= group and not differences:
-                yield from ((0, a, b, 0, 0, True, None, None) for a, b in _resolve([r[4] for r in rows[i:j]], sets[i:j], percent) if a != b)
+                yield from ((0, a, b, 0, 0, True, None, None, None) for a, b in _resolve([r[4] for r in rows[i:j]], sets[i:j], percent) if a != b)
             elif rows[i][3]:
                 for k in range(i + 1, j):
                     if rows[k][3] or rows[k][4] == c:
@@ -172,20 +185,21 @@ def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int
                     link = linked(sets[i], sets[k], percent)
                     if not differences:
                         if link:
-                            yield 0, c, rows[k][4], 0, 0, True, None, None
+                            yield 0, c, rows[k][4], 0, 0, True, None, None, None
                         continue
-                    extra, missing = (as_long(np.setdiff1d(*pair, assume_unique=True)).tolist() for pair in ((sets[k], sets[i]), (sets[i], sets[k])))
-                    yield 1, c, rows[k][4], len(sets[k]), len(sets[i]), link, extra, missing
+                    extra, missing = (np.setdiff1d(*pair, assume_unique=True) for pair in ((sets[k], sets[i]), (sets[i], sets[k])))
+                    sign = parity(np.concatenate([extra, missing]))
+                    yield 1, c, rows[k][4], len(sets[k]), len(sets[i]), link, as_long(extra).tolist(), as_long(missing).tolist(), sign
             i = j
 
     def run(batches):
         rows, texts, size = [], [], 0
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["kind", "c", "x", "n", "nc", "linked", "extra", "missing"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 3]
+        names = ["kind", "c", "x", "n", "nc", "linked", "extra", "missing", "sign"]
 
         def flush():
             found = list(settle(rows, texts))
-            return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*found) if found else [[]] * 8, types)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*found) if found else [[]] * 9, types)], names=names)
 
         for batch in batches:
             raw, offsets = text_buffer(batch.column(5))
@@ -212,22 +226,30 @@ def inner_links(diffs: DataFrame, percent: int) -> DataFrame:
     lows = diffs.groupBy("c").agg(F.min("n").alias("low"))
     # A link of sizes n, m needs (100 + p) * common >= p * (n + m); m is at least ...
     least = F.greatest(F.col("low"), F.ceil(p * F.col("n") / 100))
-    known = diffs.join(lows, "c").select("c", "x", "n", "linked", "component", own.alias("own"), F.size("extra").alias("k"), (F.ceil(p * (F.col("n") + least) / (100 + p)) - own).alias("need"), "extra")
-    tokens = known.select("c", "x", "n", "linked", "component", "own", "k", "need", F.explode("extra").alias("t"))
-    rarity = tokens.groupBy("c", "t").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("c", "x").orderBy("df", "t"))
-    prefix = tokens.join(rarity, ["c", "t"]).withColumn("place", place).filter((F.col("place") <= F.col("k") - F.greatest("need", F.lit(1)) + 1) & (F.col("df") > 1))
-    mine = ["n", "linked", "own", "component"]
+    need = F.ceil(p * (F.col("n") + least) / (100 + p)) - own
+    known = diffs.join(lows, "c").select("c", "x", "n", "linked", "component", own.alias("own"), F.size("extra").alias("k"), need.alias("need"), "extra", "sign")
+    # Extra shingles are sorted by hash, the same order for all members.
+    front = F.slice("extra", 1, F.greatest(F.col("k") - F.greatest("need", F.lit(1)) + 1, F.lit(0)).cast("int"))
+    prefix = cut(known.select("*", F.posexplode(front).alias("place", "t")).drop("extra"), "prefixes")
+    mine = ["n", "linked", "own", "component", "sign"]
 
-    def side(df: DataFrame, mark: str, *keys: str) -> DataFrame:
-        return df.select("c", *keys, F.col("x").alias("x" + mark), *(F.col(m).alias(m + mark) for m in mine))
+    def side(df: DataFrame, mark: str, *keys: str, more: tuple = ()) -> DataFrame:
+        return df.select("c", *keys, F.col("x").alias("x" + mark), *(F.col(m).alias(m + mark) for m in (*mine, *more)))
 
+    both_n, shared = F.col("n1") + F.col("n2"), F.least("own1", "own2")
     once = (F.col("component1") != F.col("component2")) & (F.col("linked2") | (F.col("x1") < F.col("x2")))
     sizes = (100 * F.col("n1") >= p * F.col("n2")) & (100 * F.col("n2") >= p * F.col("n1"))
-    meet = side(prefix.filter("not linked"), "1", "t").join(side(prefix, "2", "t"), ["c", "t"]).filter(once & sizes)
+    # At most n + m - 2 * common shingles are in one set only.
+    apart = reduce(add, (F.bit_count(F.col("sign1")[i].bitwiseXOR(F.col("sign2")[i])) for i in range(SIGN)))
+    alike = (100 + p) * (both_n - apart) >= 2 * p * both_n
+    # If this is the first common extra shingle, only those after it can be common too.
+    after = F.least(F.col("k1") - F.col("place1"), F.col("k2") - F.col("place2"))
+    reach = (100 + p) * (shared + after) >= p * both_n
+    front1, front2 = (side(df, m, "t", more=("k", "place")) for m, df in (("1", prefix.filter("not linked")), ("2", prefix)))
+    meet = front1.join(front2, ["c", "t"]).filter(once & sizes & reach & alike)
     # Members so close to the threshold that a smaller one may be linked without a common extra shingle.
-    enough = (100 + p) * F.least("own1", "own2") >= p * (F.col("n1") + F.col("n2"))
-    close = side(known.filter("not linked and need <= 0"), "1").join(side(known, "2"), "c").filter(once & sizes & enough)
+    enough = (100 + p) * shared >= p * both_n
+    close = side(known.filter("not linked and need <= 0"), "1").join(side(known, "2"), "c").filter(once & sizes & enough & alike)
     pairs = meet.select("c", "x1", "x2").union(close.select("c", "x1", "x2")).distinct()
     sets = [diffs.select("c", F.col("x").alias("x" + m), F.col("n").alias("n" + m), F.col("nc").alias("nc" + m), F.col("extra").alias("extra" + m), F.col("missing").alias("missing" + m)) for m in "12"]
     both = pairs.join(sets[0], ["c", "x1"]).join(sets[1], ["c", "x2"])
