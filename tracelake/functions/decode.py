@@ -28,6 +28,7 @@ FIELDS = {
     "parse_error": "string", "transport_error": "string", "unsupported": "boolean", "ether_type": "int", "vlans": "array<int>", "vlan_truncated": "boolean",
     "ip_version": "int", "protocol": "string", "ip_protocol": "int", "src_ip": "binary", "dst_ip": "binary", "ttl": "int", "checksum_ok": "boolean", "fragment": "boolean",
     "src_port": "long", "dst_port": "long", **{f: "boolean" for f in TCP_FLAGS}, "seq": "long", "ack_no": "long", "window": "int", "seq_len": "long", "payload": "binary",
+    "udp_whole": "boolean",
 }
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
@@ -174,6 +175,8 @@ def decode_batch(raw: pa.Array, link: np.ndarray) -> dict[str, pa.Array]:
         **{f: pa.array(np.where(tcp, (flags >> k & 1).astype(bool), false)) for k, f in enumerate(TCP_FLAGS)},
         "seq": ints(b.u32(l4 + 4), tcp, pa.int64()), "ack_no": ints(b.u32(l4 + 8), tcp, pa.int64()), "window": ints(b.u16(l4 + 14), tcp), "seq_len": ints(seq_len, tcp, pa.int64()),
         "payload": b.slices(np.where(names != None, body, l4), stop, ok),  # noqa: E711
+        # Whether the datagram is as long as its header says.
+        "udp_whole": pa.array(b.u16(l4 + 4) == 8 + np.maximum(stop - body, 0), mask=~udp),
     }
 
 

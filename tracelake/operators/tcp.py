@@ -1,25 +1,22 @@
 """The state of TCP flows: connection state, round-trip times, retransmissions and out-of-order segments.
 
-Each needs a flow's packets in frame order. Packets are dealt by flow and sorted, and a fold streams
-through them that holds one flow's state at a time, so no flow is ever collected; a very long flow is
-one sequential task by definition.
+Each needs a flow's packets in frame order.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracelake.operators.flows import KEY
+from tracelake.operators.folds import fold
 
 #: Segments of a direction whose acknowledgement is awaited; the oldest goes first.
 IN_FLIGHT = 128
 #: Weight of the past in the smoothed round-trip time.
 PAST = 0.875
 RESULT = {"tcp_state": "string", "client": "string", "retransmissions": "long", "out_of_order": "long", "rtt_last_ms": "double", "rtt_min_ms": "double", "rtt_ewma_ms": "double", "rtt_samples": "long"}
-_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 _SIDES = ("b_to_a", "a_to_b")
 
 
@@ -77,40 +74,17 @@ class Flow:
         return self.state, self.client, self.retransmissions, self.out_of_order, self.last, self.least, self.smooth, self.samples
 
 
+def _step(flow: Flow, _frame, ts, forward, syn, ack, fin, rst, seq, number, length) -> None:
+    side = int(forward)
+    flow.turn(side, syn, ack, fin, rst)
+    if ack:
+        flow.acknowledge(side, ts, number)
+    if length:
+        flow.segment(side, ts, seq, length)
+
+
 def tcp_flows(packets: DataFrame, *more_keys: str) -> DataFrame:
     """One row a TCP flow (or a flow's life, with "instance" as a further key) with the columns of RESULT.
     packets: keyed rows with frame_no, ts_us, a_to_b, syn, ack, fin, rst, seq, ack_no, seq_len."""
-    key = [*KEY, *more_keys]
     names = ["frame_no", "ts_us", "a_to_b", "syn", "ack", "fin", "rst", "seq", "ack_no", "seq_len"]
-    rows = packets.filter("protocol = 'tcp'").select(*key, *names)
-    types = [rows.schema[c].dataType.simpleString() for c in key]
-    schema = ", ".join([*(f"{c} {t}" for c, t in zip(key, types)), *(f"{c} {t}" for c, t in RESULT.items())])
-
-    def run(batches):
-        current, flow, kinds = None, None, None
-
-        def out(done):
-            columns = list(zip(*done))
-            kinds_out = [*kinds, *(_ARROW[t] for t in RESULT.values())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_out)], names=[*key, *RESULT])
-
-        for batch in batches:
-            kinds, done = [batch.schema.field(i).type for i in range(len(key))], []
-            columns = [c.to_pylist() for c in batch.columns]
-            for own, (_, ts, forward, syn, ack, fin, rst, seq, number, length) in zip(zip(*columns[: len(key)]), zip(*columns[len(key) :])):
-                if own != current:
-                    if flow is not None:
-                        done.append((*current, *flow.result()))
-                    current, flow = own, Flow()
-                side = int(forward)
-                flow.turn(side, syn, ack, fin, rst)
-                if ack:
-                    flow.acknowledge(side, ts, number)
-                if length:
-                    flow.segment(side, ts, seq, length)
-            if done:
-                yield out(done)
-        if flow is not None:
-            yield out([(*current, *flow.result())])
-
-    return rows.repartition(*key).sortWithinPartitions(*key, "frame_no").mapInArrow(run, schema)
+    return fold(packets.filter("protocol = 'tcp'"), [*KEY, *more_keys], names, RESULT, Flow, _step, Flow.result)

@@ -7,10 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import dns as dns_payloads
 from tracelake.functions.decode import decode
-from tracelake.functions.encode import encode
+from tracelake.functions.encode import encode, number
 from tracelake.operators import accounting as run_accounting
-from tracelake.operators import detectors, flows, tcp
+from tracelake.operators import detectors, dns, flows, snapshots, tcp
+from tracelake.sources import export
 
 HOUR = 3_600_000_000
 
@@ -225,10 +227,13 @@ def _captured(spark, sf_dir):
     return encode(trace(spark, sf_dir).withColumns({"ack": acked, "seq": F.col("frame_no") * 100 % 4294967296, "ack_no": F.lit(0).cast("long")}))
 
 
+def _decoded_raw(spark, sf_dir, *fields):
+    return decode(_captured(spark, sf_dir).select("frame_no", "ts_us", "wire_len", "link_type", "raw"), *fields)
+
+
 def _decoded(spark, sf_dir, *fields):
     """The trace from its bytes, addresses as 32-bit numbers again."""
-    frames = _captured(spark, sf_dir).select("frame_no", "ts_us", "wire_len", "link_type", "raw")
-    rows = decode(frames, "protocol", "src_ip", "dst_ip", "src_port", "dst_port", *fields)
+    rows = _decoded_raw(spark, sf_dir, "protocol", "src_ip", "dst_ip", "src_port", "dst_port", *fields)
     return rows.withColumns({c: F.conv(F.hex(c), 16, 10).cast("long") for c in ("src_ip", "dst_ip")})
 
 
@@ -261,3 +266,53 @@ SELECT {_K}, CASE WHEN arg_max(syn, frame_no) THEN 'syn_sent' ELSE 'established'
 def tcp_flow_states(spark, sf_dir):
     packets = flows.with_key(flows.eligible(_decoded(spark, sf_dir, "syn", "ack", "fin", "rst", "seq", "ack_no", "seq_len")))
     return tcp.tcp_flows(packets).select(*flows.KEY, "tcp_state", "client", "out_of_order")
+
+
+_ASKED = f"""{_TRACE}, n AS (SELECT {_K}, frame_no, a_to_b, frame_no % 65536 AS dns_id, 'q' || k::VARCHAR AS question, k::BIGINT % 4 AS code FROM p WHERE protocol = 'udp'),
+m AS (SELECT *, 2 * frame_no AS place, frame_no * 700000 AS ts, FALSE AS response, 0 AS rcode FROM n
+ UNION ALL SELECT *, 2 * frame_no + 1, frame_no * 700000 + (frame_no % 8) * 1000000, TRUE, code FROM n WHERE frame_no % 4 <> 0)"""
+
+
+def _dns_packets(spark, sf_dir):
+    """A query a UDP packet of the trace, 0.7 seconds a frame, and a response to three in four, some late."""
+    n, k, late = F.col("frame_no"), F.col("k").cast("long"), (F.col("frame_no") % 8) * 1_000_000
+    asked = _keyed(spark, sf_dir).filter("protocol = 'udp'").withColumns({"at": 2 * n, "ts": n * 700_000, "response": F.lit(False), "code": F.lit(0).cast("long")})
+    told = asked.filter("frame_no % 4 != 0").withColumns({"at": 2 * n + 1, "ts": n * 700_000 + late, "response": F.lit(True), "code": k % 4, "a_to_b": ~F.col("a_to_b")})
+    rows = asked.unionByName(told)
+    name = F.concat(F.lit("q"), F.col("k").cast("string"))
+    flags = F.when(F.col("response"), F.col("code") + 0x8180).otherwise(0x0100)
+    label = F.concat(number(F.octet_length(name), 1), F.encode(name, "UTF-8"))
+    payload = F.concat(number(F.col("frame_no") % 65536, 2), number(flags, 2), F.unhex(F.lit("0001000000000000")), label, F.unhex(F.lit("0000010001")))
+    return rows.select(*flows.KEY, F.col("at").alias("frame_no"), F.col("ts").alias("ts_us"), "a_to_b", "src_port", "dst_port", payload.alias("payload"))
+
+
+@query(f"{_ASKED} SELECT {_K}, place AS frame_no, dns_id, response, rcode::BIGINT AS rcode, TRUE AS complete, question AS name FROM m")
+def dns_messages(spark, sf_dir):
+    read = dns_payloads.messages(_dns_packets(spark, sf_dir))
+    return read.select(*flows.KEY, "frame_no", "dns_id", "response", "rcode", "complete", F.col("questions")[0]["name"].alias("name"))
+
+
+@query(f"""{_ASKED}, w AS (SELECT *, max(ts) OVER (ORDER BY place) AS top FROM m),
+q AS (SELECT * FROM w WHERE NOT response AND top - ts <= 5000000),
+u AS (SELECT q.*, a.ts - q.ts AS wait, a.rcode AS answer FROM q LEFT JOIN w a ON a.response AND a.frame_no = q.frame_no AND a.top - q.ts <= 5000000)
+SELECT {_K}, count(*) AS dns_queries, count(wait) AS dns_matched_responses, count(*) - count(wait) AS dns_unanswered_queries, count(*) FILTER (answer = 3) AS dns_nxdomain,
+ count(*) FILTER (answer = 2) AS dns_servfail, min(wait) / 1000 AS low, round(avg(wait / 1000), 6) AS mean, max(wait) / 1000 AS high FROM u GROUP BY {_K}""")
+def dns_flow_statistics(spark, sf_dir):
+    packets = flows.with_watermark(_dns_packets(spark, sf_dir))
+    found = dns.dns_flows(dns_payloads.messages(packets, details=False))
+    ms = {"low": "min", "high": "max"}
+    return found.select(
+        *flows.KEY, "dns_queries", "dns_matched_responses", "dns_unanswered_queries", "dns_nxdomain", "dns_servfail",
+        F.round("dns_response_latency_avg_ms", 6).alias("mean"), *(F.col(f"dns_response_latency_{c}_ms").alias(a) for a, c in ms.items()),
+    )
+
+
+@query(f"""{_TRACE}, f AS (SELECT {_K}, {_AGG} FROM p GROUP BY {_K}),
+d AS (SELECT *, (a_ip >> 24) || '.' || ((a_ip >> 16) & 255) || '.' || ((a_ip >> 8) & 255) || '.' || (a_ip & 255) AS endpoint_a_ip,
+ (b_ip >> 24) || '.' || ((b_ip >> 16) & 255) || '.' || ((b_ip >> 8) & 255) || '.' || (b_ip & 255) AS endpoint_b_ip FROM f)
+SELECT protocol, endpoint_a_ip, a_port AS endpoint_a_port, endpoint_b_ip, b_port AS endpoint_b_port, printf('%d.%06d', first_us // 1000000, first_us % 1000000) AS first_seen,
+ printf('%d.%06d', (last_us - first_us) // 1000000, (last_us - first_us) % 1000000) AS duration_secs, packets_total, bytes_total FROM d""")
+def flow_csv_rows(spark, sf_dir):
+    packets = flows.with_watermark(_decoded_raw(spark, sf_dir, *snapshots.FIELDS))
+    rows = export.csv_rows(snapshots.snapshots(flows.with_key(flows.eligible(packets))))
+    return rows.select("protocol", "endpoint_a_ip", "endpoint_a_port", "endpoint_b_ip", "endpoint_b_port", "first_seen", "duration_secs", "packets_total", "bytes_total")
