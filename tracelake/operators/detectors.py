@@ -7,14 +7,19 @@ not flows, so the work spreads over the cluster and results are global.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+from functools import partial
+from heapq import heappop, heappush
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.folds import fold
+
 SYN_KEY, SCAN_KEY = ("dst_ip", "dst_port"), ("src_ip",)
 #: Records that a key keeps; the oldest goes first.
 RECORDS = 4096
-ALERT = "ts_us long, observed_total long, observed_values long, observed_hosts long"
+ALERT = {c: "long" for c in ("ts_us", "observed_total", "observed_values", "observed_hosts")}
 
 
 def _recent(keys, window_us: int):
@@ -37,64 +42,96 @@ def scan_candidates(packets: DataFrame, window_us: int, ports: int, hosts: int)
     return seen.filter((F.lit(ports > 0) & (F.col("n_ports") >= ports)) | (F.lit(hosts > 0) & (F.col("n_hosts") >= hosts)))
 
 
-def _syn_fold(rows: pd.DataFrame, window: int, total: int, sources: int, cooldown: int) -> list[tuple]:
-    kept: list[tuple[int, object]] = []
-    quiet, out = None, []
-    for now, ts, src in zip(rows.watermark_us, rows.ts_us, rows.src_ip):
-        if quiet is not None and quiet > now:
-            continue
-        kept = [r for r in kept if r[0] >= now - window]
-        if now - ts > window:
-            continue
-        kept = [*kept, (ts, src)][-RECORDS:]
-        distinct = len({r[1] for r in kept})
-        if len(kept) >= total and distinct >= sources:
-            quiet = now + max(cooldown, 0)
-            out.append((ts, len(kept), distinct, None))
-    return out
-
-
-def _scan_fold(rows: pd.DataFrame, window: int, ports: int, hosts: int, cooldown: int) -> list[tuple]:
-    seen: tuple[dict, dict] = {}, {}
-    quiet, out = None, []
-    for now, ts, port, host in zip(rows.watermark_us, rows.ts_us, rows.dst_port, rows.dst_ip):
-        if quiet is not None and quiet > now:
-            continue
-        for last, value in zip(seen, (port, host)):
-            for old in [v for v, t in last.items() if t < now - window]:
-                del last[old]
-            if now - ts <= window and ts > last.get(value, ts - 1):
-                last[value] = ts
-        if now - ts > window:
-            continue
-        if (ports and len(seen[0]) >= ports) or (hosts and len(seen[1]) >= hosts):
-            quiet = now + max(cooldown, 0)
-            out.append((ts, None, len(seen[0]), len(seen[1])))
-    return out
-
-
-def _alerts(packets: DataFrame, candidates: DataFrame, keys, fold, kind: str) -> DataFrame:
+class SynFlood:
+    """A target's recent initial SYNs: at most RECORDS, in the order in which they came."""
+
+    def __init__(self, window: int, total: int, sources: int, cooldown: int):
+        self.window, self.total, self.needed, self.cooldown = window, total, sources, max(cooldown, 0)
+        self.kept: dict[int, object] = {}  # by number, oldest first
+        self.times: list[tuple[int, int]] = []  # a heap of time and number
+        self.sources, self.quiet = Counter(), None
+
+    def drop(self, number: int) -> None:
+        source = self.kept.pop(number)
+        self.sources[source] -= 1
+        if not self.sources[source]:
+            del self.sources[source]
+
+    def take(self, frame: int, now: int, ts: int, source) -> list[tuple]:
+        if self.quiet is not None and self.quiet > now:
+            return []
+        while self.times and (self.times[0][0] < now - self.window or self.times[0][1] not in self.kept):
+            number = heappop(self.times)[1]
+            if number in self.kept:
+                self.drop(number)
+        if now - ts > self.window:
+            return []
+        self.kept[frame] = source
+        self.sources[source] += 1
+        heappush(self.times, (ts, frame))
+        if len(self.kept) > RECORDS:
+            self.drop(next(iter(self.kept)))
+        if len(self.kept) < self.total or len(self.sources) < self.needed:
+            return []
+        self.quiet = now + self.cooldown
+        return [(ts, len(self.kept), len(self.sources), None)]
+
+
+class _Latest:
+    """Values with the latest time of each; those before a time can be dropped."""
+
+    def __init__(self):
+        self.last, self.heap, self.count = {}, [], 0
+
+    def drop_before(self, least: int) -> None:
+        while self.heap and self.heap[0][0] < least:
+            _, number, value = heappop(self.heap)
+            if self.last[value] < least:
+                del self.last[value]
+            else:  # seen again since
+                heappush(self.heap, (self.last[value], number, value))
+
+    def add(self, value, ts: int) -> None:
+        if value not in self.last:
+            self.count += 1
+            heappush(self.heap, (ts, self.count, value))
+        self.last[value] = max(ts, self.last.get(value, ts))
+
+
+class PortScan:
+    """A source's recent target ports and hosts."""
+
+    def __init__(self, window: int, ports: int, hosts: int, cooldown: int):
+        self.window, self.limits, self.cooldown = window, (ports, hosts), max(cooldown, 0)
+        self.seen, self.quiet = (_Latest(), _Latest()), None
+
+    def take(self, _frame: int, now: int, ts: int, port, host) -> list[tuple]:
+        if self.quiet is not None and self.quiet > now:
+            return []
+        for values, value in zip(self.seen, (port, host)):
+            values.drop_before(now - self.window)
+            if now - ts <= self.window:
+                values.add(value, ts)
+        counts = [len(x.last) for x in self.seen]
+        if now - ts > self.window or not any(limit and n >= limit for limit, n in zip(self.limits, counts)):
+            return []
+        self.quiet = now + self.cooldown
+        return [(ts, None, *counts)]
+
+
+def _alerts(packets: DataFrame, candidates: DataFrame, keys, values, detector, settings, kind: str) -> DataFrame:
     chosen = packets.join(candidates.select(*keys).distinct(), list(keys), "left_semi")
-    own = ", ".join(f"{k} {packets.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_no", kind="stable")
-        found = pd.DataFrame(fold(rows), columns=[c.split()[0] for c in ALERT.split(", ")])
-        for i, k in enumerate(keys):
-            found.insert(i, k, rows[k].iloc[0])
-        return found.astype({c: "Int64" for c in ("ts_us", "observed_total", "observed_values", "observed_hosts")})
-
-    out = chosen.groupBy(*keys).applyInPandas(run, f"{own}, {ALERT}")
-    return out.withColumn("kind", F.lit(kind)).withColumn("schema_version", F.lit(1))
+    found = fold(chosen, list(keys), ["frame_no", "watermark_us", "ts_us", *values], ALERT, partial(detector, *settings), detector.take, lambda state: None)
+    return found.withColumn("kind", F.lit(kind)).withColumn("schema_version", F.lit(1))
 
 
 def syn_flood_alerts(packets: DataFrame, window_us: int = 5_000_000, total: int = 200, sources: int = 50, cooldown_us: int = 10_000_000) -> DataFrame:
     """packets: with watermark_us over all frames, also those that are no SYN."""
-    fold = lambda rows: _syn_fold(rows, window_us, total, sources, cooldown_us)
-    return _alerts(packets.filter("syn and not ack"), syn_candidates(packets, window_us, total, sources), SYN_KEY, fold, "syn_flood")
+    settings = (window_us, total, sources, cooldown_us)
+    return _alerts(packets.filter("syn and not ack"), syn_candidates(packets, window_us, total, sources), SYN_KEY, ["src_ip"], SynFlood, settings, "syn_flood")
 
 
 def port_scan_alerts(packets: DataFrame, window_us: int = 10_000_000, ports: int = 25, hosts: int = 10, cooldown_us: int = 30_000_000) -> DataFrame:
-    fold = lambda rows: _scan_fold(rows, window_us, ports, hosts, cooldown_us)
+    settings = (window_us, ports, hosts, cooldown_us)
     seen = packets.filter("protocol = 'udp' or (protocol = 'tcp' and syn and not ack)")
-    return _alerts(seen, scan_candidates(packets, window_us, ports, hosts), SCAN_KEY, fold, "port_scan")
+    return _alerts(seen, scan_candidates(packets, window_us, ports, hosts), SCAN_KEY, ["dst_port", "dst_ip"], PortScan, settings, "port_scan")

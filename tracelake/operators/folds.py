@@ -11,7 +11,7 @@ _ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 
 
 def fold(rows: DataFrame, key: list[str], names: list[str], result: dict[str, str], start: Callable, step: Callable, end: Callable) -> DataFrame:
-    """One row a key with the columns of ``result``. ``start()`` makes a state, ``step(state, *values of
+    """Rows of key and ``result``. ``start()`` makes a state, ``step(state, *values of
     names)`` takes a row, ``end(state)`` gives the result, or None for no row. names[0] gives the order.
 
     Rows are dealt by key and sorted, and the fold streams through them with one state at a time, so no
@@ -37,7 +37,7 @@ def fold(rows: DataFrame, key: list[str], names: list[str], result: dict[str, st
                 if own != current:
                     close(done)
                     current, state = own, start()
-                step(state, *values)
+                done.extend((*own, *row) for row in step(state, *values) or ())
             if done:
                 yield out(done)
         done = []
