@@ -73,16 +73,25 @@ def _frames(path: str, content: memoryview):
         yield batch()
 
 
+def _read(batches):
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield from _frames(name, memoryview(content.as_buffer()))
+
+
+def stream_pcap(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
+    """A stream of the frames of the capture files that appear in folder. Files must appear whole; file_no
+    numbers the frames of a file, there is no number over all files. Unread files wait, none are dropped."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    found = files.option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.pcap").load(folder)
+    return found.select("path", "content").mapInArrow(_read, FRAME)
+
+
 def read_pcap(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Frames of the files, with frame_no from 1 on in the order of paths, then of records. An empty file
     list raises Spark's own error; a capture without records gives no rows."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def read(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from _frames(name, memoryview(content.as_buffer()))
-
     def count(batches):
         for batch in batches:
             sizes = [sum(1 for _ in records(memoryview(c.as_buffer()), "")) - 1 for c in batch.column(1)]
@@ -91,7 +100,7 @@ def read_pcap(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # One row a file, so a single task is enough for the running total.
     sizes = files.mapInArrow(count, "source string, n long")
     before = sizes.selectExpr("source", "coalesce(sum(n) over (order by source rows between unbounded preceding and 1 preceding), 0) as before")
-    frames = files.mapInArrow(read, FRAME)
+    frames = files.mapInArrow(_read, FRAME)
     return frames.join(before, "source").withColumn("frame_no", F.col("before") + F.col("file_no")).drop("before")
 
 
