@@ -1,6 +1,6 @@
 """A subset of the capture-filter language, compiled to a Column over packet rows.
 
-expr: term {(and | or) term}; term: not term | (expr) | primitive. Primitives: tcp, udp, icmp, arp,
+expr: term {(and | or) term}; term: not term | (expr) | primitive. Primitives: ip, ip6, tcp, udp, icmp, icmp6, arp,
 [tcp | udp] [src | dst] (host A | net A/N | port P | portrange P-Q), less N, greater N. Like the
 original, ``and`` and ``or`` bind alike, to the left. Anything else is rejected.
 """
@@ -14,9 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PROTOCOLS = ("tcp", "udp", "icmp", "icmp6", "arp")
+VERSIONS = {"ip": 4, "ip6": 6}
 
 
-def compile_filter(text: str) -> Column:
+def compile_filter(text: str, packed: bool = False) -> Column:
+    """Addresses are 32-bit numbers or, if packed, the bytes that decoding gives; ip and ip6 need ip_version."""
     words = re.findall(r"[()]|&&|\|\||!|[^\s()!]+", text)
     at = 0
 
@@ -41,6 +43,8 @@ def compile_filter(text: str) -> Column:
             take()
             n = int(take())
             return F.col("wire_len") <= n if word == "less" else F.col("wire_len") >= n
+        if word in VERSIONS:
+            return F.coalesce(F.col("ip_version") == VERSIONS[take()], F.lit(False))
         kind = take() if word in PROTOCOLS else None
         way = take() if peek() in ("src", "dst") else None
         what = peek()
@@ -54,7 +58,11 @@ def compile_filter(text: str) -> Column:
         elif what in ("host", "net"):
             take()
             net = ipaddress.ip_network(take(), strict=what == "net")
-            out = sides(way, lambda s: F.col(f"{s}_ip").between(int(net[0]), int(net[-1])))
+            if packed:
+                first, last = (F.lit(bytearray(a.packed)) for a in (net[0], net[-1]))
+                out = sides(way, lambda s: (F.octet_length(f"{s}_ip") == net.max_prefixlen // 8) & F.col(f"{s}_ip").between(first, last))
+            else:
+                out = sides(way, lambda s: F.col(f"{s}_ip").between(int(net[0]), int(net[-1])))
             out = out if kind is None else out & (F.col("protocol") == kind)
         elif kind is not None and way is None:
             out = F.col("protocol") == kind

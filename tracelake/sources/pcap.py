@@ -110,7 +110,8 @@ class Written(WriterCommitMessage):
 
 
 class PcapSink(DataSource):
-    """Sink ``capture``: options path, link_type (1), snaplen (65535), rotate_bytes (0: one file a task)."""
+    """Sink ``capture``: options path, link_type (1), snaplen (65535), rotate_bytes (0: one file a task),
+    keep (0: all files, else the newest so many)."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,7 +125,7 @@ class PcapWriter(DataSourceWriter):
     def __init__(self, options):
         self.path = options["path"].rstrip("/")
         self.link, self.snaplen, self.limit = (int(options.get(k, d)) for k, d in (("link_type", 1), ("snaplen", 65535), ("rotate_bytes", 0)))
-        self.job = uuid.uuid4().hex
+        self.keep, self.job = int(options.get("keep", 0)), uuid.uuid4().hex
 
     def _store(self):
         from pyarrow.fs import FileSystem
@@ -155,9 +156,9 @@ class PcapWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         store, root = self._store()
-        for message in messages:
-            for f in message.files if message else ():
-                store.move(f"{root}/{f}", f"{root}/{f.rpartition('/')[2]}")
+        names = {f.rpartition("/")[2]: f for message in messages if message for f in message.files}
+        for name in sorted(names)[-self.keep :]:
+            store.move(f"{root}/{names[name]}", f"{root}/{name}")
         store.delete_dir(f"{root}/_{self.job}")
 
     def abort(self, messages) -> None:
@@ -168,11 +169,11 @@ class PcapWriter(DataSourceWriter):
             store.delete_dir(f"{root}/_{self.job}")
 
 
-def write_pcap(frames: DataFrame, path: str, link_type: int = 1, rotate_bytes: int = 0, files: int | None = None) -> None:
+def write_pcap(frames: DataFrame, path: str, link_type: int = 1, rotate_bytes: int = 0, files: int | None = None, keep: int = 0) -> None:
     """Write frames (frame_no, ts_us, wire_len, raw) in frame order as part-*.pcap below path, whose names
     sort in that order. ``files`` fixes the number of tasks; 1 gives a single capture."""
     spark = frames.sparkSession
     spark.dataSource.register(PcapSink)
     rows = frames.select("frame_no", "ts_us", "wire_len", "raw")
     rows = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, "frame_no") if files else rows.repartitionByRange("frame_no")
-    rows.sortWithinPartitions("frame_no").write.format("capture").option("link_type", link_type).option("rotate_bytes", rotate_bytes).mode("append").save(path)
+    rows.sortWithinPartitions("frame_no").write.format("capture").option("link_type", link_type).option("rotate_bytes", rotate_bytes).option("keep", keep).mode("append").save(path)
