@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, decontaminate, fm_index, lm_scoring, near_dedup, quality_rules, rule_classifier, substring_dedup, token_counts, url_filter, warc
+from tracelake.llm import bpe, decontaminate, fm_index, lm_scoring, near_dedup, quality_rules, queries, rule_classifier, substring_dedup, token_counts, url_filter, warc
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, n_words long, words string"
@@ -111,6 +111,13 @@ def test_scores_do_not_depend_on_slices(docs):
     assert a == b and a[5] == a[6] == (0, 0.0)
 
 
+def test_registered_scores_see_beyond_pairs(spark, tmp_path):
+    rows = ["x m y"] * 3 + ["p m q"] * 3 + ["x m q", "p m y"]  # every word and pair of the spliced texts is as frequent as those of the others
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_score for r in queries.op4_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[0] == got[5] and got[6] == got[7] < got[0] - 0.5
+
+
 def test_classifier_learns_from_its_rows_only(spark):
     r = random.Random(1)
     rows = [(i, " ".join(prose(i, r.randint(20, 90)) + (["|"] * 30 if i % 4 == 0 else [])), int(i % 4 != 0)) for i in range(400)]

@@ -5,7 +5,9 @@ counts to the exploded n-grams, sum per document. A row for each n-gram would mo
 times over, so rows are packed: documents are dealt into slices; a slice sends each hash partition
 one sorted, delta-coded list of its distinct n-grams and their counts; the partition adds up all
 lists and answers each slice with the totals, aligned with its list. The slice then has the count of
-every n-gram of its documents and sums their scores. Text moves twice, an n-gram about once.
+every n-gram of its documents and sums their scores. The orders are counted
+one after the other, so that the disk holds the lists of one order at a time: text moves once for each
+order and once for the scores, an n-gram about once.
 
 The score of a word is that of the longest n-gram, up to ORDER words, that ends with it and is found
 MIN_COUNT times or more: log(count / count of its context), plus log(BACKOFF) for each order given
@@ -20,6 +22,7 @@ beyond, raise ``slice_bytes`` with the memory of the executors.
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm._shared import SPACE, arrow_limits, cut, hash_runs, hash_spans, prefix_sums, split_words, text_buffer
 
-ORDER = 2
+ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
 SLICE_BYTES = 12 << 20
@@ -62,42 +65,41 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 class Slice:
-    """The n-grams of some documents: for each order, where each begins, and the sorted distinct hashes."""
+    """The n-grams of some documents, one order at a time."""
 
-    def __init__(self, texts: list[bytes], order: int):
+    def __init__(self, texts: list[bytes]):
         buf = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         starts, ends, self.row = split_words(buf, offsets, SPACE)
-        sums = prefix_sums(hash_spans(buf, starts, ends))
+        self.sums = prefix_sums(hash_spans(buf, starts, ends))
         self.words = len(starts)
-        self.grams = []  # of each order: last word of each n-gram, hash of each
-        for k in range(1, order + 1):
-            last = np.arange(k - 1, self.words)
-            last = last[self.row[last] == self.row[last - k + 1]] if k > 1 and len(last) else last
-            self.grams.append((last, hash_runs(sums, last - k + 1, last + 1)))
 
-    def lists(self):
-        for k, (_, keys) in enumerate(self.grams):
-            yield k + 1, *np.unique(keys, return_counts=True)
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Last word of each n-gram of k words, hash of each."""
+        last = np.arange(k - 1, self.words)
+        last = last[self.row[last] == self.row[last - k + 1]] if k > 1 and len(last) else last
+        return last, hash_runs(self.sums, last - k + 1, last + 1)
+
+    def list(self, k: int):
+        """The sorted distinct hashes and their counts."""
+        return np.unique(self.grams(k)[1], return_counts=True)
 
     def scores(self, totals: list[np.ndarray], n: int, rows: int, min_count: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
-        """Words and log score of each row. totals: the corpus counts, aligned with lists()."""
-        counts = []
-        for (last, keys), total in zip(self.grams, totals):
-            own = np.zeros(self.words)
+        """Words and log score of each row. totals: the corpus counts of each order, aligned with list()."""
+        score, below = np.zeros(self.words), np.zeros(self.words)
+        for k, total in enumerate(totals, 1):
+            last, keys = self.grams(k)
+            counts, has = np.zeros(self.words), np.zeros(self.words, bool)
             if len(keys):
-                own[last] = total[np.unique(keys, return_inverse=True)[1]]
-            counts.append(own)
-        score = np.log(np.maximum(counts[0], 1) / max(n, 1)) if self.words else np.zeros(0)
-        possible = np.zeros(self.words, np.int64)
-        for k in range(1, len(counts)):
-            has = np.zeros(self.words, bool)
-            has[self.grams[k][0]] = True
-            context = np.concatenate([[1.0], counts[k - 1][:-1]]) if self.words else np.zeros(0)
-            seen = has & (counts[k] >= min_count)
-            # A longer n-gram that is found replaces the score; one that is not costs a factor.
-            score = np.where(seen, np.log(np.maximum(counts[k], 1) / np.maximum(context, 1)), score + np.where(has, math.log(backoff), 0.0))
-            possible += has
+                counts[last] = total[np.unique(keys, return_inverse=True)[1]]
+                has[last] = True
+            if k == 1:
+                score = np.log(np.maximum(counts, 1) / max(n, 1))
+            elif self.words:
+                context = np.concatenate([[1.0], below[:-1]])
+                # A longer n-gram that is found replaces the score; one that is not costs a factor.
+                score = np.where(has & (counts >= min_count), np.log(np.maximum(counts, 1) / np.maximum(context, 1)), score + np.where(has, math.log(backoff), 0.0))
+            below = counts
         return np.bincount(self.row, minlength=rows), np.bincount(self.row, score, minlength=rows)
 
 
@@ -115,6 +117,18 @@ def _groups(batches, key: int, size: int):
         yield now, rows
 
 
+@contextlib.contextmanager
+def _freed(spark):
+    """What runs in here removes its shuffle files at its end, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def score_documents(docs: DataFrame, text: str = "text", doc: str = "doc_id", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score."""
     spark = docs.sparkSession
@@ -125,19 +139,23 @@ def score_documents(docs: DataFrame, text: str = "text", doc: str = "doc_id", or
     bits = max(0, (size // PARTITION_BYTES).bit_length())
     dealt = own.withColumn("slice", F.pmod(F.xxhash64("doc"), F.lit(slices)).cast("int"))
 
-    def send(batches):
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        for number, rows in _groups(batches, 0, 3):
-            for k, keys, counts in Slice([r[2].encode() for r in rows], order).lists():
+    ordered = dealt.select("slice", "doc", "text").repartition("slice").sortWithinPartitions("slice", "doc", "text")
+
+    def count(k: int) -> DataFrame:
+        """The corpus counts of order k for the lists of all slices."""
+
+        def send(batches):
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            for number, rows in _groups(batches, 0, 3):
+                keys, counts = Slice([r[2].encode() for r in rows]).list(k)
                 edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(keys)]
-                out = [(p, number, k, pack(keys[a:b]), zstandard.compress(counts[a:b].astype("<u4").tobytes(), 1)) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["p", "slice", "k", "keys", "counts"])
-
-    def add(batches):
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-        for p, rows in _groups(batches, 0, 5):
-            for k in range(1, order + 1):
-                lists = [(r[1], unpack(r[3]), np.frombuffer(zstandard.decompress(r[4]), "<u4")) for r in rows if r[2] == k]
+                out = [(p, number, pack(keys[a:b]), zstandard.compress(counts[a:b].astype("<u4").tobytes(), 1)) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["p", "slice", "keys", "counts"])
+
+        def add(batches):
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+            for p, rows in _groups(batches, 0, 4):
+                lists = [(r[1], unpack(r[2]), np.frombuffer(zstandard.decompress(r[3]), "<u4")) for r in rows]
                 keys = np.concatenate([x[1] for x in lists])
                 where = np.unique(keys, return_inverse=True)[1]
                 total = np.bincount(where, np.concatenate([x[2] for x in lists])).astype("<u8") if len(keys) else np.empty(0, "<u8")
@@ -148,10 +166,14 @@ def score_documents(docs: DataFrame, text: str = "text", doc: str = "doc_id", or
                     at, words = at + len(own_keys), 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["p", "slice", "k", "totals", "words"])
 
-    ordered = dealt.select("slice", "doc", "text").repartition("slice").sortWithinPartitions("slice", "doc", "text")
-    lists = ordered.mapInArrow(send, "p int, slice int, k int, keys binary, counts binary")
-    answers = cut(lists.repartition("p").sortWithinPartitions("p", "slice").mapInArrow(add, "p int, slice int, k int, totals binary, words long"), "totals")
+        lists = ordered.mapInArrow(send, "p int, slice int, keys binary, counts binary")
+        with _freed(spark):
+            return cut(lists.repartition("p").sortWithinPartitions("p", "slice").mapInArrow(add, "p int, slice int, k int, totals binary, words long"), f"totals{k}")
+
+    answers = count(1)
     n = answers.agg(F.sum("words")).first()[0] or 0
+    for k in range(2, order + 1):
+        answers = answers.union(count(k))
     blank = {"p": F.lit(None).cast("int"), "k": F.lit(None).cast("int"), "totals": F.lit(None).cast("binary"), "doc": F.lit(None).cast(own.schema["doc"].dataType), "text": F.lit(None).cast("string")}
     columns = ["slice", "p", "k", "totals", "doc", "text"]
     sides = [df.withColumns({c: v for c, v in blank.items() if c not in df.columns}).select(*columns, F.lit(i).alias("side")) for i, df in enumerate((answers.drop("words"), dealt))]
@@ -166,7 +188,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc: str = "doc_id", or
             if not texts:
                 continue
             totals = [np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(zstandard.decompress(r[3]), "<u8") for r in rows if r[6] == 0 and r[2] == k)]) for k in range(1, order + 1)]
-            words, score = Slice([r[5].encode() for r in texts], order).scores(totals, n, len(texts), min_count, backoff)
+            words, score = Slice([r[5].encode() for r in texts]).scores(totals, n, len(texts), min_count, backoff)
             yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in texts], kinds.field(0).type), pa.array(words, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_words", "log_score"])
 
     both = sides[0].union(sides[1]).repartition("slice").sortWithinPartitions("slice", "side", "p", "k", "doc", "text")
