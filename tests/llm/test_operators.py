@@ -105,6 +105,26 @@ def test_warc(spark):
     assert warc.archive_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_look_up_by_url(spark):
+    # One URL fills many blocks and index files, another two blocks; some are asked for twice, some are not there.
+    urls = ["http://hot.org/"] * 4000 + ["http://b.hot.org/x"] * 700 + [f"http://s{i % 90}.net/{i % 3}" for i in range(300)] + [None] * 5
+    pages = spark.createDataFrame([(i, u, f"text {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    folder = warc.scratch(spark, "warc")
+    captures = warc.write_archives(warc.plan(pages.repartition(3)), folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = warc.build_index(captures, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.filter("first <= 'org,hot)/' and last >= 'org,hot)/'").count() > 1
+    asked = ["http://hot.org/", "http://HOT.org/", "http://b.hot.org/x", "http://s7.net/1", "http://s7.net/9", "a.com", None]
+    got = warc.look_up(spark.createDataFrame([(u,) for u in asked], "url string"), index, folder).collect()
+    assert sorted(r.page_id for r in got) == [i for i, u in enumerate(urls) if u in asked]
+    assert all(r.payload_digest == hashlib.sha256(f"text {r.page_id}".encode()).hexdigest() for r in got)
+    assert {r.key for r in got} == {"org,hot)/", "org,hot,b)/x", "net,s7)/1", "-"}
+    assert warc.read_records(captures, index, folder).count() == len(urls)
+
+
 def test_scores_do_not_depend_on_slices(docs):
     own = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     a, b = ({r.doc_id: (r.n_words, round(r.log_score, 6)) for r in lm_scoring.score_documents(own, order=3, slice_bytes=n).collect()} for n in (1 << 24, 3000))

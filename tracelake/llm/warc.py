@@ -5,11 +5,12 @@ of their own; a file counts only through the rows that its task returns, so a lo
 leaves nothing behind that is read. Payloads of at least MIN_REVISIT bytes that are equal are stored
 once: the record with the smallest id is the response, the others are revisits that refer to it.
 
-Index: captures are sorted by their key, the reversed host and the path as in CDX files, and dealt
-to index files by key range. An index file holds compressed blocks of BLOCK_LINES sorted lines, then
-a sparse directory: the first key of each block and its place. A look-up finds the index file among
-the files' ranges, the block in the directory, the line in the block, each by binary search, and
-then reads only the range of the record.
+Index: captures are sorted by the key of their URL, the reversed host and the path as in CDX files,
+then by page_id and place, and dealt to index files by ranges of that order, so that the captures of
+one URL may fill many files. An index file holds compressed blocks of BLOCK_LINES sorted lines, key,
+path, offset and length, then a sparse directory: the first key of each block and its place. A look-up
+by key finds all index files whose range holds it, the blocks in each directory and the lines in each
+block by binary search, and then reads only the ranges of the records.
 
 Null html is an empty payload; a null url has the key ``-``. A null page_id never is what others
 refer to; it is a revisit where an equal payload has an id. Rows that tie on the smallest id are all
@@ -102,7 +103,7 @@ def parse(raw: bytes) -> dict:
 
 
 def write_archives(planned: DataFrame, folder: str) -> DataFrame:
-    """Writes the records of plan(); returns the captures: key, path, offset, length, page_id."""
+    """Writes the records of plan(); returns the captures: key (of the URL), path, offset, length, page_id."""
     spark = planned.sparkSession
     arrow_limits(spark)
     rows = planned.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", url_key(F.col("url")).alias("key"))
@@ -121,7 +122,7 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
                     out = store.open_output_stream(path, compression=None)
                 member = gzip.compress(record(page, url, payload.encode(), digest, kind, refers_to), 3, mtime=0)
                 out.write(member)
-                found.append((f"{key}\t{'' if page is None else page}\t{path.rpartition('/')[2]}\t{at}", path, at, len(member), page))
+                found.append((key, path, at, len(member), page))
                 at += len(member)
             columns = list(zip(*found)) or [[]] * 5
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -134,7 +135,8 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
     """Writes the index files; returns one row for each: shard, first and last key, place of the directory."""
-    ordered = captures.select("key", "path", "offset", "length").repartitionByRange("key").sortWithinPartitions("key")
+    order = ["key", "page_id", "path", "offset"]
+    ordered = captures.select("key", "path", "offset", "length", "page_id").repartitionByRange(*order).sortWithinPartitions(*order).drop("page_id")
 
     def run(batches):
         store, root = _store(folder)
@@ -178,62 +180,71 @@ class IndexFile:
         self.firsts = [b[0] for b in self.blocks]
         self.number, self.lines, self.keys = -1, [], []
 
-    def find(self, key: str) -> tuple[str, int, int] | None:
-        """Path, offset and length of the record of a key."""
-        k = bisect.bisect_right(self.firsts, key) - 1
-        if k < 0:
-            return None
-        if k != self.number:
-            _, at, size = self.blocks[k]
-            self.lines = [json.loads(x) for x in zstandard.decompress(self.file.read_at(size, at)).decode().split("\n")]
-            self.keys, self.number = [x[0] for x in self.lines], k
-        i = bisect.bisect_left(self.keys, key)
-        return tuple(self.lines[i][1:]) if i < len(self.keys) and self.keys[i] == key else None
-
-
-def read_records(keys: DataFrame, index: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
-    """Looks up keys (column key) and reads their records: page_id, payload_bytes, payload_digest,
-    record_type, refers_to. A key that the index does not hold gives no row."""
+    def find(self, key: str):
+        """Path, offset and length of each record of a key."""
+        # The block before the first that begins with the key may end with it.
+        for k in range(max(0, bisect.bisect_left(self.firsts, key) - 1), bisect.bisect_right(self.firsts, key)):
+            if k != self.number:
+                _, at, size = self.blocks[k]
+                self.lines = [json.loads(x) for x in zstandard.decompress(self.file.read_at(size, at)).decode().split("\n")]
+                self.keys, self.number = [x[0] for x in self.lines], k
+            for line in self.lines[bisect.bisect_left(self.keys, key) : bisect.bisect_right(self.keys, key)]:
+                yield tuple(line[1:])
+
+
+def read_records(keys: DataFrame, index: DataFrame, folder: str) -> DataFrame:
+    """Looks up URL keys (column key, see url_key) and reads the records of all their captures: key,
+    page_id, payload_bytes, payload_digest, record_type, refers_to. A key that the index does not hold
+    gives no row, one that is asked for twice is looked up once."""
     spark = keys.sparkSession
     shards = sorted((r["first"], r["last"], r["shard"], r["at"], r["size"]) for r in index.collect())  # one short row a range partition
-    firsts = [s[0] for s in shards]
-    held = spark.sparkContext.broadcast((firsts, shards))
-    # The index's ranges came from sorting keys alike, so a sort by key sends a task few index files.
-    ordered = keys.select("key").repartitionByRange("key").sortWithinPartitions("key")
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    names = [f.split()[0] for f in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    held = spark.sparkContext.broadcast(([s[0] for s in shards], [s[1] for s in shards], shards))
+    schema = "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    names = [f.split()[0] for f in schema.split(", ")][1:]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def deal(batches):
+        """A row for each key and index file whose range holds it."""
+        firsts, lasts, _ = held.value
+        for batch in batches:
+            found = [(k, key) for key in batch.column(0).to_pylist() if key is not None for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+            columns = list(zip(*found)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string()))], names=["shard", "key"])
 
     def run(batches):
         store, _ = _store(folder)
-        firsts, shards = held.value
+        shards = held.value[2]
         number, shard, files = -1, None, {}
         for batch in batches:
             places = []
-            for key in batch.column(0).to_pylist():
-                k = bisect.bisect_right(firsts, key) - 1
-                if k < 0:
-                    continue
+            for k, key in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != number:
                     number, shard = k, IndexFile(store, *shards[k][2:])
-                if (place := shard.find(key)) is not None:
-                    places.append(place)
-            out = []
-            for path, at, size in sorted(places):
-                if path not in files:
-                    if len(files) >= 16:
-                        files.clear()
-                    files[path] = store.open_input_file(path)
-                said = parse(zlib.decompress(files[path].read_at(size, at), 31))
-                out.append(tuple(said[n] for n in names))
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    return ordered.mapInArrow(run, schema)
+                places += [(*place, key) for place in shard.find(key)]
+            places.sort()
+            for i in range(0, len(places), 4096):
+                out = []
+                for path, at, size, key in places[i : i + 4096]:
+                    if path not in files:
+                        if len(files) >= 16:
+                            files.clear()
+                        files[path] = store.open_input_file(path)
+                    said = parse(zlib.decompress(files[path].read_at(size, at), 31))
+                    out.append((key, *(said[n] for n in names)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["key", *names])
+
+    dealt = keys.select("key").distinct().mapInArrow(deal, "shard int, key string")
+    # An index file is a task, whatever the share of one URL: the files' ranges hold about equally many captures.
+    return dealt.repartitionById(max(1, len(shards)), F.col("shard")).sortWithinPartitions("shard", "key").mapInArrow(run, schema)
+
+
+def look_up(urls: DataFrame, index: DataFrame, folder: str, url: str = "url") -> DataFrame:
+    """The records of all captures of URLs, as read_records()."""
+    return read_records(urls.select(url_key(F.col(url)).alias("key")), index, folder)
 
 
 def archive_and_read(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes pages to archives, indexes them, and reads every record back through the index."""
+    """Writes pages to archives, indexes them, and reads every record back by the keys of the URLs."""
     folder = scratch(pages.sparkSession, "warc")
     captures = write_archives(plan(pages, page, url, html), folder)
-    return read_records(captures, build_index(captures, folder), folder)
+    return read_records(captures, build_index(captures, folder), folder).drop("key")
