@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -138,6 +140,29 @@ def test_registered_scores_see_beyond_pairs(spark, tmp_path):
     assert got[0] == got[5] and got[6] == got[7] < got[0] - 0.5
 
 
+def test_registered_scores_against_counts(docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(doc, text.split()) for doc, text in texts(docs)]
+    seen = Counter(tuple(w[i : i + k]) for _, w in rows for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    n = sum(len(w) for _, w in rows)
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log(seen[gram] / n)
+        return math.log(seen[gram] / seen[gram[:-1]]) if seen[gram] >= 2 else math.log(0.4) + score(gram[1:])
+
+    want = defaultdict(lambda: [0, 0.0])
+    for doc, w in rows:
+        want[doc][0] += len(w)
+        want[doc][1] += sum(score(tuple(w[max(0, i - 2) : i + 1])) for i in range(len(w)))
+    got = queries.op4_lm_scoring(docs.sparkSession, str(tmp_path)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        words, total = want[r.doc_id]
+        assert r.n_words == words and r.log_score == pytest.approx(total, abs=1e-3)
+        assert r.mean_log_score == pytest.approx(total / words, abs=1e-5) if words else r.mean_log_score is None
+
+
 def test_classifier_learns_from_its_rows_only(spark):
     r = random.Random(1)
     rows = [(i, " ".join(prose(i, r.randint(20, 90)) + (["|"] * 30 if i % 4 == 0 else [])), int(i % 4 != 0)) for i in range(400)]
