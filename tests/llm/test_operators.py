@@ -75,6 +75,15 @@ def test_substring_dedup(docs, hot):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [200, 1])
+def test_substring_dedup_of_one_id_with_two_texts(spark, hot):
+    passage, clean, head = prose(30, 70), prose(31, 120), prose(32, 15)
+    rows = [(1, passage), (2, head + passage + prose(33, 20)), (2, clean), (3, clean[20:100] + prose(34, 10)), (4, prose(35, 30) + clean[:60])]
+    want = [(1, " ".join(passage)), (2, " ".join(head + rows[1][1][85:])), (2, " ".join(clean)), (3, " ".join(rows[3][1][80:])), (4, " ".join(rows[4][1][:30]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string"), hot=hot)
+    assert sorted((r.doc_id, r.kept) for r in got.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("block", [8 << 20, 1])
 def test_decontamination(spark, docs, block):
     items = [(1, " ".join(prose(1, 70)[5:30])), (2, "don t"), (3, None), (None, "word"), (3, "zzz zzz"), (1, " ".join(prose(7, 12)))]

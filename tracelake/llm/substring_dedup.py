@@ -22,7 +22,7 @@ A shard holds at most SHARD_BYTES of text plus one anchor's part. Nothing is cap
 
 Null text has no words. Rows without an id are neither searched nor searched for, and stay whole.
 Rows that share an id are one document to the search: each of them loses its own repeated windows,
-none because of the other. Extra columns stay, except those named like the results.
+none because of the other. Where their texts differ, a hash of the text tells them apart. Extra columns stay, except those named like the results.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def _words(part: pa.RecordBatch, at: int):
 
 
 def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, content, doc, first (word of the document), n (windows) of every segment. docs: doc, text."""
+    """anchor, content, doc, version, first (word of the document), n (windows) of every segment. docs: doc, text, version."""
 
     def run(batches):
         for batch in batches:
@@ -93,17 +93,17 @@ def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 buf, starts, ends, row, begin = _words(part, 1)
                 anchor, of, first, n, content = segments(hash_spans(buf, starts, ends), row, window, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(anchor)), pa.array(as_long(content)), part.column(0).take(pa.array(of)), pa.array(first - begin[of], pa.int32()), pa.array(n, pa.int32())],
-                    names=["anchor", "content", "doc", "first", "n"],
+                    [pa.array(as_long(anchor)), pa.array(as_long(content)), *(part.column(k).take(pa.array(of)) for k in (0, 2)), pa.array(first - begin[of], pa.int32()), pa.array(n, pa.int32())],
+                    names=["anchor", "content", "doc", "version", "first", "n"],
                 )
 
-    return docs.filter("doc is not null and text is not null").mapInArrow(run, "anchor long, content long, doc long, first int, n int")
+    return docs.filter("doc is not null and text is not null").mapInArrow(run, "anchor long, content long, doc long, version long, first int, n int")
 
 
 def _cut_out(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """The words of each representative segment, joined by single spaces."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "part", "hot", "content", "first", "n")).alias("s"))
-    joined = docs.join(lists, "doc").select("doc", "text", "s")
+    lists = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "part", "hot", "content", "first", "n")).alias("s"))
+    joined = docs.join(lists, ["doc", "version"]).select("doc", "text", "s")
     fields = ["anchor", "part", "hot", "content", "doc", "first", "n"]
 
     def run(batches):
@@ -184,17 +184,18 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc, spans: intervals of word numbers to remove, for the documents that have some. docs: doc, text."""
+    """doc, version, spans: intervals of word numbers to remove, for the documents that have some, by doc and
+    version (a hash of the text). docs: doc, text, version."""
     seen = cut(occurrences(docs, window, gram), "occurrences")
     held = seen.groupBy("anchor").agg(
         F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("content").alias("c1"), F.max("content").alias("c2"), F.count("*").alias("k")
     ).filter("lo != hi").select("anchor", F.expr("c1 != c2").alias("several"), "k")
     flagged = cut(seen.join(held, "anchor"), "flagged")
-    head = F.min(F.struct("doc", "first", "n"))
+    head = F.min(F.struct("doc", "version", "first", "n"))
     contents = cut(flagged.groupBy("anchor", "content").agg(head.alias("head"), F.max("k").alias("k"), F.max("several").alias("several")), "contents")
     parts = F.when(F.col("k") > hot, F.pmod("content", F.ceil(F.col("k") / hot))).otherwise(0).cast("int")
     wanted = contents.filter("several").select(
-        "anchor", parts.alias("part"), (F.col("k") > hot).alias("hot"), "content", F.col("head.doc").alias("doc"), F.col("head.first").alias("first"), F.col("head.n").alias("n")
+        "anchor", parts.alias("part"), (F.col("k") > hot).alias("hot"), "content", F.col("head.doc").alias("doc"), F.col("head.version").alias("version"), F.col("head.first").alias("first"), F.col("head.n").alias("n")
     )
     found = cut(search(_cut_out(wanted, docs, window), window), "found")
     keyed = found.filter("kind = 1")
@@ -202,13 +203,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     across = keyed.join(least, ["k1", "k2"]).filter("low < doc").select("anchor", "content", "at", "end")
     windows = found.filter("kind = 0").select("anchor", "content", "at", "end").union(across)
     # Every segment of the least document with a content has the windows found for it; others lose all.
-    same = flagged.select("anchor", "content", "doc", "first", "n").join(contents.select("anchor", "content", F.col("head.doc").alias("owner")), ["anchor", "content"])
-    later = same.filter("doc > owner").select("doc", "first", (F.col("first") + F.col("n") + window - 1).alias("stop"))
-    heads = same.filter("doc = owner").select("anchor", "content", "doc", "first")
+    same = flagged.select("anchor", "content", "doc", "version", "first", "n").join(contents.select("anchor", "content", F.col("head.doc").alias("owner")), ["anchor", "content"])
+    later = same.filter("doc > owner").select("doc", "version", "first", (F.col("first") + F.col("n") + window - 1).alias("stop"))
+    heads = same.filter("doc = owner").select("anchor", "content", "doc", "version", "first")
     own = windows.join(heads, ["anchor", "content"]).select(
-        "doc", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("end") + window - 1).alias("stop")
+        "doc", "version", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("end") + window - 1).alias("stop")
     )
-    return later.union(own).groupBy("doc").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    return later.union(own).groupBy("doc", "version").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
 
 
 RESULTS = ("n_words", "n_removed", "kept")
@@ -219,9 +220,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc: str = "doc_id", win
     arrow_limits(docs.sparkSession)
     names = [c for c in docs.columns if c not in RESULTS]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
-    plain = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    spans = repeated_spans(plain, window, gram, hot).withColumnRenamed("doc", "__doc")
-    joined = docs.join(spans, F.col(f"`{doc}`").cast("long") == F.col("__doc"), "left").drop("__doc")
+    plain = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("version"))
+    spans = repeated_spans(plain, window, gram, hot).withColumnsRenamed({"doc": "__doc", "version": "__version"})
+    joined = docs.join(spans, (F.col(f"`{doc}`").cast("long") == F.col("__doc")) & (F.xxhash64(f"`{text}`") == F.col("__version")), "left").drop("__doc", "__version")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     at = names.index(text)
 
