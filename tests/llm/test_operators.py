@@ -228,6 +228,19 @@ def test_near_duplicates(spark, group):
     assert all(got[d].n_shingles == len(sets[d]) and (d is None or got[d].kept == (d == root[d])) for d in sets)
 
 
+def test_near_duplicates_by_shingles_of_five(spark):
+    import corpus_pipeline
+
+    base = prose(60, 200)
+    other = [f"new{i}" if i % 25 == 12 else w for i, w in enumerate(base)]
+    rows = [(0, " ".join(base)), (1, " ".join(other)), (2, " ".join([*base[:-1], "end"])), (3, "a b c"), (4, "A b  c"), (5, "a b"), (6, "a b c d e"), (7, None), (8, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda x: sorted(r.doc_id for r in x.collect())
+    assert ids(near_dedup.keep_one(df)) == [0, 3, 5, 6, 7, 8] and ids(near_dedup.keep_one(df, shingle=5)) == [0, 1, 3, 5, 6, 7, 8]
+    assert ids(corpus_pipeline.near_duplicates(spark, df, "")) == [0, 1, 3, 5, 6, 7, 8]
+    assert [r.n_shingles for r in near_dedup.near_duplicates(df, shingle=5).orderBy("doc_id").collect()][3:] == [1, 1, 1, 1, 0, 1]
+
+
 def test_token_counts_equal_the_library(docs):
     from tokenizers import Tokenizer
 

@@ -1,7 +1,7 @@
 """Near-duplicate documents: fast similarity sketches, banding, exact verification, components.
 
-A document's set holds its distinct 2-word shingles, words lower-cased in A-Z. Two documents are
-linked if 100 * intersection >= 80 * union; a component is what links reach.
+A document's set holds its distinct shingles of ``shingle`` words (2 unless given), words lower-cased in
+A-Z; a document with fewer words is one shingle. Two documents are linked if 100 * intersection >= 80 * union; a component is what links reach.
 
 Sketch: in round i < COORDINATES every shingle is thrown into one hashed bin, and a bin keeps the
 least hash of the first round that reached it. Round COORDINATES + j throws all shingles into bin j.
@@ -47,6 +47,8 @@ COORDINATES, BANDS = 128, 32
 GROUP = 64
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Words of a shingle.
+SHINGLE = 2
 #: Bytes of text of whole groups that are verified together.
 VERIFY_BYTES = 4 << 20
 #: Longs of a parity bitmap.
@@ -56,14 +58,20 @@ _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E
 _NONE = np.uint64(2**64 - 1)
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted set of shingle hashes of each row."""
     starts, ends, row = split_words(buf, offsets, SPACE)
     words = hash_spans(buf, starts, ends, lower=True)
     bounds = np.searchsorted(row, np.arange(len(offsets)))
-    pairs = mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:]) if len(words) else words
-    alone = mix(words + np.uint64(0x2545F4914F6CDD1D))
-    return [np.unique(pairs[a : b - 1]) if b - a > 1 else alone[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    # runs[k]: hashes of k + 1 words; those of fewer than a shingle are only for rows without more.
+    runs = [words]
+    for k in range(1, shingle):
+        runs.append(mix(runs[-1][:-1] * np.uint64(0xD6E8FEB86659FD93) + words[k:]) if len(words) > k else words[:0])
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        n = b - a
+        out.append(np.unique(runs[-1][a : b - shingle + 1]) if n >= shingle else mix(runs[n - 1][a : a + 1] + np.uint64(0x2545F4914F6CDD1D)) if n else words[:0])
+    return out
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -117,13 +125,13 @@ def parity(items: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def signatures(docs: DataFrame, text: str, doc: str) -> DataFrame:
+def signatures(docs: DataFrame, text: str, doc: str, shingle: int = SHINGLE) -> DataFrame:
     """doc, n (set size), k1 and k2 (128 bits that name the set), bands."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "__text"):
-                sets = shingle_sets(*text_buffer(part.column(1)))
+                sets = shingle_sets(*text_buffer(part.column(1)), shingle)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 k1 = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64)
                 k2 = np.array([int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))) if len(s) else 0 for s in sets], np.uint64)
@@ -157,7 +165,7 @@ def _resolve(members: list[int], sets: list[np.ndarray], percent: int) -> list[t
     return out
 
 
-def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int = PERCENT, differences: bool = False) -> DataFrame:
+def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int = PERCENT, differences: bool = False, shingle: int = SHINGLE) -> DataFrame:
     """groups: c, x, size (members besides the centre). Links (kind 0: c, x) that connect small groups, and
     those of the members of large ones to the centre; or the members' differences from it (kind 1)."""
     parts = F.ceil(F.col("size") / group).cast("int")
@@ -169,7 +177,7 @@ def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int
 
     def settle(rows: list[tuple], texts: list[bytes]):
         buf = np.frombuffer(b"".join(texts), np.uint8)
-        sets = shingle_sets(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        sets = shingle_sets(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), shingle)
         i = 0
         while i < len(rows):
             j = i
@@ -275,10 +283,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", group: int = GROUP, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", group: int = GROUP, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     arrow_limits(docs.sparkSession)
-    signed = cut(signatures(docs, text, doc), "signatures")
+    signed = cut(signatures(docs, text, doc, shingle), "signatures")
     full = signed.filter("doc is not null and n > 0")
     classes = cut(full.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.col("rep").alias("x"), F.explode("bands").alias("key"))
@@ -287,7 +295,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", gr
     groups = pairs.join(pairs.groupBy("c").agg(F.count("*").alias("size")), "c")
     texts = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     groups = cut(groups, "groups")
-    links = cut(verify(groups, texts, group, percent).select(F.col("c").alias("a"), F.col("x").alias("b")), "links")
+    links = cut(verify(groups, texts, group, percent, shingle=shingle).select(F.col("c").alias("a"), F.col("x").alias("b")), "links")
     labels = components(links)
     large = groups.filter(F.col("size") > group).select("c", "x")
     for end in ("c", "x"):
@@ -300,7 +308,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", gr
     sizes = merged.groupBy("c").agg(F.count("*").alias("size"), F.count_if(F.col("component") != F.col("c")).alias("apart")).filter("apart > 0")
     if sizes.limit(1).count():
         around = merged.join(sizes.drop("apart"), "c")
-        differences = verify(around.drop("component"), texts, group, percent, differences=True).join(merged, ["c", "x"])
+        differences = verify(around.drop("component"), texts, group, percent, differences=True, shingle=shingle).join(merged, ["c", "x"])
         inner = inner_links(cut(differences.drop("kind", "linked"), "differences"), percent)
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(inner))
     named = signed.join(classes.drop("bands"), ["n", "k1", "k2"], "left").join(labels, F.col("rep") == F.col("node"), "left")
