@@ -47,3 +47,11 @@ def test_filter_limit_and_expiry(spark, tmp_path):
     assert (got["flows_created"], got["flows_expired"]) == (3, 2)
     got = run(spark, config.from_toml(base + "filter = 'ip and src host 192.0.2.1 and port 1001'\n[run]\ncount = 2\n"))
     assert (got["frames_read"], got["flows_created"], got["flows_expired"]) == (2, 1, 0)
+
+
+def test_snaplen_does_not_cut_frames_of_files(spark, tmp_path):
+    packets = port_scan()
+    pcap.write_pcap(frames_of(spark, packets, 1000), str(tmp_path / "in"), files=1)
+    text = f"[capture]\nread_pcap = '{tmp_path}/in'\nsnaplen = 20\n[output]\nwrite_pcap = '{tmp_path}/out'\n"
+    assert run(spark, config.from_toml(text))["malformed_or_unsupported"] == 0
+    assert [bytes(r.raw) for r in pcap.read_pcap(spark, str(tmp_path / "out")).orderBy("frame_no").collect()] == packets

@@ -23,7 +23,7 @@ def run(spark: SparkSession, config: Config) -> dict:
     the filter count, decodable or not."""
     validate(config)
     out, found = config.output, config.analysis.anomalies
-    frames = pcap.read_pcap(spark, config.capture.read_pcap).withColumn("original", F.substring("raw", 1, config.capture.snaplen) if config.capture.snaplen else F.col("raw"))
+    frames = pcap.read_pcap(spark, config.capture.read_pcap).withColumn("original", F.col("raw"))  # whole: snaplen is for live capture
     packets = decode(frames.withColumn("raw", F.col("original")))
     if config.capture.filter:
         packets = packets.filter(compile_filter(config.capture.filter, packed=True))
