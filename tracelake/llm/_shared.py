@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,24 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tl_shared", None)
+    """The folder of spark.checkpoint.dir, or that of SparkContext.setCheckpointDir, as a URI that Spark
+    and pyarrow resolve alike. Where neither is set, local sessions get a temporary folder; others fail."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tl_shared", None)
+    if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark._tl_shared = "file://" + tempfile.mkdtemp(prefix="tracelake-")
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)).rstrip("/").replace("file:///", "file:/").replace("file:/", "file:///")
+
+
+def store(uri: str):
+    """The pyarrow file system of a shared folder, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -46,10 +60,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Arrow batches are bounded by rows and, where this Spark knows the setting, by bytes."""
-    for key, value in (("maxRecordsPerBatch", "4096"), ("maxBytesPerBatch", str(16 << 20))):
+    """Arrow batches are bounded by rows and, where this Spark knows the setting, by bytes; a caller's own
+    lower bounds stay."""
+    for key, most in (("maxRecordsPerBatch", 4096), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
         with contextlib.suppress(Exception):
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+            now = int(spark.conf.get(name, "0"))
+            if not 0 < now <= most:
+                spark.conf.set(name, str(most))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
@@ -107,27 +125,6 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: dict[int, np.ndarray] = {}
-_SPAN = 1 << 21
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(1024, 1 << (n - 1).bit_length())
-        out = np.empty(size, np.uint64)
-        out[0], k = 1, 1
-        while k < size:
-            out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
-            k *= 2
-        have = _POWERS[base] = out
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))
@@ -138,43 +135,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by prefix sums of a polynomial; equal bytes, equal hash."""
-    table = _BYTE[LOWER] if lower else _BYTE
-    out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
-    while i < n:
-        low = int(starts[i])
-        j = int(np.searchsorted(ends, low + _SPAN, side="right"))
-        if j <= i:  # one span longer than a block
-            total = 0
-            for at in range(low, int(ends[i]), _SPAN):
-                part = table[buf[at : min(at + _SPAN, int(ends[i]))]]
-                total += int(np.sum(part * powers(_BASE, len(part)), dtype=np.uint64)) * pow(_BASE, at - low, 1 << 64)
-            out[i] = total & ((1 << 64) - 1)
-            i += 1
-            continue
-        block = table[buf[low : int(ends[j - 1])]]
-        sums = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(block * powers(_BASE, len(block)), out=sums[1:])
-        s = starts[i:j] - low
-        out[i:j] = (sums[ends[i:j] - low] - sums[s]) * powers(_INVERSE, len(block))[s]
-        i = j
-    return mix(out)
-
-
-_STEP = 0xD6E8FEB86659FD93
-_STEP_INVERSE = pow(_STEP, -1, 1 << 64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The lowest k bytes of a 64-bit value.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans longer than this are read one by one.
+_LONG = 1024
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(buf) + 1,), (1,))
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, eight bytes at a time, each step through mix()."""
+    if lower and len(buf):
+        buf = LOWER[buf]
+    eights, lengths = _eights(buf), ends - starts
+    out = mix(lengths.astype(np.uint64) * _ODD + np.uint64(seed + 1))
+    live = np.flatnonzero((lengths > 0) & (lengths <= _LONG))
+    at, left = starts[live], lengths[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (eights[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed)
+    return out
 
 
-def prefix_sums(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_STEP, len(hashes)), out=out[1:])
+def _same(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each span has the same bytes as the span of number others[i]."""
+    lengths = ends - starts
+    out = lengths == lengths[others]
+    eights = _eights(buf)
+    live = np.flatnonzero(out & (lengths > 0) & (lengths <= _LONG) & (others != np.arange(len(others))))
+    a, b, left = starts[live], starts[others[live]], lengths[live]
+    while len(live):
+        equal = (eights[a] ^ eights[b]) & _LOW[np.minimum(left, 8)] == 0
+        out[live[~equal]] = False
+        more = equal & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for i in np.flatnonzero(out & (lengths > _LONG)).tolist():
+        j = int(others[i])
+        out[i] = np.array_equal(buf[starts[i] : ends[i]], buf[starts[j] : ends[j]])
     return out
 
 
-def hash_runs(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of runs of words, from prefix_sums() of the words' hashes."""
-    return mix((sums[ends] - sums[starts]) * powers(_STEP_INVERSE, len(sums))[starts])
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each content, and for every span the number of its content in that list. Hashes only
+    propose what is equal; the bytes decide."""
+    keys = hash_spans(buf, starts, ends)
+    first, where = np.unique(keys, return_index=True, return_inverse=True)[1:]
+    odd = np.flatnonzero(~_same(buf, starts, ends, first[where]))
+    while len(odd):  # equal hashes of different bytes: the least of what is left begins a content of its own
+        heads, of = np.unique(keys[odd], return_index=True, return_inverse=True)[1:]
+        where[odd] = len(first) + of
+        first = np.concatenate([first, odd[heads]])
+        odd = odd[~_same(buf, starts, ends, first[where])[odd]]
+    return first, where
+
+
+def hash_runs(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, given the words' hashes: runs of 1, 2, 4, ... words are hashed by pairs,
+    and a run is put together from those that the bits of its length name."""
+    lengths = ends - starts
+    out, at = mix(lengths.astype(np.uint64) * _ODD + np.uint64(1)), starts.copy()
+    level, k = words, 1
+    while len(lengths) and k <= int(lengths.max()):
+        has = np.flatnonzero(lengths & k)
+        out[has] = mix(out[has] * _ODD + level[at[has]])
+        at[has] += k
+        level = mix(level[:-k] * _ODD + level[k:]) if len(level) > k else level[:0]
+        k *= 2
+    return out
 
 
 def as_long(hashes: np.ndarray) -> np.ndarray:
@@ -189,3 +225,17 @@ def ranges(counts: np.ndarray) -> np.ndarray:
 
 def docs_only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(c) for c in columns))
+
+
+def by_least_hash(rows: DataFrame, column: str, most: int, distinct: bool = False) -> DataFrame:
+    """rows whose 64-bit hash is below a bound that at least ``most`` of them (or of the distinct hashes)
+    are expected to pass, about twice as many. So a sort for the least ``most`` holds a bounded number of
+    rows, however many partitions there are. All rows, if there are not more."""
+    counted = F.approx_count_distinct(column) if distinct else F.count(column)
+    share = 2 * most / max(1, rows.agg(counted).first()[0])
+    while share < 1:
+        near = rows.filter(F.col(column) < F.lit(int(share * 2**64) - 2**63).cast("long"))
+        if near.agg(F.count_distinct(column) if distinct else F.count(column)).first()[0] >= most:
+            return near
+        share *= 2
+    return rows

@@ -7,11 +7,13 @@ associatively and their closure under composition is small, so a batch is scanne
 product of each block, then the products before each block, then the states inside all blocks at
 once. A start of a token is a property of (state before, class).
 
-The slices between starts feed pair merging by rank. Distinct slices are merged once and remembered.
+The slices between starts feed pair merging by rank. Distinct slices, told apart by their bytes, are merged
+once and remembered.
 Ids come with the byte offset of each token, so any range of ids decodes to a range of the text.
 
 Null text counts as empty: no ids. Rows are independent, so repeated rows and ties give equal results;
-extra columns stay, except those named like the results. Long slices merge in O(n log n).
+extra columns stay, except those named like the results. An empty table gives no rows. Texts are encoded
+whole, however long, and long slices merge in O(n log n).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm._shared import arrow_limits, hash_spans, ranges, slices, text_buffer
+from tracelake.llm._shared import arrow_limits, distinct_spans, ranges, slices, text_buffer
 
 # Classes. Each has a twin, + ROW, for the first character of a row, which forgets what came before.
 LETTER, NUMBER, OTHER, SHORT, LONG, INNER, SPACE, GAP, SAME = range(9)
@@ -39,6 +41,8 @@ BLOCK = 64
 REMEMBERED = 1 << 19
 #: From this length on a slice is merged with a heap.
 HEAP_FROM = 96
+#: Bytes of a slice that is remembered, at most.
+LONGEST_REMEMBERED = 256
 
 
 def _step(state: int, kind: int) -> tuple[int, bool]:
@@ -270,7 +274,7 @@ class Codec:
         for token, i in self.ranks.items():
             self.bytes[i] = token
         self.lengths = np.array([len(t) for t in self.bytes], np.int64)
-        self.cache: dict[int, list[int]] = {}
+        self.cache: dict[bytes, list[int]] = {}
         self.merger = PairMerger(self.ranks)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,25 +285,27 @@ class Codec:
         points, at = code_points(buf)
         starts = at[token_starts(points, np.searchsorted(at, np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])))]
         ends = np.append(starts[1:], len(buf))
-        keys, first, where = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+        first, where = distinct_spans(buf, starts, ends)
         raw, cache = buf.tobytes(), self.cache
         if len(cache) > REMEMBERED:
             cache.clear()
         found, new, short = [], [], []
-        for i, (key, a, b) in enumerate(zip(keys.tolist(), starts[first].tolist(), ends[first].tolist())):
-            ids = cache.get(key)
+        for i, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist())):
+            piece = raw[a:b]
+            ids = cache.get(piece)
             if ids is None:
-                piece = raw[a:b]
                 if (whole := self.ranks.get(piece)) is not None:
-                    ids = cache[key] = [whole]
+                    ids = [whole]
                 elif b - a >= HEAP_FROM:
-                    ids = cache[key] = merge(piece, self.ranks)
+                    ids = merge(piece, self.ranks)
                 else:
-                    new.append((i, key))
+                    new.append(i)
                     short.append(piece)
+                if ids is not None and b - a <= LONGEST_REMEMBERED:
+                    cache[piece] = ids
             found.append(ids)
-        for (i, key), ids in zip(new, self.merger.merge(short) if short else ()):
-            found[i] = cache[key] = ids
+        for i, piece, ids in zip(new, short, self.merger.merge(short) if short else ()):
+            found[i] = cache[piece] = ids
         sizes = np.array([len(x) for x in found], np.int64)
         flat = np.array([i for x in found for i in x], np.int32)
         begin = np.cumsum(sizes) - sizes

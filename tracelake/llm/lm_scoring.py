@@ -2,12 +2,12 @@
 
 Relationally: explode documents into n-grams, count them in tables partitioned by hash, join the
 counts to the exploded n-grams, sum per document. A row for each n-gram would move the corpus many
-times over, so rows are packed: documents are dealt into slices; a slice sends each hash partition
-one sorted, delta-coded list of its distinct n-grams and their counts; the partition adds up all
-lists and answers each slice with the totals, aligned with its list. The slice then has the count of
-every n-gram of its documents and sums their scores. The orders are counted
-one after the other, so that the disk holds the lists of one order at a time: text moves once for each
-order and once for the scores, an n-gram about once.
+times over, so rows are packed: documents are dealt into slices, a slice holds its n-grams exploded, and
+sends each hash partition one sorted, delta-coded list of the distinct ones and their counts. The
+partition is the count table of its n-grams: it adds up all lists and joins the totals to each of them, in
+its order. The slice then has the count of every n-gram of its documents and sums their scores. The
+orders are counted one after the other, so that the disk holds the lists of one order at a time: text
+moves once for each order and once for the scores, an n-gram about once.
 
 The score of a word is that of the longest n-gram, up to ORDER words, that ends with it and is found
 MIN_COUNT times or more: log(count / count of its context), plus log(BACKOFF) for each order given
@@ -16,8 +16,9 @@ up. A single word has log(count / all words), whatever its count.
 All counts are over all documents, the scored one included. Rows that share an id are one document:
 their sums are added. A null id is an id like any other. Null text and text without words have
 0 words, a log_score of 0 and no mean. Very frequent n-grams cost one entry a slice, so none is hot.
-Lists number slices times partitions: with slices of 12 MB that suits corpora of some 100 GB of text;
-beyond, raise ``slice_bytes`` with the memory of the executors.
+Only lists that hold something are sent, so there are never more of them than exploded rows; slices
+and partitions grow in number with the corpus, not in size, but for a document longer than a slice.
+Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm._shared import SPACE, arrow_limits, cut, hash_runs, hash_spans, prefix_sums, split_words, text_buffer
+from tracelake.llm._shared import SPACE, arrow_limits, cut, hash_runs, hash_spans, split_words, text_buffer
 
 ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
 SLICE_BYTES = 12 << 20
+LEAST_BYTES = 2 << 20
 #: Bytes of text for each hash partition.
 PARTITION_BYTES = 24 << 20
 
@@ -71,14 +73,14 @@ class Slice:
         buf = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         starts, ends, self.row = split_words(buf, offsets, SPACE)
-        self.sums = prefix_sums(hash_spans(buf, starts, ends))
+        self.hashes = hash_spans(buf, starts, ends)
         self.words = len(starts)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Last word of each n-gram of k words, hash of each."""
         last = np.arange(k - 1, self.words)
         last = last[self.row[last] == self.row[last - k + 1]] if k > 1 and len(last) else last
-        return last, hash_runs(self.sums, last - k + 1, last + 1)
+        return last, hash_runs(self.hashes, last - k + 1, last + 1)
 
     def list(self, k: int):
         """The sorted distinct hashes and their counts."""
@@ -135,7 +137,9 @@ def score_documents(docs: DataFrame, text: str = "text", doc: str = "doc_id", or
     arrow_limits(spark)
     own = docs.select(F.col(f"`{doc}`").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // slice_bytes))
+    # A small corpus has smaller slices, so that all cores have one.
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-size // slice_bytes), min(cores, size // LEAST_BYTES))
     bits = max(0, (size // PARTITION_BYTES).bit_length())
     dealt = own.withColumn("slice", F.pmod(F.xxhash64("doc"), F.lit(slices)).cast("int"))
 
@@ -149,8 +153,9 @@ def score_documents(docs: DataFrame, text: str = "text", doc: str = "doc_id", or
             for number, rows in _groups(batches, 0, 3):
                 keys, counts = Slice([r[2].encode() for r in rows]).list(k)
                 edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(keys)]
-                out = [(p, number, pack(keys[a:b]), zstandard.compress(counts[a:b].astype("<u4").tobytes(), 1)) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["p", "slice", "keys", "counts"])
+                parts = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+                out = [(p, number, pack(keys[a:b]), zstandard.compress(counts[a:b].astype("<u4").tobytes(), 1)) for p, a, b in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, types)], names=["p", "slice", "keys", "counts"])
 
         def add(batches):
             types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]

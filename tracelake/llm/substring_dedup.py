@@ -8,7 +8,7 @@ are routed. The least hash of the GRAM-word runs inside a window, its anchor, de
 window's words: equal windows have equal anchors. A segment is a run of windows with one anchor.
 
 1. Anchors are counted; one that a single document holds cannot have a match elsewhere.
-2. Equal segments of an anchor are one; the least document stands for them. All windows of the others
+2. Equal segments of an anchor (128-bit keys) are one; the least document stands for them. All windows of the others
    are removed. Where an anchor has just one content, that settles it.
 3. The remaining contents go to shards by anchor. A shard builds an FM-index over its segments
    (word BWT in a wavelet matrix) and streams them through backward search. Where the matching
@@ -20,7 +20,9 @@ window's words: equal windows have equal anchors. A segment is a run of windows
 
 A shard holds at most SHARD_BYTES of text plus one anchor's part. Nothing is capped or dropped.
 
-Null text has no words. Rows without an id are neither searched nor searched for, and stay whole.
+Joins on a frequent anchor or content have it on one side only many times, so adaptive execution can split
+that side. Null text has no words; an empty table gives no rows; a very long text is cut into segments like
+any other. Ids must be integers or cast to them. Rows without an id are neither searched nor searched for, and stay whole.
 Rows that share an id are one document to the search: each of them loses its own repeated windows,
 none because of the other. Where their texts differ, a hash of the text tells them apart. Extra columns stay, except those named like the results.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_runs, hash_spans, prefix_sums, ranges, slices, split_words, text_buffer
+from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_runs, hash_spans, mix, ranges, slices, split_words, text_buffer
 from tracelake.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -57,13 +59,12 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(words: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of all rows' segments: anchor, row, first word (in the joined words), windows, hash of the content."""
+    """Of all rows' segments: anchor, row, first word (in the joined words), windows, two hashes of the content."""
     n = len(words)
     empty = np.empty(0, np.int64)
     if n < window:
-        return empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
-    sums = prefix_sums(words)
-    grams = hash_runs(sums, np.arange(n - gram + 1), np.arange(gram, n + 1))
+        return empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+    grams = hash_runs(words, np.arange(n - gram + 1), np.arange(gram, n + 1))
     least = _sliding_least(grams, window - gram + 1)
     start = np.flatnonzero(row[window - 1 :] == row[: n - window + 1])
     anchor, of = least[start], row[start]
@@ -74,7 +75,8 @@ def segments(words: np.ndarray, row: np.ndarray, window: int, gram: int) -> tupl
     head = np.repeat(run, parts) + ranges(parts) * LONGEST
     count = np.minimum(LONGEST, np.repeat(run + sizes, parts) - head)
     first = start[head]
-    return anchor[head], of[head], first, count, hash_runs(sums, first, first + count + window - 1)
+    stop = first + count + window - 1
+    return anchor[head], of[head], first, count, hash_runs(words, first, stop), hash_runs(mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first, stop)
 
 
 def _words(part: pa.RecordBatch, at: int):
@@ -85,26 +87,27 @@ def _words(part: pa.RecordBatch, at: int):
 
 
 def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, content, doc, version, first (word of the document), n (windows) of every segment. docs: doc, text, version."""
+    """anchor, content, twin, doc, version, first (word of the document), n (windows) of every segment. docs:
+    doc, text, version. content and twin, 128 bits together, name the segment's words."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 buf, starts, ends, row, begin = _words(part, 1)
-                anchor, of, first, n, content = segments(hash_spans(buf, starts, ends), row, window, gram)
+                anchor, of, first, n, content, twin = segments(hash_spans(buf, starts, ends), row, window, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(anchor)), pa.array(as_long(content)), *(part.column(k).take(pa.array(of)) for k in (0, 2)), pa.array(first - begin[of], pa.int32()), pa.array(n, pa.int32())],
-                    names=["anchor", "content", "doc", "version", "first", "n"],
+                    [*(pa.array(as_long(x)) for x in (anchor, content, twin)), *(part.column(k).take(pa.array(of)) for k in (0, 2)), pa.array(first - begin[of], pa.int32()), pa.array(n, pa.int32())],
+                    names=["anchor", "content", "twin", "doc", "version", "first", "n"],
                 )
 
-    return docs.filter("doc is not null and text is not null").mapInArrow(run, "anchor long, content long, doc long, version long, first int, n int")
+    return docs.filter("doc is not null and text is not null").mapInArrow(run, "anchor long, content long, twin long, doc long, version long, first int, n int")
 
 
 def _cut_out(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """The words of each representative segment, joined by single spaces."""
-    lists = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "part", "hot", "content", "first", "n")).alias("s"))
+    lists = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "part", "hot", "content", "twin", "first", "n")).alias("s"))
     joined = docs.join(lists, ["doc", "version"]).select("doc", "text", "s")
-    fields = ["anchor", "part", "hot", "content", "doc", "first", "n"]
+    fields = ["anchor", "part", "hot", "content", "twin", "doc", "first", "n"]
 
     def run(batches):
         for batch in batches:
@@ -118,20 +121,20 @@ def _cut_out(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                     for s in found:
                         text = words[s["first"] : s["first"] + s["n"] + window - 1]
                         if len(text) == s["n"] + window - 1:
-                            out.append((s["anchor"], s["part"], s["hot"], s["content"], doc, s["first"], s["n"], b" ".join(text)))
-                columns = list(zip(*out)) if out else [[]] * 8
-                types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                            out.append((s["anchor"], s["part"], s["hot"], s["content"], s["twin"], doc, s["first"], s["n"], b" ".join(text)))
+                columns = list(zip(*out)) if out else [[]] * 9
+                types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*fields, "words"])
 
-    return joined.mapInArrow(run, "anchor long, part int, hot boolean, content long, doc long, first int, n int, words binary")
+    return joined.mapInArrow(run, "anchor long, part int, hot boolean, content long, twin long, doc long, first int, n int, words binary")
 
 
 def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Streams the segments of each shard through the FM-index of that shard. kind 0: windows at and up to
     ``end`` of a segment occur in a smaller document; kind 1: a window of a hot anchor with its key."""
     spread = shards.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    schema = "kind int, anchor long, content long, doc long, at int, end int, k1 long, k2 long"
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    schema = "kind int, anchor long, content long, twin long, doc long, at int, end int, k1 long, k2 long"
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def settle(rows: list[tuple], texts: list[bytes]):
@@ -140,7 +143,7 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
         starts, ends, row = split_words(buf, offsets, SPACE)
         words = hash_spans(buf, starts, ends)
         lengths = np.bincount(row, minlength=len(texts))
-        docs = np.array([r[4] for r in rows], np.int64)
+        docs = np.array([r[5] for r in rows], np.int64)
         index = FMIndex(words, lengths, docs, window)
         found, least = index.matching_statistics(words, lengths)
         hit = (found >= window) & (least < docs[row])
@@ -150,7 +153,7 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
             while a < b:  # a run of hits may go on in the next segment
                 r = int(row[a])
                 stop = min(b, int(begin[r] + lengths[r]))
-                yield 0, rows[r][0], rows[r][3], rows[r][4], a - int(begin[r]), stop - int(begin[r]), None, None
+                yield 0, rows[r][0], *rows[r][3:6], a - int(begin[r]), stop - int(begin[r]), None, None
                 a = stop
         raw = buf.tobytes()
         for r, line in enumerate(rows):
@@ -158,7 +161,7 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
                 s, e = starts[begin[r] : begin[r] + lengths[r]], ends[begin[r] : begin[r] + lengths[r]]
                 for w in range(lengths[r] - window + 1):
                     key = xxhash.xxh3_128_intdigest(raw[s[w] : e[w + window - 1]])
-                    yield 1, line[0], line[3], line[4], w, w + 1, (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63)
+                    yield 1, line[0], *line[3:6], w, w + 1, (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63)
 
     def run(batches):
         rows, texts, size = [], [], 0
@@ -168,9 +171,9 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         for batch in batches:
-            raw, offsets = text_buffer(batch.column(7))
+            raw, offsets = text_buffer(batch.column(8))
             body = raw.tobytes()
-            for r, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(7)))):
+            for r, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)))):
                 if size > shard_bytes and rows[-1][:2] != row[:2]:
                     yield flush()
                     rows, texts, size = [], [], 0
@@ -186,27 +189,29 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc, version, spans: intervals of word numbers to remove, for the documents that have some, by doc and
     version (a hash of the text). docs: doc, text, version."""
+    named = ["anchor", "content", "twin"]
     seen = cut(occurrences(docs, window, gram), "occurrences")
     held = seen.groupBy("anchor").agg(
-        F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("content").alias("c1"), F.max("content").alias("c2"), F.count("*").alias("k")
-    ).filter("lo != hi").select("anchor", F.expr("c1 != c2").alias("several"), "k")
+        F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("k"),
+        *(f(c).alias(a + c) for c in ("content", "twin") for a, f in (("lo_", F.min), ("hi_", F.max))),
+    ).filter("lo != hi").select("anchor", F.expr("lo_content != hi_content or lo_twin != hi_twin").alias("several"), "k")
     flagged = cut(seen.join(held, "anchor"), "flagged")
     head = F.min(F.struct("doc", "version", "first", "n"))
-    contents = cut(flagged.groupBy("anchor", "content").agg(head.alias("head"), F.max("k").alias("k"), F.max("several").alias("several")), "contents")
+    contents = cut(flagged.groupBy(*named).agg(head.alias("head"), F.max("k").alias("k"), F.max("several").alias("several")), "contents")
     parts = F.when(F.col("k") > hot, F.pmod("content", F.ceil(F.col("k") / hot))).otherwise(0).cast("int")
     wanted = contents.filter("several").select(
-        "anchor", parts.alias("part"), (F.col("k") > hot).alias("hot"), "content", F.col("head.doc").alias("doc"), F.col("head.version").alias("version"), F.col("head.first").alias("first"), F.col("head.n").alias("n")
+        "anchor", parts.alias("part"), (F.col("k") > hot).alias("hot"), "content", "twin", F.col("head.doc").alias("doc"), F.col("head.version").alias("version"), F.col("head.first").alias("first"), F.col("head.n").alias("n")
     )
     found = cut(search(_cut_out(wanted, docs, window), window), "found")
     keyed = found.filter("kind = 1")
     least = keyed.groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low != high").select("k1", "k2", "low")
-    across = keyed.join(least, ["k1", "k2"]).filter("low < doc").select("anchor", "content", "at", "end")
-    windows = found.filter("kind = 0").select("anchor", "content", "at", "end").union(across)
+    across = keyed.join(least, ["k1", "k2"]).filter("low < doc").select(*named, "at", "end")
+    windows = found.filter("kind = 0").select(*named, "at", "end").union(across)
     # Every segment of the least document with a content has the windows found for it; others lose all.
-    same = flagged.select("anchor", "content", "doc", "version", "first", "n").join(contents.select("anchor", "content", F.col("head.doc").alias("owner")), ["anchor", "content"])
+    same = flagged.select(*named, "doc", "version", "first", "n").join(contents.select(*named, F.col("head.doc").alias("owner")), named)
     later = same.filter("doc > owner").select("doc", "version", "first", (F.col("first") + F.col("n") + window - 1).alias("stop"))
-    heads = same.filter("doc = owner").select("anchor", "content", "doc", "version", "first")
-    own = windows.join(heads, ["anchor", "content"]).select(
+    heads = same.filter("doc = owner").select(*named, "doc", "version", "first")
+    own = windows.join(heads, named).select(
         "doc", "version", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("end") + window - 1).alias("stop")
     )
     return later.union(own).groupBy("doc", "version").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))

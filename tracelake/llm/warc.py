@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm._shared import arrow_limits, cut, scratch
+from tracelake.llm._shared import arrow_limits, cut, scratch, store as _store
 
 MIN_REVISIT = 100
 #: Bytes of an archive file, about.
@@ -41,12 +41,6 @@ DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 
 
-def _store(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def url_key(url: Column) -> Column:
     """org,example,www)/path?query for http://www.example.org/path?query; ``-`` without a url."""
     rest = F.regexp_replace(url, "^[^:/?#]*://", "")
