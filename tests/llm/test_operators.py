@@ -251,8 +251,13 @@ def test_token_counts_equal_the_library(docs):
 
 
 def test_quality_rules(docs):
-    order = [x[0] for x in quality_rules.estimate(docs, quality_rules.method_rules())]
-    assert sorted(order) == sorted(quality_rules.method_rules())
+    found = quality_rules.estimate(docs.filter("doc_id is not null"))
+    share = {name: hits for name, hits, _ in found}
+    assert len(found) == 7 and share["too_short"] > 0.3 and share["digits"] == 0 and all(cost > 0 for *_, cost in found)
+    none = docs.limit(0)
+    assert quality_rules.keep(none).count() == quality_rules.judge(none).count() == 0
+    assert len({r.kept for r in quality_rules.judge(docs).filter("doc_id = 13").collect()}) == 1 and quality_rules.keep(docs).columns == docs.columns
+    assert [x for x, *_ in quality_rules.estimate(none)] == sorted(share)
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert (got[14].n_words, got[14].n_repeat_words, got[14].base_failed) == (600, 600, True)
     assert got[6].n_words == 0 and not got[6].kept and got[2].kept and got[8].n_words == 60_000
