@@ -7,9 +7,10 @@ which leaves few of them, and those are compiled into one Spark Column. Scoring
 The sample is the TRAIN_ROWS labelled rows with the smallest hashes of their id, of the rows that
 may be learned from; only their statistics reach the driver. Every document is scored, whole.
 
-Null and empty texts have all statistics 0 and get a score like any other. A null id is never held
-out. Without labels of both classes the score is the share of label 1 (0.5 without any). Rows that
-repeat are scored alike; extra columns stay.
+Null and empty texts have all statistics 0 and get a score like any other, very long ones are scored
+whole. A null id is never held out and never learned from. Without labels of both classes the score is
+the share of label 1 (0.5 without any). An empty table gives no rows. Rows that repeat are scored alike;
+extra columns stay, except those named like the results.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import quality_rules as q
+from tracelake.llm._shared import by_least_hash
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS = 24, 3, 32
@@ -171,7 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
     """A model of label from docs' texts, on at most ``rows`` labelled rows that are not held out."""
     own = F.col(doc).cast("string")
     usable = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull() & ~held_out(F.col(doc)))
-    chosen = usable.select(F.col(doc).alias("__id"), F.col(label).cast("double").alias("__y"), F.xxhash64(own).alias("__h")).orderBy("__h", "__id").limit(rows)
+    hashed = usable.select(F.col(doc).alias("__id"), F.col(label).cast("double").alias("__y"), F.xxhash64(own).alias("__h"))
+    chosen = by_least_hash(hashed, "__h", rows).orderBy("__h", "__id").limit(rows)
     # At most ``rows`` pairs of numbers, so the side is bounded.
     joined = docs.select(F.col(doc).alias("__doc"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
     table = statistics(joined, "text").orderBy("__h", "__id").select("__y", *("__f_" + f for f in FEATURES)).limit(2 * rows).collect()
