@@ -23,6 +23,8 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm._shared import cut
+
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -169,7 +171,9 @@ def estimate(docs: DataFrame, rules=all_rules, rows: int = SAMPLE_ROWS, text: st
     texts = [r.t for r in small.take(rows)]
     if not texts:
         return sorted((name, 0.0, 0.0) for name in rules(F.lit(""), F.array(), F.array()))
-    copies = docs.sparkSession.range(0, COPIES, 1, 1).select(F.explode(F.lit(texts)).alias("t"))
+    # As a table, not as a literal: plans keep the text of literals.
+    table = cut(docs.sparkSession.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "sample")
+    copies = table.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))) if COPIES > 1 else table
 
     def asked(rule) -> DataFrame:
         """Counts the rows that the rule hits; the text is split for every rule."""
