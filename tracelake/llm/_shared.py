@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -70,6 +71,13 @@ def arrow_limits(spark: SparkSession) -> None:
                 spark.conf.set(name, str(most))
 
 
+def release() -> None:
+    """Hands freed memory back to the system: the Python workers of an executor share its limit with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Consecutive parts of batch whose text has at most ``limit`` bytes, or one row."""
     at = batch.schema.get_field_index(column)
@@ -79,6 +87,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield batch.slice(i, min(j, n) - i)
         i = j
+    release()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_spans, mix, slices, split_words, text_buffer
+from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_spans, mix, release, slices, split_words, text_buffer
 
 COORDINATES, BANDS = 128, 32
 #: Classes of a group, or of a part of one, that one task holds.
@@ -216,11 +216,13 @@ def verify(groups: DataFrame, docs: DataFrame, group: int = GROUP, percent: int
                 if size > VERIFY_BYTES and rows[-1][:2] != row[:2]:
                     yield flush()
                     rows, texts, size = [], [], 0
+                    release()
                 rows.append(row)
                 texts.append(body[offsets[r] : offsets[r + 1]])
                 size += len(texts[-1])
         if rows:
             yield flush()
+        release()
 
     return spread.mapInArrow(run, OUT)
 

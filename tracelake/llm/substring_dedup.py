@@ -31,12 +31,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_runs, hash_spans, mix, ranges, slices, split_words, text_buffer
+from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_runs, hash_spans, mix, ranges, release, slices, split_words, text_buffer
 from tracelake.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -143,45 +142,50 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
         starts, ends, row = split_words(buf, offsets, SPACE)
         words = hash_spans(buf, starts, ends)
         lengths = np.bincount(row, minlength=len(texts))
-        docs = np.array([r[5] for r in rows], np.int64)
+        own = [np.array([r[k] for r in rows], np.int64) for k in (0, 3, 4, 5)]
+        docs = own[3]
         index = FMIndex(words, lengths, docs, window)
         found, least = index.matching_statistics(words, lengths)
         hit = (found >= window) & (least < docs[row])
+        del index, found, least
         begin = np.cumsum(lengths) - lengths
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-            while a < b:  # a run of hits may go on in the next segment
-                r = int(row[a])
-                stop = min(b, int(begin[r] + lengths[r]))
-                yield 0, rows[r][0], *rows[r][3:6], a - int(begin[r]), stop - int(begin[r]), None, None
-                a = stop
-        raw = buf.tobytes()
-        for r, line in enumerate(rows):
-            if line[2]:
-                s, e = starts[begin[r] : begin[r] + lengths[r]], ends[begin[r] : begin[r] + lengths[r]]
-                for w in range(lengths[r] - window + 1):
-                    key = xxhash.xxh3_128_intdigest(raw[s[w] : e[w + window - 1]])
-                    yield 1, line[0], *line[3:6], w, w + 1, (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63)
+        # A run of hits ends with its segment, though the next one may begin with a hit.
+        heads = np.flatnonzero((edge[:-1] == 1) | (hit & (np.arange(len(hit)) == begin[row])))
+        stops = np.minimum(np.flatnonzero(edge == -1)[np.searchsorted(np.flatnonzero(edge == -1), heads, side="right")], (begin + lengths)[row[heads]])
+        of = row[heads]
+        yield _columns(0, [x[of] for x in own], heads - begin[of], stops - begin[of], None)
+        hot = np.array([r[2] for r in rows], bool)
+        windows = np.where(hot, lengths - window + 1, 0)
+        of, at = np.repeat(np.arange(len(rows)), windows), ranges(windows)
+        twin = hash_spans(buf, starts, ends, seed=1)
+        for i in range(0, len(of), 1 << 16):
+            r, w = of[i : i + (1 << 16)], at[i : i + (1 << 16)]
+            first = begin[r] + w
+            yield _columns(1, [x[r] for x in own], w, w + 1, [hash_runs(x, first, first + window) for x in (words, twin)])
+
+    def _columns(kind: int, own: list, at: np.ndarray, end: np.ndarray, keys: list | None) -> pa.RecordBatch:
+        keys = [pa.array(as_long(k)) for k in keys] if keys else [pa.nulls(len(at), pa.int64())] * 2
+        columns = [np.full(len(at), kind), *own, at, end]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), *keys], names=names)
 
     def run(batches):
         rows, texts, size = [], [], 0
 
-        def flush():
-            columns = list(zip(*settle(rows, texts))) or [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
         for batch in batches:
             raw, offsets = text_buffer(batch.column(8))
             body = raw.tobytes()
             for r, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)))):
                 if size > shard_bytes and rows[-1][:2] != row[:2]:
-                    yield flush()
+                    yield from settle(rows, texts)
                     rows, texts, size = [], [], 0
+                    release()
                 rows.append(row)
                 texts.append(body[offsets[r] : offsets[r + 1]])
                 size += len(texts[-1])
         if rows:
-            yield flush()
+            yield from settle(rows, texts)
+        release()
 
     return spread.mapInArrow(run, schema)
 
