@@ -52,10 +52,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a table whose number of rows is known that a task writes, at least.
+TASK_ROWS = 50_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs
-    no more than the tasks after this table."""
+    no more than the tasks after this table. ``rows``, a bound on the rows of df, keeps small tables from
+    being written by as many tasks as there are shuffle partitions."""
     path = scratch(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -269,16 +269,17 @@ def inner_links(diffs: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= p * (F.col("n1") + F.col("n2") - common)).select(F.col("x1").alias("a"), F.col("x2").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node that it reaches) for the nodes of edges (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, label (the least node that it reaches) for the nodes of edges (a, b); ``most``: twice the edges, if known."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", most)
+    rows = both.count()
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels", rows)
     while True:
         heard = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
         low = heard.union(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
         to = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = low.join(to, "label", "left").select("node", F.least("label", "further").alias("label"))
-        new = cut(jumped, "labels")
+        new = cut(jumped, "labels", rows)
         moved = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label != old").limit(1).count()
         labels = new
         if not moved:
@@ -291,14 +292,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", gr
     signed = cut(signatures(docs, text, doc, shingle), "signatures")
     full = signed.filter("doc is not null and n > 0")
     classes = cut(full.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "classes")
+    distinct = classes.count()
     members = classes.select(F.col("rep").alias("x"), F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("x").alias("c"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    pairs = cut(members.join(buckets, "key").filter("x != c").select("c", "x").distinct(), "pairs")
+    pairs = cut(members.join(buckets, "key").filter("x != c").select("c", "x").distinct(), "pairs", BANDS * distinct)
     groups = pairs.join(pairs.groupBy("c").agg(F.count("*").alias("size")), "c")
     texts = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    groups = cut(groups, "groups")
+    n = pairs.count()
+    groups = cut(groups, "groups", n)
     links = cut(verify(groups, texts, group, percent, shingle=shingle).select(F.col("c").alias("a"), F.col("x").alias("b")), "links")
-    labels = components(links)
+    labels = components(links, 2 * links.count())
     large = groups.filter(F.col("size") > group).select("c", "x")
     for end in ("c", "x"):
         of = labels.select(F.col("node").alias(end), F.col("label").alias("l" + end))
@@ -306,7 +309,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", gr
     # A centre has been checked against all its members, so a group whose members are in one component is done.
     several = large.groupBy("c").agg(F.min("lx").alias("lo"), F.max("lx").alias("hi")).filter("lo != hi").select("c")
     large = large.join(several, "c")
-    merged = cut(large.select(F.col("lc").alias("c"), "x", F.col("lx").alias("component")).filter("c != x").distinct(), "merged")
+    merged = cut(large.select(F.col("lc").alias("c"), "x", F.col("lx").alias("component")).filter("c != x").distinct(), "merged", n)
     sizes = merged.groupBy("c").agg(F.count("*").alias("size"), F.count_if(F.col("component") != F.col("c")).alias("apart")).filter("apart > 0")
     if sizes.limit(1).count():
         around = merged.join(sizes.drop("apart"), "c")
