@@ -6,13 +6,23 @@ DataFrame operations, but for the sweep clock, a pass over two numbers a frame.
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, deque
+from functools import partial
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.folds import fold
+from tracelake.sources.tables import cut
+
 KEY = ("protocol", "a_ip", "a_port", "b_ip", "b_port")
 #: Frames whose running maxima and sweep look-ups are computed together.
 CHUNK = 1 << 16
+#: Time in which ends of flows and sweeps meet.
+SLOT_US = 60_000_000
 
 
 def eligible(packets: DataFrame) -> DataFrame:
@@ -63,25 +73,51 @@ def sweeps(frames: DataFrame, every_us: int = 1_000_000) -> DataFrame:
     def run(batches):
         last = None
         for batch in batches:
-            out = []
-            for frame, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if last is None or mark - last >= every_us:
-                    last = mark
-                    out.append((frame, mark))
-            columns = list(zip(*out)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["frame_no", "sweep_us"])
-
-    # The chain is sequential by definition. It streams two numbers a frame; within a chunk only frames that raise the watermark matter.
+            frames, marks = (np.asarray(batch.column(k)) for k in (0, 1))
+            at, found = 0, []
+            while True:  # one jump a sweep
+                at = at if last is None else int(np.searchsorted(marks, last + every_us))
+                if at >= len(marks):
+                    break
+                last = int(marks[at])
+                found.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(frames[found], pa.int64()), pa.array(marks[found], pa.int64())], names=["frame_no", "sweep_us"])
+
+    # The chain is sequential by definition. It streams two numbers a frame; only frames that raise the watermark matter.
     rising = frames.groupBy("watermark_us").agg(F.min("frame_no").alias("frame_no")).select("frame_no", "watermark_us")
-    return rising.orderBy("frame_no").coalesce(1).mapInArrow(run, "frame_no long, sweep_us long")
+    return rising.repartition(1).sortWithinPartitions("watermark_us").mapInArrow(run, "frame_no long, sweep_us long")
 
 
 def instances(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFrame:
     """packets with ``instance``, the number of the flow's life. A flow ends at the first sweep that finds
     it idle for longer than timeout_us (0: never). A gap alone doesn't end it: a frame is seen before
-    the sweep that it causes. Times must not decrease within a key."""
+    the sweep that it causes.
+
+    Window functions number the lives of flows whose times never decrease. A flow with a frame behind the
+    watermark (watermark_us, without which times must not decrease within a key) needs the largest time of
+    the life so far, which starts anew with each life: these flows go through a fold."""
     if not timeout_us:
         return packets.withColumn("instance", F.lit(0).cast("long"))
+    looked_up = _last_sweep(packets, swept)
+    if "watermark_us" not in packets.columns:
+        return _split(looked_up, timeout_us)
+    late = packets.filter("ts_us < watermark_us").select(*KEY).distinct()
+    rows = looked_up.join(late, list(KEY), "left_semi")
+    lives_of = fold(rows, list(KEY), ["frame_no", "ts_us", "swept_us"], {"frame_no": "long", "instance": "long"}, lambda: [None, 0], partial(_next_life, timeout_us), lambda state: None)
+    crooked = rows.drop("swept_us").join(lives_of, [*KEY, "frame_no"])
+    return _split(looked_up.join(late, list(KEY), "left_anti"), timeout_us).unionByName(crooked)
+
+
+def _next_life(timeout_us: int, state: list, frame: int, ts: int, swept: int | None) -> list[tuple]:
+    """state: the largest time of the life, and its number."""
+    if state[0] is not None and swept is not None and swept - state[0] > timeout_us:
+        state[:] = None, state[1] + 1
+    state[0] = ts if state[0] is None else max(state[0], ts)
+    return [(frame, state[1])]
+
+
+def _last_sweep(packets: DataFrame, swept: DataFrame) -> DataFrame:
+    """packets with swept_us, the watermark of the last sweep at a frame before."""
     chunk = F.floor(F.col("frame_no") / CHUNK).alias("chunk")
     marks = packets.select(*packets.columns, F.lit(None).cast("long").alias("sweep_us")).unionByName(
         swept.select("frame_no", "sweep_us"), allowMissingColumns=True
@@ -92,7 +128,10 @@ def instances(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFram
     tops = marks.groupBy("chunk").agg(F.max("sweep_us").alias("top"))
     carry = tops.select("chunk", F.max("top").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
     known = marks.withColumn("inside", F.max("sweep_us").over(order)).filter("sweep_us is null").join(carry, "chunk")
-    seen = known.withColumn("swept_us", F.greatest("inside", "carry")).drop("inside", "carry", "chunk", "sweep_us")
+    return known.withColumn("swept_us", F.greatest("inside", "carry")).drop("inside", "carry", "chunk", "sweep_us")
+
+
+def _split(seen: DataFrame, timeout_us: int) -> DataFrame:
     per_key = Window.partitionBy(*KEY).orderBy("frame_no")
     split = F.coalesce(F.col("swept_us") - F.lag("ts_us").over(per_key) > timeout_us, F.lit(False))
     return seen.withColumn("__split", split.cast("long")).withColumn("instance", F.sum("__split").over(per_key)).drop("__split", "swept_us")
@@ -103,18 +142,17 @@ def lives(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFrame:
     flows = aggregate(instances(packets, swept, timeout_us), "instance")
     if not timeout_us:
         return flows.withColumn("expired_us", F.lit(None).cast("long"))
-    # The first sweep later than last_us + timeout_us; hour buckets keep the range join an equi-join.
-    hour = 3_600_000_000
+    flows = cut(flows, "lives")  # read twice below, one row a life
+    # The first sweep later than last_us + timeout_us. Time is cut into slots, of which each holds at most
+    # SLOT / 1 s sweeps; a flow looks in its own slot's sorted list, else takes the first sweep of a later one.
     due = F.col("last_us") + timeout_us
-    slot = lambda c: F.floor(c / hour)
-    first = swept.groupBy(slot(F.col("sweep_us")).alias("h")).agg(F.min("sweep_us").alias("low"))
-    ends = swept.agg(F.floor(F.min("sweep_us") / hour).alias("lo"), F.floor(F.max("sweep_us") / hour).alias("hi"))
-    grid = ends.select(F.explode(F.sequence("lo", "hi")).alias("h")).join(first, "h", "left")
-    nexts = grid.select("h", F.min("low").over(Window.orderBy("h").rowsBetween(1, Window.unboundedFollowing)).alias("next"))
-    keyed = flows.withColumn("__h", slot(due))
-    inside = keyed.join(swept.select(slot(F.col("sweep_us")).alias("__h"), "sweep_us"), "__h", "left")
-    best = inside.groupBy(*flows.columns, "__h").agg(F.min(F.when(F.col("sweep_us") > due, F.col("sweep_us"))).alias("__s"))
-    return best.join(nexts, F.col("__h") == F.col("h"), "left").withColumn("expired_us", F.coalesce("__s", "next")).drop("__s", "next", "h", "__h")
+    slot = lambda c: F.floor(c / SLOT_US).alias("slot")
+    marks = swept.groupBy(slot(F.col("sweep_us"))).agg(F.sort_array(F.collect_set("sweep_us")).alias("marks"))
+    slots = marks.select("slot", "marks").unionByName(flows.select(slot(due)).distinct(), allowMissingColumns=True).groupBy("slot").agg(F.first("marks", ignorenulls=True).alias("marks"))
+    later = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)  # one row a slot that has a sweep or an end
+    nexts = slots.withColumn("next", F.min(F.get("marks", F.lit(0))).over(later))
+    inside = F.get(F.filter("marks", lambda m: m > due), F.lit(0))
+    return flows.withColumn("slot", slot(due)).join(nexts, "slot", "left").withColumn("expired_us", F.coalesce(inside, "next")).drop("slot", "marks", "next")
 
 
 def ticks(packets: DataFrame, every_us: int) -> DataFrame:
@@ -133,6 +171,98 @@ def tick_top_flows(packets: DataFrame, every_us: int, n: int) -> DataFrame:
     return sums.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= n)
 
 
+def reported_deltas(packets: DataFrame, every_us: int, n: int) -> DataFrame:
+    """The n flows of each interval with the most bytes since they were last reported, ranked; ties by key. Only
+    reported flows start anew, so a flow's bytes add up until it is among the n.
+
+    Sums come first, by partial aggregation. What is reported depends on all reports before, so one task
+    goes through the intervals, with a row for each flow of an interval and the open sums held."""
+    tick = F.floor(F.col("ts_us") / every_us).alias("tick")
+    sums = packets.groupBy(tick, *KEY).agg(F.sum("wire_len").alias("bytes"))
+    names = ["tick", *KEY]
+    schema = ", ".join([*(f"{c} {sums.schema[c].dataType.simpleString()}" for c in names), "delta_bytes long, rank long"])
+
+    def run(batches):
+        pending, now, kinds = {}, None, None
+
+        def report():
+            best = heapq.nsmallest(n, ((-size, key) for key, size in pending.items() if size > 0))
+            for _, key in best:
+                del pending[key]
+            columns = [[now] * len(best), *([key[i] for _, key in best] for i in range(len(KEY))), [-size for size, _ in best], list(range(1, len(best) + 1))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.int64(), pa.int64()])], names=[*names, "delta_bytes", "rank"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(len(names))]
+            for own, *key, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != now and now is not None:
+                    yield report()
+                now = own
+                pending[tuple(key)] = pending.get(tuple(key), 0) + size
+        if now is not None:
+            yield report()
+
+    return sums.select(*names, "bytes").repartition(1).sortWithinPartitions("tick").mapInArrow(run, schema)
+
+
+def admitted(packets: DataFrame, swept: DataFrame | None, max_flows: int, timeout_us: int = 0) -> DataFrame:
+    """A table of at most ``max_flows`` flows, exactly as frame order makes it: packets' frame_no and key with
+    ``instance``, the number of the flow's life, and the end of that life, ended_us and reason (timeout or
+    eviction), both null for lives that last. Before a new flow enters a full table, the second-chance clock
+    evicts one: flows wait in the order in which they came, and one that was seen since the clock passed it
+    waits once more. Sweeps (frame_no, sweep_us) come after their frame.
+
+    Which flow goes depends on all frames before, so this is one sequential task over a few numbers a frame,
+    with the table held; the plans without a cap don't use it."""
+    columns = ["frame_no", "ts_us", *KEY]
+    rows = packets.select(*columns, F.lit(None).cast("long").alias("sweep_us"))
+    if swept is not None and timeout_us:
+        rows = rows.unionByName(swept.select("frame_no", "sweep_us"), allowMissingColumns=True)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in KEY}
+    schema = ", ".join(["frame_no long", *(f"{c} {t}" for c, t in kinds.items()), "instance long, ended_us long, reason string"])
+
+    def run(batches):
+        table, clock, born = {}, deque(), Counter()  # key -> [last time, seen since the clock passed, instance]
+        arrow = None
+
+        def out(found):
+            parts = list(zip(*found)) or [[]] * (len(KEY) + 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, [pa.int64(), *arrow, pa.int64(), pa.int64(), pa.string()])], names=["frame_no", *KEY, "instance", "ended_us", "reason"])
+
+        for batch in batches:
+            arrow = [batch.schema.field(2 + i).type for i in range(len(KEY))]
+            found = []
+            for frame, ts, *key, sweep in zip(*(c.to_pylist() for c in batch.columns)):
+                if sweep is not None:
+                    for old in [k for k, e in table.items() if sweep - e[0] > timeout_us]:
+                        found.append((None, *old, table.pop(old)[2], sweep, "timeout"))
+                    continue
+                key = tuple(key)
+                if key not in table:
+                    while max_flows and len(table) >= max_flows:
+                        first, life = clock.popleft()
+                        entry = table.get(first)
+                        if entry is None or entry[2] != life:
+                            continue  # that life ended by a sweep
+                        if entry[1]:
+                            entry[1] = False
+                            clock.append((first, life))
+                        else:
+                            found.append((None, *first, table.pop(first)[2], ts, "eviction"))
+                    table[key] = [ts, True, born[key]]
+                    clock.append((key, born[key]))
+                    born[key] += 1
+                entry = table[key]
+                entry[0], entry[1] = max(entry[0], ts), True
+                found.append((frame, *key, entry[2], None, None))
+            yield out(found)
+
+    order = rows.repartition(1).sortWithinPartitions("frame_no", F.col("sweep_us").isNotNull())
+    seen = order.mapInArrow(run, schema)
+    ends = F.max(F.struct("ended_us", "reason")).over(Window.partitionBy(*KEY, "instance"))
+    return seen.withColumn("__end", ends).filter("frame_no is not null").select("frame_no", *KEY, "instance", F.col("__end.ended_us").alias("ended_us"), F.col("__end.reason").alias("reason"))
+
+
 def sampled(packets: DataFrame, rate: int) -> DataFrame:
     """Every rate-th frame of the capture; rate 0 gives none."""
     return packets.filter(F.lit(rate > 0) & (F.col("frame_no") % max(rate, 1) == 0))

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 
 
-def fold(rows: DataFrame, key: list[str], names: list[str], result: dict[str, str], start: Callable, step: Callable, end: Callable) -> DataFrame:
+def fold(rows: DataFrame, key: list[str], names: list[str], result: dict[str, str], start: Callable, step: Callable, end: Callable, many: bool = False) -> DataFrame:
     """Rows of key and ``result``. ``start()`` makes a state, ``step(state, *values of
-    names)`` takes a row, ``end(state)`` gives the result, or None for no row. names[0] gives the order.
+    names)`` takes a row and may give rows, ``end(state)`` gives the result, or None for no row; with
+    ``many`` a list of rows. names[0] gives the order, then names[1].
 
     Rows are dealt by key and sorted, and the fold streams through them with one state at a time, so no
     flow is ever collected; a very long flow is one sequential task by definition."""
-    rows = rows.select(*key, *names)
+    rows = rows.select(*key, *(F.col(c).alias(f"__{i}") for i, c in enumerate(names)))
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key), *(f"{c} {t}" for c, t in result.items())])
 
     def run(batches):
@@ -28,7 +30,7 @@ def fold(rows: DataFrame, key: list[str], names: list[str], result: dict[str, st
 
         def close(done):
             if current is not None and (found := end(state)) is not None:
-                done.append((*current, *found))
+                done.extend((*current, *row) for row in (found if many else [found]))
 
         for batch in batches:
             kinds, done = [batch.schema.field(i).type for i in range(len(key))], []
@@ -45,4 +47,4 @@ def fold(rows: DataFrame, key: list[str], names: list[str], result: dict[str, st
         if done:
             yield out(done)
 
-    return rows.repartition(*key).sortWithinPartitions(*key, names[0]).mapInArrow(run, schema)
+    return rows.repartition(*key).sortWithinPartitions(*key, *("__0", "__1")[: len(names)]).mapInArrow(run, schema)

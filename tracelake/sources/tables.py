@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir or SparkContext.setCheckpointDir. Where neither is set, a local session
+    gets a temporary folder, one for all its tables; on a cluster that is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tl_tables", None)
+    if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark._tl_tables = "file://" + tempfile.mkdtemp(prefix="tracelake-")
+    return found.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir (a temporary folder only where that is unset) and read it back."""
+    """Write df to the shared folder and read it back; the table goes when the program ends."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tracelake-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
