@@ -78,13 +78,14 @@ def syn_flood():
 
 
 def protocol_edges():
-    six, ping = ("2001:db8::1", "2001:db8::2"), ("2001:db8::60", "2001:db8::61")
-    udp = ip("192.0.2.70", "198.51.100.70", 17, datagram("192.0.2.70", 53001, "198.51.100.70", 5353, b"qinq-demo"), 31)
+    """Frames of our own, one of each kind that decoding treats apart."""
+    six, near = ("fd00:7::a", "fd00:7::b"), ("fd00:9::1", "fd00:9::2")
+    tagged = ip("10.20.30.40", "10.20.30.41", 17, datagram("10.20.30.40", 6000, "10.20.30.41", 6001, b"in two tags"), 7)
     return [
-        ether(0x86DD, ip(*six, 6, segment(six[0], 54000, six[1], 443, 2, 1))), ether(0x0800, udp, QINQ),
-        ether(0x0800, ip("192.0.2.60", "198.51.100.60", 1, echo(None, None, 8, 0x1234, 1, b"icmp-one"), 30)),
-        ether(0x86DD, ip(*ping, 58, echo(*ping, 128, 0x5678, 2, b"v6demo", over=b"6"))),
-        ether(0x0800, ip("192.0.2.80", "198.51.100.80", 6, bytes.fromhex("D43101BB000000010000"), 32)), ether(0x88B5, b"synthetic-unsupported-payload"),
+        ether(0x86DD, ip(*six, 6, segment(six[0], 40100, six[1], 8443, 2, 77))), ether(0x0800, tagged, QINQ),
+        ether(0x0800, ip("10.9.8.7", "10.9.8.6", 1, echo(None, None, 8, 0x0BAD, 5, b"are you there"), 12)),
+        ether(0x86DD, ip(*near, 58, echo(*near, 128, 0x0C0D, 6, b"and you", over=b"6"))),
+        ether(0x0800, ip("10.0.5.1", "10.0.5.2", 6, bytes(range(9)), 99)), ether(0x88CC, b"no protocol that is known"),
     ]
 
 
@@ -103,7 +104,8 @@ def linux_sll2():
     return [*out, cooked(ether(0x0806, arp), 2, 1), cooked(ether(0x88B5, b"sll2-unsupported"), 3, 2)]
 
 
-#: Link type, interval in microseconds, SHA-256 prefix and suffix of the file, and the counts
+#: The frames of port_scan, syn_flood and linux_sll2 and the table below are fixed values: the digests need them.
+#: Link type, interval in microseconds, SHA-256 prefix and suffix of the file, and the counts
 #: with_network, with_transport, parse_errors, transport_errors, unsupported, malformed_or_unsupported.
 GOLDEN = {
     "port_scan": (port_scan, 1, 100_000, "ff21d31c", "85db", (16, 16, 0, 0, 0, 0)),
@@ -152,8 +154,8 @@ def test_decoded_fields(spark):
     frames = frames_of(spark, protocol_edges(), 1).withColumn("link_type", F.lit(1)).withColumn("ttl", F.lit("clash"))
     rows = decode.decode(frames).orderBy("frame_no").collect()
     assert [r.protocol for r in rows] == ["tcp", "udp", "icmp", "icmp6", None, None]
-    assert rows[1].vlans == [100, 200] and bytes(rows[1].payload) == b"qinq-demo" and rows[1].checksum_ok
-    assert bytes(rows[0].src_ip) == ipaddress.ip_address("2001:db8::1").packed and rows[0].seq_len == 1 and rows[0].ttl == 64
+    assert rows[1].vlans == [100, 200] and bytes(rows[1].payload) == b"in two tags" and rows[1].checksum_ok
+    assert bytes(rows[0].src_ip) == ipaddress.ip_address("fd00:7::a").packed and rows[0].seq_len == 1 and rows[0].ttl == 64
     assert rows[4].transport_error and rows[5].unsupported and rows[5].ip_version is None
 
 
@@ -166,7 +168,9 @@ def test_any_bytes_decode():
     for link in (0, 1, 12, 101, 108, 113, 276, 999):
         found = decode.decode_batch(pa.array(raw, pa.binary()), np.full(len(raw), link))
         assert set(found) == set(decode.FIELDS) and all(len(c) == len(raw) for c in found.values())
-        alone = [decode.decode_batch(pa.array([x], pa.binary()), np.array([link])) for x in raw[::37]]
+        more = tuple(decode.DETAILS)
+        found = decode.decode_batch(pa.array(raw, pa.binary()), np.full(len(raw), link), more)
+        alone = [decode.decode_batch(pa.array([x], pa.binary()), np.array([link]), more) for x in raw[::37]]
         for name, column in found.items():
             assert column.to_pylist()[::37] == [a[name].to_pylist()[0] for a in alone], name
 

@@ -30,6 +30,16 @@ FIELDS = {
     "src_port": "long", "dst_port": "long", **{f: "boolean" for f in TCP_FLAGS}, "seq": "long", "ack_no": "long", "window": "int", "seq_len": "long", "payload": "binary",
     "udp_whole": "boolean",
 }
+#: Fields that only details of packets need; they are computed where they are asked for.
+DETAILS = {
+    "eth_src": "binary", "eth_dst": "binary", "vlan_types": "array<int>", "vlan_priorities": "array<int>", "vlan_drop_eligible": "array<int>",
+    "sll_packet_type": "int", "sll_arphrd": "int", "sll_address": "binary", "sll_interface": "long", "loopback_family": "long",
+    "header_length": "int", "dscp": "int", "ecn": "int", "total_length": "int", "ip_id": "int", "dont_fragment": "boolean", "more_fragments": "boolean", "fragment_offset": "int",
+    "ip_checksum": "int", "traffic_class": "int", "flow_label": "int", "payload_length": "int",
+    "arp_hardware": "int", "arp_protocol": "int", "arp_operation": "int", "arp_sender_mac": "binary", "arp_sender_ip": "binary", "arp_target_mac": "binary", "arp_target_ip": "binary",
+    "data_offset": "int", "transport_checksum": "int", "urgent_pointer": "int", "tcp_options": "binary", "udp_length": "int",
+    "icmp_type": "int", "icmp_code": "int", "icmp_id": "int", "icmp_seq": "int",
+}
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
@@ -70,8 +80,8 @@ def _ipv4_sums(b: _Bytes, pos: np.ndarray, header: np.ndarray, where: np.ndarray
     return ((total & 0xFFFF) + (total >> 16)) == 0xFFFF
 
 
-def decode_batch(raw: pa.Array, link: np.ndarray) -> dict[str, pa.Array]:
-    """The columns of FIELDS for frames ``raw`` of link types ``link``."""
+def decode_batch(raw: pa.Array, link: np.ndarray, details: tuple[str, ...] = ()) -> dict[str, pa.Array]:
+    """The columns of FIELDS, and of ``details``, for frames ``raw`` of link types ``link``."""
     b, n = _Bytes(raw), len(raw)
     false = np.zeros(n, bool)
     errors = np.full(n, None, object)
@@ -93,12 +103,12 @@ def decode_batch(raw: pa.Array, link: np.ndarray) -> dict[str, pa.Array]:
             if kind in ETHER_TYPE_AT:
                 ether = np.where(here, b.u16(np.full(n, ETHER_TYPE_AT[kind])), ether)
     typed = ether >= 0
-    depth, tags = np.zeros(n, np.int64), np.full((n, VLANS_KEPT), -1, np.int32)
+    depth, tags, kinds = np.zeros(n, np.int64), np.full((n, VLANS_KEPT), -1, np.int32), np.full((n, VLANS_KEPT), -1, np.int32)
     while (tagged := ok & np.isin(ether, VLAN_TAGS)).any():
         fail(tagged & (b.size - pos < 4), "VLAN tag too short")
         tagged &= ok
         kept = np.flatnonzero(tagged & (depth < VLANS_KEPT))
-        tags[kept, depth[kept]] = (b.u16(pos) & 0xFFF)[kept]
+        tags[kept, depth[kept]], kinds[kept, depth[kept]] = b.u16(pos)[kept], ether[kept]
         ether = np.where(tagged, b.u16(pos + 2), ether)
         pos, depth = pos + 4 * tagged, depth + tagged
     left = b.size - pos
@@ -164,10 +174,37 @@ def decode_batch(raw: pa.Array, link: np.ndarray) -> dict[str, pa.Array]:
         return pa.array(values, kind, mask=~where)
 
     kept = np.minimum(depth, VLANS_KEPT)
-    vlans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(tags[np.arange(VLANS_KEPT) < kept[:, None]], pa.int32()))
-    return {
+
+
+    def per_tag(values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(values[np.arange(VLANS_KEPT) < kept[:, None]], pa.int32()))
+
+    zero, echo = np.zeros(n, np.int64), ((names == "icmp") & np.isin(b.u8(l4), (0, 8))) | ((names == "icmp6") & np.isin(b.u8(l4), (128, 129)))
+    icmp, cooked, cooked2, loop = (names == "icmp") | (names == "icmp6"), ok & (link == SLL), ok & (link == SLL2), ok & np.isin(link, (NULL, LOOP))
+    hlen, plen, at = b.u8(pos + 4), b.u8(pos + 5), pos + 8
+    told = b.u16(pos + 6)
+    swapped = b.u8(3) << 24 | b.u8(2) << 16 | b.u8(1) << 8 | b.u8(0)
+    address = np.where(cooked, 6, 12)
+    late = {
+        "eth_src": lambda: b.slices(zero + 6, zero + 12, ok & (link == ETHERNET)), "eth_dst": lambda: b.slices(zero, zero + 6, ok & (link == ETHERNET)),
+        "vlan_types": lambda: per_tag(kinds), "vlan_priorities": lambda: per_tag(tags >> 13), "vlan_drop_eligible": lambda: per_tag(tags >> 12 & 1),
+        "sll_packet_type": lambda: ints(np.where(cooked, b.u16(zero), b.u8(zero + 10)), cooked | cooked2), "sll_arphrd": lambda: ints(np.where(cooked, b.u16(zero + 2), b.u16(zero + 8)), cooked | cooked2),
+        "sll_address": lambda: b.slices(address, address + np.minimum(np.where(cooked, b.u16(zero + 4), b.u8(zero + 11)), 8), cooked | cooked2),
+        "sll_interface": lambda: ints(b.u32(zero + 4), cooked2, pa.int64()), "loopback_family": lambda: ints(np.where(link == LOOP, b.u32(zero), swapped), loop, pa.int64()),
+        "header_length": lambda: ints(ihl, v4), "dscp": lambda: ints(b.u8(pos + 1) >> 2, v4), "ecn": lambda: ints(b.u8(pos + 1) & 3, v4), "total_length": lambda: ints(declared, v4),
+        "ip_id": lambda: ints(b.u16(pos + 4), v4), "dont_fragment": lambda: pa.array((told >> 14 & 1).astype(bool), mask=~v4), "more_fragments": lambda: pa.array((told >> 13 & 1).astype(bool), mask=~v4),
+        "fragment_offset": lambda: ints(told & 0x1FFF, v4), "ip_checksum": lambda: ints(b.u16(pos + 10), v4),
+        "traffic_class": lambda: ints(b.u16(pos) >> 4 & 0xFF, v6), "flow_label": lambda: ints(b.u32(pos) & 0xFFFFF, v6), "payload_length": lambda: ints(b.u16(pos + 4), v6),
+        "arp_hardware": lambda: ints(b.u16(pos), arp), "arp_protocol": lambda: ints(b.u16(pos + 2), arp), "arp_operation": lambda: ints(told, arp),
+        "arp_sender_mac": lambda: b.slices(at, at + hlen, arp), "arp_sender_ip": lambda: b.slices(at + hlen, at + hlen + plen, arp),
+        "arp_target_mac": lambda: b.slices(at + hlen + plen, at + 2 * hlen + plen, arp), "arp_target_ip": lambda: b.slices(at + 2 * hlen + plen, at + 2 * (hlen + plen), arp),
+        "data_offset": lambda: ints(header // 4, tcp), "transport_checksum": lambda: ints(b.u16(l4 + np.where(tcp, 16, np.where(udp, 6, 2))), ports | icmp),
+        "urgent_pointer": lambda: ints(b.u16(l4 + 18), tcp), "tcp_options": lambda: b.slices(l4 + 20, body, tcp), "udp_length": lambda: ints(b.u16(l4 + 4), udp),
+        "icmp_type": lambda: ints(b.u8(l4), icmp), "icmp_code": lambda: ints(b.u8(l4 + 1), icmp), "icmp_id": lambda: ints(b.u16(l4 + 4), echo), "icmp_seq": lambda: ints(b.u16(l4 + 6), echo),
+    }
+    return {f: late[f]() for f in details} | {
         "parse_error": pa.array(errors, pa.string()), "transport_error": pa.array(bad, pa.string()), "unsupported": pa.array(unsupported & ok), "ether_type": ints(ether, typed & ok),
-        "vlans": vlans, "vlan_truncated": pa.array(depth > VLANS_KEPT), "ip_version": ints(np.where(v4, 4, 6), network), "protocol": pa.array(np.where(arp, "arp", names), pa.string()),
+        "vlans": per_tag(tags & 0xFFF), "vlan_truncated": pa.array(depth > VLANS_KEPT), "ip_version": ints(np.where(v4, 4, 6), network), "protocol": pa.array(np.where(arp, "arp", names), pa.string()),
         "ip_protocol": ints(proto, network),
         "src_ip": b.slices(pos + np.where(v4, 12, 8), pos + np.where(v4, 16, 24), network), "dst_ip": b.slices(pos + np.where(v4, 16, 24), pos + np.where(v4, 20, 40), network),
         "ttl": ints(np.where(v4, b.u8(pos + 8), b.u8(pos + 7)), network), "checksum_ok": pa.array(_ipv4_sums(b, pos, ihl, v4), mask=~v4), "fragment": pa.array(later, mask=~network),
@@ -182,16 +219,18 @@ def decode_batch(raw: pa.Array, link: np.ndarray) -> dict[str, pa.Array]:
 
 def decode(frames: DataFrame, *fields: str) -> DataFrame:
     """frames (raw, link_type and any other columns) with the decoded ``fields``, all for none, instead of
-    raw. Columns of frames that clash with decoded ones are replaced."""
+    raw; fields of DETAILS only if they are named. Columns of frames that clash with decoded ones are replaced."""
     wanted = fields or tuple(FIELDS)
+    kinds = {**FIELDS, **DETAILS}
+    details = tuple(f for f in wanted if f in DETAILS)
     kept = [c for c in frames.columns if c != "raw" and c not in wanted]
-    schema = ", ".join([*(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in kept), *(f"{f} {FIELDS[f]}" for f in wanted)])
+    schema = ", ".join([*(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in kept), *(f"{f} {kinds[f]}" for f in wanted)])
 
     def run(batches):
         for batch in batches:
             link = np.asarray(batch.column("link_type").fill_null(-1))
-            found = decode_batch(batch.column("raw"), link)
-            columns = [*(batch.column(c) for c in kept), *(found[f].cast(_ARROW[FIELDS[f]]) for f in wanted)]
+            found = decode_batch(batch.column("raw"), link, details)
+            columns = [*(batch.column(c) for c in kept), *(found[f].cast(_ARROW[kinds[f]]) for f in wanted)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *wanted])
 
     return frames.mapInArrow(run, schema)

@@ -38,13 +38,13 @@ def with_key(packets: DataFrame) -> DataFrame:
     return out.withColumns({"a_ip": pick("src_ip", "dst_ip"), "a_port": pick("src_port", "dst_port"), "b_ip": pick("dst_ip", "src_ip"), "b_port": pick("dst_port", "src_port")})
 
 
-def aggregate(packets: DataFrame, *more_keys: str) -> DataFrame:
-    """One row a flow: times, packets and bytes by direction, totals, duration and mean bit rate."""
+def aggregate(packets: DataFrame, *more_keys: str, also: tuple[Column, ...] = ()) -> DataFrame:
+    """One row a flow: times, packets and bytes by direction, totals, duration and mean bit rate, and ``also``."""
     ab = F.col("a_to_b")
     grouped = packets.groupBy(*KEY, *more_keys).agg(
         F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
         F.count_if(ab).alias("packets_a_to_b"), F.count_if(~ab).alias("packets_b_to_a"),
-        F.sum(F.when(ab, F.col("wire_len")).otherwise(0)).alias("bytes_a_to_b"), F.sum(F.when(ab, 0).otherwise(F.col("wire_len"))).alias("bytes_b_to_a"),
+        F.sum(F.when(ab, F.col("wire_len")).otherwise(0)).alias("bytes_a_to_b"), F.sum(F.when(ab, 0).otherwise(F.col("wire_len"))).alias("bytes_b_to_a"), *also,
     )
     total = grouped.withColumns({"packets_total": F.col("packets_a_to_b") + F.col("packets_b_to_a"), "bytes_total": F.col("bytes_a_to_b") + F.col("bytes_b_to_a")})
     seconds = (F.col("last_us") - F.col("first_us")) / 1e6
@@ -103,56 +103,59 @@ def instances(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFram
         return _split(looked_up, timeout_us)
     late = packets.filter("ts_us < watermark_us").select(*KEY).distinct()
     rows = looked_up.join(late, list(KEY), "left_semi")
-    lives_of = fold(rows, list(KEY), ["frame_no", "ts_us", "swept_us"], {"frame_no": "long", "instance": "long"}, lambda: [None, 0], partial(_next_life, timeout_us), lambda state: None)
-    crooked = rows.drop("swept_us").join(lives_of, [*KEY, "frame_no"])
+    lives_of = fold(rows, list(KEY), ["frame_no", "ts_us", "swept_us", "swept_at"], {"frame_no": "long", "instance": "long"}, lambda: [None, 0, -1], partial(_next_life, timeout_us), lambda state: None)
+    crooked = rows.drop("swept_us", "swept_at").join(lives_of, [*KEY, "frame_no"])
     return _split(looked_up.join(late, list(KEY), "left_anti"), timeout_us).unionByName(crooked)
 
 
-def _next_life(timeout_us: int, state: list, frame: int, ts: int, swept: int | None) -> list[tuple]:
-    """state: the largest time of the life, and its number."""
-    if state[0] is not None and swept is not None and swept - state[0] > timeout_us:
-        state[:] = None, state[1] + 1
-    state[0] = ts if state[0] is None else max(state[0], ts)
+def _next_life(timeout_us: int, state: list, frame: int, ts: int, swept: int | None, swept_at: int | None) -> list[tuple]:
+    """state: the largest time of the life, its number, and its last frame. A sweep before that frame has no say."""
+    if state[0] is not None and swept is not None and swept_at >= state[2] and swept - state[0] > timeout_us:
+        state[:2] = None, state[1] + 1
+    state[0], state[2] = ts if state[0] is None else max(state[0], ts), frame
     return [(frame, state[1])]
 
 
 def _last_sweep(packets: DataFrame, swept: DataFrame) -> DataFrame:
-    """packets with swept_us, the watermark of the last sweep at a frame before."""
+    """packets with swept_us and swept_at, the watermark and the frame of the last sweep at a frame before."""
     chunk = F.floor(F.col("frame_no") / CHUNK).alias("chunk")
-    marks = packets.select(*packets.columns, F.lit(None).cast("long").alias("sweep_us")).unionByName(
-        swept.select("frame_no", "sweep_us"), allowMissingColumns=True
-    ).withColumn("chunk", chunk)
+    sweep = F.struct("sweep_us", F.col("frame_no").alias("at"))
+    none = F.lit(None).cast("struct<sweep_us: bigint, at: bigint>")
+    marks = packets.withColumn("sweep", none).unionByName(swept.select("frame_no", sweep.alias("sweep")), allowMissingColumns=True).withColumn("chunk", chunk)
     # A sweep at a frame comes after that frame's packet.
-    order = Window.partitionBy("chunk").orderBy("frame_no", F.col("sweep_us").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("chunk").orderBy("frame_no", F.col("sweep").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     # Every chunk of packets gets the last sweep of the chunks before it.
-    tops = marks.groupBy("chunk").agg(F.max("sweep_us").alias("top"))
+    tops = marks.groupBy("chunk").agg(F.max("sweep").alias("top"))
     carry = tops.select("chunk", F.max("top").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    known = marks.withColumn("inside", F.max("sweep_us").over(order)).filter("sweep_us is null").join(carry, "chunk")
-    return known.withColumn("swept_us", F.greatest("inside", "carry")).drop("inside", "carry", "chunk", "sweep_us")
+    known = marks.withColumn("inside", F.max("sweep").over(order)).filter("sweep is null").join(carry, "chunk").withColumn("last", F.coalesce("inside", "carry"))
+    return known.withColumns({"swept_us": F.col("last.sweep_us"), "swept_at": F.col("last.at")}).drop("inside", "carry", "chunk", "sweep", "last")
 
 
 def _split(seen: DataFrame, timeout_us: int) -> DataFrame:
     per_key = Window.partitionBy(*KEY).orderBy("frame_no")
     split = F.coalesce(F.col("swept_us") - F.lag("ts_us").over(per_key) > timeout_us, F.lit(False))
-    return seen.withColumn("__split", split.cast("long")).withColumn("instance", F.sum("__split").over(per_key)).drop("__split", "swept_us")
+    return seen.withColumn("__split", split.cast("long")).withColumn("instance", F.sum("__split").over(per_key)).drop("__split", "swept_us", "swept_at")
 
 
 def lives(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFrame:
     """Flow aggregates of every life of every flow, with expired_us: the sweep that ended it, else null."""
-    flows = aggregate(instances(packets, swept, timeout_us), "instance")
+    # A frame behind the watermark is seen by sweeps after it only.
+    seen = F.max("watermark_us" if "watermark_us" in packets.columns else "ts_us").alias("seen_us")
+    flows = aggregate(instances(packets, swept, timeout_us), "instance", also=(seen,))
     if not timeout_us:
+        flows = flows.drop("seen_us")
         return flows.withColumn("expired_us", F.lit(None).cast("long"))
     flows = cut(flows, "lives")  # read twice below, one row a life
     # The first sweep later than last_us + timeout_us. Time is cut into slots, of which each holds at most
     # SLOT / 1 s sweeps; a flow looks in its own slot's sorted list, else takes the first sweep of a later one.
-    due = F.col("last_us") + timeout_us
+    due = F.greatest(F.col("last_us") + timeout_us, F.col("seen_us"))
     slot = lambda c: F.floor(c / SLOT_US).alias("slot")
     marks = swept.groupBy(slot(F.col("sweep_us"))).agg(F.sort_array(F.collect_set("sweep_us")).alias("marks"))
     slots = marks.select("slot", "marks").unionByName(flows.select(slot(due)).distinct(), allowMissingColumns=True).groupBy("slot").agg(F.first("marks", ignorenulls=True).alias("marks"))
     later = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)  # one row a slot that has a sweep or an end
     nexts = slots.withColumn("next", F.min(F.get("marks", F.lit(0))).over(later))
     inside = F.get(F.filter("marks", lambda m: m > due), F.lit(0))
-    return flows.withColumn("slot", slot(due)).join(nexts, "slot", "left").withColumn("expired_us", F.coalesce(inside, "next")).drop("slot", "marks", "next")
+    return flows.withColumn("slot", slot(due)).join(nexts, "slot", "left").withColumn("expired_us", F.coalesce(inside, "next")).drop("slot", "marks", "next", "seen_us")
 
 
 def ticks(packets: DataFrame, every_us: int) -> DataFrame:

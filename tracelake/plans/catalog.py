@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import dns as dns_payloads
+from tracelake.functions import packets as shown
 from tracelake.functions.decode import decode
 from tracelake.functions.encode import encode, number
 from tracelake.operators import accounting as run_accounting
@@ -316,3 +317,77 @@ def flow_csv_rows(spark, sf_dir):
     packets = flows.with_watermark(_decoded_raw(spark, sf_dir, *snapshots.FIELDS))
     rows = export.csv_rows(snapshots.snapshots(flows.with_key(flows.eligible(packets))))
     return rows.select("protocol", "endpoint_a_ip", "endpoint_a_port", "endpoint_b_ip", "endpoint_b_port", "first_seen", "duration_secs", "packets_total", "bytes_total")
+
+
+_DOTTED = "(x >> 24) || '.' || ((x >> 16) & 255) || '.' || ((x >> 8) & 255) || '.' || (x & 255)"
+_SRC, _DST = _DOTTED.replace("x", "src_ip"), _DOTTED.replace("x", "dst_ip")
+
+
+@query(f"""{_TRACE} SELECT frame_no, upper(protocol) AS shown_protocol, {_SRC} || ':' || src_port AS source, {_DST} || ':' || dst_port AS destination,
+ CASE WHEN protocol = 'udp' THEN 'len=' || (least(wire_len - 14, 65535) - 20) ELSE CASE WHEN syn THEN '[SYN]' ELSE '[ACK]' END || ' seq=' || (frame_no * 100 % 4294967296) || ' ack=0 win=65535' END AS info FROM t""")
+def packet_summaries(spark, sf_dir):
+    return shown.summary(_decoded_raw(spark, sf_dir, *shown.NEEDED)).select("frame_no", "shown_protocol", "source", "destination", "info")
+
+
+@query(f"""{_TRACE} SELECT frame_no, least(wire_len - 14, 65535) AS total_length, (frame_no % 65536)::INT AS ip_id, 64 AS ttl, 20 AS header_length, 0 AS dscp, 0 AS fragment_offset, FALSE AS dont_fragment,
+ CASE WHEN protocol = 'tcp' THEN 5 END AS data_offset, CASE WHEN protocol = 'tcp' THEN 0 END AS urgent_pointer, CASE WHEN protocol = 'udp' THEN least(wire_len - 14, 65535) - 20 END AS udp_length,
+ '02:00:00:00:00:02' AS eth_source FROM t""")
+def header_fields(spark, sf_dir):
+    fields = ("total_length", "ip_id", "ttl", "header_length", "dscp", "fragment_offset", "dont_fragment", "data_offset", "urgent_pointer", "udp_length")
+    return _decoded_raw(spark, sf_dir, *fields, "eth_src").select("frame_no", *fields, shown.octets(F.col("eth_src")).alias("eth_source"))
+
+
+@query(f"""{_TRACE} SELECT frame_no, protocol, src_port, (frame_no % 4096)::INT AS vlan_id, (frame_no % 8)::INT AS priority, (frame_no % 2)::INT AS drop_eligible,
+ CASE WHEN frame_no % 3 = 0 THEN 'VLAN Tag 1 (802.1ad)' ELSE 'VLAN (802.1Q)' END AS layer FROM t""")
+def vlan_frames(spark, sf_dir):
+    """Every frame in a VLAN, every third in a second one."""
+    n = F.col("frame_no")
+    tag = number((n % 8) * 8192 + (n % 2) * 4096 + n % 4096, 2)
+    outer = F.when(n % 3 == 0, F.concat(F.unhex(F.lit("88A8")), tag, F.unhex(F.lit("81000007")))).otherwise(F.concat(F.unhex(F.lit("8100")), tag))
+    frames = _captured(spark, sf_dir).select("frame_no", "link_type", F.concat(F.substring("raw", 1, 12), outer, F.substring("raw", 13, 100)).alias("raw"))
+    rows = shown.layers(decode(frames, *shown.NEEDED))
+    first = lambda c: F.col(c)[0]
+    return rows.select("frame_no", "protocol", "src_port", first("vlans").alias("vlan_id"), first("vlan_priorities").alias("priority"), first("vlan_drop_eligible").alias("drop_eligible"), F.col("layers")[1]["name"].alias("layer"))
+
+
+@query(f"""{_TRACE} SELECT frame_no, 'Echo Request id=' || (frame_no % 65536) || ' seq=' || (k % 7) AS info, {_SRC} AS source FROM t WHERE frame_no % 5 = 0
+UNION ALL SELECT frame_no, 'who-has ' || ({_DST}) || ' tell ' || ({_SRC}) || ' (02:00:00:00:00:02)', {_SRC} FROM t WHERE frame_no % 5 = 1
+UNION ALL SELECT frame_no, 'Neighbor Solicitation code=' || (k % 3), '2001:db8::' || lower(hex(frame_no % 60000 + 1)) FROM t WHERE frame_no % 5 = 2""")
+def other_protocols(spark, sf_dir):
+    """ICMP, ARP and ICMPv6 frames from the trace's numbers."""
+    n, k, head = F.col("frame_no"), F.col("k").cast("long"), F.unhex(F.lit("020000000001020000000002"))
+    src, dst = number(F.col("src_ip"), 4), number(F.col("dst_ip"), 4)
+    echo = F.concat(F.unhex(F.lit("0800450000240000000040010000")), src, dst, F.unhex(F.lit("08000000")), number(n % 65536, 2), number(k % 7, 2))
+    arp = F.concat(F.unhex(F.lit("08060001080006040001020000000002")), src, F.unhex(F.lit("000000000000")), dst)
+    prefix = F.unhex(F.lit("20010DB800000000000000000000"))
+    six = F.concat(F.unhex(F.lit("86DD6000000000083A40")), prefix, number(n % 60000 + 1, 2), prefix, number(1, 2), number(135, 1), number(k % 3, 1), F.unhex(F.lit("000000000000")))
+    body = F.when(n % 5 == 0, echo).when(n % 5 == 1, arp).when(n % 5 == 2, six)
+    frames = trace(spark, sf_dir).filter(n % 5 < 3).select("frame_no", F.lit(1).alias("link_type"), F.concat(head, body).alias("raw"))
+    return shown.summary(decode(frames, *shown.NEEDED)).select("frame_no", "info", "source")
+
+
+@query()
+def reported_deltas(spark, sf_dir):
+    return flows.reported_deltas(_keyed(spark, sf_dir), 24 * HOUR, 5)
+
+
+@query(f"""{_TRACE}, c AS (SELECT p.*, count(*) OVER (PARTITION BY {_K} ORDER BY frame_no) AS c FROM p) SELECT {_K}, 0::BIGINT AS instance, count(*) AS packets FROM c GROUP BY {_K}""")
+def admitted_flows(spark, sf_dir):
+    """A capped table that is never full holds every flow once."""
+    return flows.admitted(_keyed(spark, sf_dir), None, 1_000_000).groupBy(*flows.KEY, "instance").agg(F.count("*").alias("packets"))
+
+
+@query()
+def evicted_flows(spark, sf_dir):
+    """Lives that a table of 200 flows ended."""
+    return flows.admitted(_keyed(spark, sf_dir), None, 200).filter("reason = 'eviction'").groupBy(*flows.KEY, "instance", "ended_us").agg(F.count("*").alias("packets"))
+
+
+@query(f"{_TRACE} SELECT frame_no, strftime(make_timestamp(ts_us), '%H:%M:%S.%f') AS time, a_to_b FROM p")
+def sql_functions(spark, sf_dir):
+    """The functions that SQL users get."""
+    from tracelake.functions.registry import register
+
+    register(spark)
+    packed = _captured(spark, sf_dir).withColumns({c: number(F.col(c), 4) for c in ("src_ip", "dst_ip")})
+    return packed.select("frame_no", F.expr("time_of_day(ts_us)").alias("time"), F.expr("flow_key(protocol, src_ip, src_port, dst_ip, dst_port).a_to_b").alias("a_to_b"))

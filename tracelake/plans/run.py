@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
@@ -19,9 +21,28 @@ SECOND = 1_000_000
 
 
 def run(spark: SparkSession, config: Config) -> dict:
-    """Writes the outputs that config names, each a folder, and returns the summary. All frames that pass
-    the filter count, decodable or not."""
+    """Writes the outputs that config names, each a folder, and the summary last, and returns it. A run that
+    fails or is interrupted leaves a summary that says so, and raises the error again."""
     validate(config)
+    began, status, summary = time.monotonic(), "success", {}
+    try:
+        summary = _outputs(spark, config)
+        return summary
+    except BaseException as error:
+        status = "interrupted" if isinstance(error, KeyboardInterrupt) else "failed"
+        summary = {"error": f"{type(error).__name__}: {error}"[:1000]}
+        raise
+    finally:
+        head = {"schema_version": 1, "status": status, "source": f"pcap:{config.capture.read_pcap}", "run_secs": round(time.monotonic() - began, 3)}
+        whole = {**head, **summary, "effective_config": asdict(config)}
+        summary.update(whole)
+        if config.output.summary_json:
+            with contextlib.suppress(Exception) if status != "success" else contextlib.nullcontext():
+                spark.createDataFrame([(json.dumps(whole, indent=2),)], "value string").coalesce(1).write.text(config.output.summary_json)
+
+
+def _outputs(spark: SparkSession, config: Config) -> dict:
+    """All outputs but the summary, and the counts for it. All frames that pass the filter count, decodable or not."""
     out, found = config.output, config.analysis.anomalies
     frames = pcap.read_pcap(spark, config.capture.read_pcap).withColumn("original", F.col("raw"))  # whole: snaplen is for live capture
     packets = decode(frames.withColumn("raw", F.col("original")))
@@ -58,10 +79,9 @@ def run(spark: SparkSession, config: Config) -> dict:
                 own.withColumns(texts).write.mode("append").json(config.analysis.alerts_jsonl)
 
     counts = accounting.account(packets).first().asDict()
-    summary = {
-        "schema_version": 1, "status": "success", "source": f"pcap:{config.capture.read_pcap}", **counts, "flows_created": lived.count(), "flows_expired": expired.count(),
-        "flows_evicted": 0, "alerts_emitted": alerts, "effective_config": asdict(config),
+    ended = expired.count()
+    created = lived.count()
+    return {
+        **counts, "flows_created": created, "flows_expired": ended, "flows_retained": created - ended, "flows_evicted": 0, "alerts_emitted": alerts,
+        "dispatch_drops": 0, "kernel_drops": None, "interface_drops": None,  # a file tells of no drops
     }
-    if out.summary_json:
-        spark.createDataFrame([(json.dumps(summary, indent=2),)], "value string").coalesce(1).write.text(out.summary_json)
-    return summary

@@ -7,6 +7,7 @@ tasks stream into files of their own; a file appears under its name only when th
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from dataclasses import dataclass
@@ -121,6 +122,9 @@ class PcapSink(DataSource):
         return PcapWriter(self.options)
 
 
+NUMBERED = re.compile(r"part-(\d+)\.pcap")
+
+
 class PcapWriter(DataSourceWriter):
     def __init__(self, options):
         self.path = options["path"].rstrip("/")
@@ -155,10 +159,21 @@ class PcapWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages) -> None:
+        from pyarrow.fs import FileSelector
+
         store, root = self._store()
         names = {f.rpartition("/")[2]: f for message in messages if message for f in message.files}
-        for name in sorted(names)[-self.keep :]:
-            store.move(f"{root}/{names[name]}", f"{root}/{name}")
+        found = store.get_file_info(FileSelector(root, allow_not_found=True))
+        old = {int(m[1]): f.base_name for f in found if (m := NUMBERED.fullmatch(f.base_name))}
+        first = max(old, default=-1) + 1
+        new = dict(enumerate(sorted(names), first))
+        for number in sorted([*old, *new])[: -self.keep] if self.keep else ():  # only the newest stay, of all jobs
+            if number in old:
+                store.delete_file(f"{root}/{old[number]}")
+            else:
+                del new[number]
+        for number, name in new.items():
+            store.move(f"{root}/{names[name]}", f"{root}/part-{number:09d}.pcap")
         store.delete_dir(f"{root}/_{self.job}")
 
     def abort(self, messages) -> None:
@@ -171,7 +186,7 @@ class PcapWriter(DataSourceWriter):
 
 def write_pcap(frames: DataFrame, path: str, link_type: int = 1, rotate_bytes: int = 0, files: int | None = None, keep: int = 0) -> None:
     """Write frames (frame_no, ts_us, wire_len, raw) in frame order as part-*.pcap below path, whose names
-    sort in that order. ``files`` fixes the number of tasks; 1 gives a single capture."""
+    sort in that order. Numbers go on from those of files that are there; ``keep`` newest stay, all for 0. ``files`` fixes the number of tasks; 1 gives a single capture."""
     spark = frames.sparkSession
     spark.dataSource.register(PcapSink)
     rows = frames.select("frame_no", "ts_us", "wire_len", "raw")
