@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import struct
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -146,6 +147,7 @@ class PcapWriter(DataSourceWriter):
             raw = bytes(row["raw"] or b"")[: self.snaplen]
             if out is not None and self.limit and size >= self.limit:
                 out.close()
+                time.sleep(0.002)  # streams take files in the order of their modification times, in milliseconds
                 out = None
             if out is None:
                 files.append(f"_{self.job}/{attempt}/part-{task:06d}-{len(files):06d}.pcap")
