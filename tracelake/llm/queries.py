@@ -126,4 +126,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 3 * length(regexp_replace(t, '[^0-9]', '', 'g')) > length(t)
             OR 10 * len(list_filter(l, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•]'))) > 9 * len(l)) AS kept
 FROM v""",
+    "op4_lm_scoring": f"""
+WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+total AS (SELECT count(*) AS n FROM p),
+n1 AS (SELECT c, count(*) AS k FROM p GROUP BY c),
+n2 AS (SELECT b, c, count(*) AS k FROM p WHERE b IS NOT NULL GROUP BY b, c),
+n3 AS (SELECT a, b, c, count(*) AS k FROM p WHERE a IS NOT NULL GROUP BY a, b, c),
+s2 AS (SELECT n2.b, n2.c, n2.k, CASE WHEN n2.k >= 2 THEN ln(n2.k / h.k) ELSE ln(0.4) + ln(o.k / n) END AS score
+       FROM n2 JOIN n1 AS h ON h.c = n2.b JOIN n1 AS o ON o.c = n2.c, total),
+s3 AS (SELECT n3.a, n3.b, n3.c, CASE WHEN n3.k >= 2 THEN ln(n3.k / h.k) ELSE ln(0.4) + o.score END AS score
+       FROM n3 JOIN s2 AS h ON h.b = n3.a AND h.c = n3.b JOIN s2 AS o ON o.b = n3.b AND o.c = n3.c),
+x AS (SELECT p.doc_id, coalesce(s3.score, s2.score, ln(n1.k / n)) AS score FROM p LEFT JOIN s3 ON s3.a = p.a AND s3.b = p.b AND s3.c = p.c
+      LEFT JOIN s2 ON s2.b = p.b AND s2.c = p.c JOIN n1 ON n1.c = p.c, total),
+g AS (SELECT doc_id, count(*) AS n_words, sum(score) AS log_score FROM x GROUP BY doc_id)
+SELECT DISTINCT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(log_score, 0.0), 4) AS log_score, round(log_score / n_words, 6) AS mean_log_score
+FROM d LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM d.doc_id""",
+    "op7_minhash_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+1], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s AS x JOIN s AS y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
