@@ -55,3 +55,21 @@ def test_snaplen_does_not_cut_frames_of_files(spark, tmp_path):
     text = f"[capture]\nread_pcap = '{tmp_path}/in'\nsnaplen = 20\n[output]\nwrite_pcap = '{tmp_path}/out'\n"
     assert run(spark, config.from_toml(text))["malformed_or_unsupported"] == 0
     assert [bytes(r.raw) for r in pcap.read_pcap(spark, str(tmp_path / "out")).orderBy("frame_no").collect()] == packets
+
+
+def test_capped_run(spark, tmp_path):
+    pcap.write_pcap(frames_of(spark, port_scan(), 1000), str(tmp_path / "in"), files=1)
+    text = f"[capture]\nread_pcap = '{tmp_path}/in'\n[flow]\nmax_flows = 4\n[analysis]\nrtt = false\nout_of_order = false\n[output]\nexpired_flows_jsonl = '{tmp_path}/expired'\nexport_csv = '{tmp_path}/kept'\n"
+    got = run(spark, config.from_toml(text))
+    assert (got["flows_created"], got["flows_evicted"], got["flows_expired"], got["flows_retained"], got["status"]) == (16, 12, 0, 4, "success")
+    rows = [json.loads(x) for f in (tmp_path / "expired").glob("*.json") for x in f.open()]
+    assert len(rows) == 12 and {r["reason"] for r in rows} == {"eviction"}
+
+
+def test_failed_run_leaves_a_summary(spark, tmp_path):
+    text = f"[capture]\nread_pcap = '{tmp_path}/none'\n[output]\nsummary_json = '{tmp_path}/summary'\n"
+    with pytest.raises(Exception):
+        run(spark, config.from_toml(text))
+    (file,) = (tmp_path / "summary").glob("*.txt")
+    told = json.loads(file.read_text())
+    assert told["status"] == "failed" and told["error"] and told["source"].startswith("pcap:")

@@ -119,16 +119,17 @@ def _next_life(timeout_us: int, state: list, frame: int, ts: int, swept: int | N
 def _last_sweep(packets: DataFrame, swept: DataFrame) -> DataFrame:
     """packets with swept_us and swept_at, the watermark and the frame of the last sweep at a frame before."""
     chunk = F.floor(F.col("frame_no") / CHUNK).alias("chunk")
-    sweep = F.struct("sweep_us", F.col("frame_no").alias("at"))
-    none = F.lit(None).cast("struct<sweep_us: bigint, at: bigint>")
-    marks = packets.withColumn("sweep", none).unionByName(swept.select("frame_no", sweep.alias("sweep")), allowMissingColumns=True).withColumn("chunk", chunk)
-    # A sweep at a frame comes after that frame's packet.
-    order = Window.partitionBy("chunk").orderBy("frame_no", F.col("sweep").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(None).cast("long")
+    marks = packets.withColumns({"sweep_us": none, "at": none}).unionByName(swept.select("frame_no", "sweep_us", F.col("frame_no").alias("at")), allowMissingColumns=True).withColumn("chunk", chunk)
+    # A sweep at a frame comes after that frame's packet. Watermarks of sweeps grow with their frames, so maxima give the last.
+    order = Window.partitionBy("chunk").orderBy("frame_no", F.col("at").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     # Every chunk of packets gets the last sweep of the chunks before it.
-    tops = marks.groupBy("chunk").agg(F.max("sweep").alias("top"))
-    carry = tops.select("chunk", F.max("top").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    known = marks.withColumn("inside", F.max("sweep").over(order)).filter("sweep is null").join(carry, "chunk").withColumn("last", F.coalesce("inside", "carry"))
-    return known.withColumns({"swept_us": F.col("last.sweep_us"), "swept_at": F.col("last.at")}).drop("inside", "carry", "chunk", "sweep", "last")
+    tops = marks.groupBy("chunk").agg(F.max("sweep_us").alias("sweep_us"), F.max("at").alias("at"))
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select("chunk", *(F.max(c).over(before).alias("carry_" + c) for c in ("sweep_us", "at")))
+    known = marks.withColumns({"in_" + c: F.max(c).over(order) for c in ("sweep_us", "at")}).filter("at is null").join(carry, "chunk")
+    last = {"swept_us": F.coalesce("in_sweep_us", "carry_sweep_us"), "swept_at": F.coalesce("in_at", "carry_at")}
+    return known.withColumns(last).drop("in_sweep_us", "in_at", "carry_sweep_us", "carry_at", "chunk", "sweep_us", "at")
 
 
 def _split(seen: DataFrame, timeout_us: int) -> DataFrame:

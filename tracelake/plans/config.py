@@ -1,4 +1,5 @@
-"""Settings of a run, from TOML, with their checks. Settings of other programs' parts are ignored."""
+"""Settings of a run, from TOML, with their checks. Names of keys and their defaults are fixed values, but for
+max_flows, which is no cap here. Settings of other programs' parts are ignored."""
 
 from __future__ import annotations
 
@@ -34,6 +35,8 @@ class Output:
 @dataclass(frozen=True)
 class Flow:
     timeout_secs: float = 60.0
+    #: Flows held at once; 0 is no cap. A cap makes the plan sequential, see flows.admitted().
+    max_flows: int = 0
 
 
 @dataclass(frozen=True)
@@ -63,6 +66,9 @@ class Anomalies:
 
 @dataclass(frozen=True)
 class Analysis:
+    rtt: bool = True
+    retrans: bool = True
+    out_of_order: bool = True
     anomalies: Anomalies = field(default_factory=Anomalies)
     alerts_jsonl: str | None = None
 
@@ -108,6 +114,7 @@ def validate(config: Config) -> None:
     rules = [
         (config.capture.snaplen < 0, "capture.snaplen must not be negative"), (config.run.count < 0, "run.count must not be negative"),
         (not math.isfinite(config.flow.timeout_secs) or config.flow.timeout_secs < 0, "flow.timeout_secs must be finite and not negative"),
+        (config.flow.max_flows < 0, "flow.max_flows must not be negative"),
         (any(rotation) and not out.write_pcap, "rotation needs output.write_pcap"), (any(rotation) and not all(rotation), "rotation needs a size and a number of files"),
     ]
     for name, x in (("syn_flood", syn), ("port_scan", scan)):

@@ -57,11 +57,20 @@ def _outputs(spark: SparkSession, config: Config) -> dict:
     timeout = round(config.flow.timeout_secs * SECOND)
     swept = cut(flows.sweeps(packets), "sweeps")
     keyed = flows.with_key(flows.eligible(packets.drop("original")))
-    ends = flows.lives(keyed, swept, timeout).select(*flows.KEY, "instance", "expired_us") if timeout else None
-    lived = snapshots.snapshots(flows.instances(keyed, swept, timeout), "instance")
-    lived = cut(lived.join(ends, [*flows.KEY, "instance"]) if timeout else lived.withColumn("expired_us", F.lit(None).cast("long")), "flows")
+    if config.flow.max_flows:
+        ends = cut(flows.admitted(keyed, swept, config.flow.max_flows, timeout), "admitted")
+        numbered = keyed.join(ends.select("frame_no", "instance"), "frame_no")
+        ends = ends.select(*flows.KEY, "instance", F.col("ended_us").alias("expired_us"), "reason").distinct()
+    else:
+        numbered = flows.instances(keyed, swept, timeout)
+        ends = flows.lives(keyed, swept, timeout).select(*flows.KEY, "instance", "expired_us").withColumn("reason", F.when(F.col("expired_us").isNotNull(), "timeout"))
+    lived = snapshots.snapshots(numbered, "instance").join(ends, [*flows.KEY, "instance"])
+    for on, columns in ((config.analysis.rtt, ("rtt_last_ms", "rtt_min_ms", "rtt_ewma_ms", "rtt_samples")), (config.analysis.retrans, ("retransmissions",)), (config.analysis.out_of_order, ("out_of_order",))):
+        if not on:  # not tracked: no round-trip times, counts of 0
+            lived = lived.withColumns({c: (F.lit(None) if c.endswith("_ms") else F.lit(0)).cast(lived.schema[c].dataType) for c in columns})
+    lived = cut(lived, "flows")
     expired = lived.filter("expired_us is not null").orderBy("expired_us", *flows.KEY)
-    kept = lived.filter("expired_us is null").drop("expired_us").orderBy(F.desc("bytes_total"), *flows.KEY, "instance")
+    kept = lived.filter("expired_us is null").drop("expired_us", "reason").orderBy(F.desc("bytes_total"), *flows.KEY, "instance")
     for rows, path, write in ((kept, out.export_json, export.write_json), (kept, out.export_csv, export.write_csv), (expired, out.expired_flows_jsonl, export.write_json), (expired, out.expired_flows_csv, export.write_csv)):
         if path:
             write(rows, path)
@@ -79,9 +88,9 @@ def _outputs(spark: SparkSession, config: Config) -> dict:
                 own.withColumns(texts).write.mode("append").json(config.analysis.alerts_jsonl)
 
     counts = accounting.account(packets).first().asDict()
-    ended = expired.count()
+    ended, evicted = expired.agg(F.count("*"), F.count_if(F.col("reason") == "eviction")).first()
     created = lived.count()
     return {
-        **counts, "flows_created": created, "flows_expired": ended, "flows_retained": created - ended, "flows_evicted": 0, "alerts_emitted": alerts,
+        **counts, "flows_created": created, "flows_expired": ended - evicted, "flows_retained": created - ended, "flows_evicted": evicted, "alerts_emitted": alerts,
         "dispatch_drops": 0, "kernel_drops": None, "interface_drops": None,  # a file tells of no drops
     }

@@ -38,7 +38,8 @@ def records(flows: DataFrame) -> DataFrame:
     out = flows.withColumns({**seconds, **ends})
     if "expired_us" not in flows.columns:
         return out.select(*CSV_COLUMNS)
-    return out.select((F.col("expired_us") / 1e6).alias("ts"), F.lit("timeout").alias("reason"), *CSV_COLUMNS)
+    reason = F.col("reason") if "reason" in flows.columns else F.lit("timeout").alias("reason")
+    return out.select((F.col("expired_us") / 1e6).alias("ts"), reason, *CSV_COLUMNS)
 
 
 def csv_rows(flows: DataFrame) -> DataFrame:
