@@ -14,7 +14,8 @@ from tracelake.functions.decode import DETAILS, FIELDS
 from tracelake.functions.formats import flag_text
 from tracelake.sources.export import address_text
 
-# Numbers and the labels that outputs show for them.
+# Numbers and the labels that outputs show for them. The names of layers and of their fields in
+# layers(), and the wording of summaries, are fixed values too.
 ETHER_TYPES = {0x0800: "IPv4", 0x86DD: "IPv6", 0x0806: "ARP", 0x8100: "802.1Q VLAN", 0x88A8: "802.1ad VLAN", 0x8847: "MPLS", 0x8848: "MPLS Multicast"}
 IP_PROTOCOLS = {1: "ICMP", 6: "TCP", 17: "UDP", 44: "IPv6-Fragment", 58: "ICMPv6"}
 ICMP_TYPES = {0: "Echo Reply", 3: "Destination Unreachable", 5: "Redirect", 8: "Echo Request", 11: "Time Exceeded"}
