@@ -14,7 +14,8 @@ block by binary search, and then reads only the ranges of the records.
 
 Null html is an empty payload; a null url has the key ``-``. A null page_id never is what others
 refer to; it is a revisit where an equal payload has an id. Rows that tie on the smallest id are all
-responses. Extra columns are ignored. Empty tables give empty archives and an empty index.
+responses. Extra columns are ignored, whatever their names. Empty tables give empty archives and an empty
+index. A very long payload is one record, held whole by the task that writes or reads it. Page ids are integers.
 """
 
 from __future__ import annotations
@@ -209,10 +210,18 @@ def read_records(keys: DataFrame, index: DataFrame, folder: str) -> DataFrame:
         store, _ = _store(folder)
         shards = held.value[2]
         number, shard, files = -1, None, {}
+
+        def close():
+            for file in files.values():
+                file.close()
+            files.clear()
+
         for batch in batches:
             places = []
             for k, key in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != number:
+                    if shard is not None:
+                        shard.file.close()
                     number, shard = k, IndexFile(store, *shards[k][2:])
                 places += [(*place, key) for place in shard.find(key)]
             places.sort()
@@ -221,11 +230,14 @@ def read_records(keys: DataFrame, index: DataFrame, folder: str) -> DataFrame:
                 for path, at, size, key in places[i : i + 4096]:
                     if path not in files:
                         if len(files) >= 16:
-                            files.clear()
+                            close()
                         files[path] = store.open_input_file(path)
                     said = parse(zlib.decompress(files[path].read_at(size, at), 31))
                     out.append((key, *(said[n] for n in names)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["key", *names])
+        close()
+        if shard is not None:
+            shard.file.close()
 
     dealt = keys.select("key").distinct().mapInArrow(deal, "shard int, key string")
     # An index file is a task, whatever the share of one URL: the files' ranges hold about equally many captures.
