@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, decontaminate, lm_scoring, near_dedup, quality_rules, rule_classifier, substring_dedup, token_counts, url_filter, warc
+from tracelake.llm import bpe, decontaminate, lexical_search, lm_scoring, near_dedup, piece_bpe, prefix_trie, quality_rules, rule_classifier, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,14 +71,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_bpe.encode(docs, _vocabulary("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.grafted(turns))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_decontaminate, op3_warc_index, op4_lm_scoring, op5_quality_classifier,
         op6_bpe, op7_minhash_dedup, op8_token_counts, op9_quality_rules, op10_url_filter,
+        op11_sentencepiece, op12_lexical_search, op13_prefix_trie,
     )
 }
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -151,4 +167,34 @@ l AS (SELECT a, b FROM i JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
 r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
 c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op12_lexical_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
+g AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+q AS (SELECT i, t, count(*) AS times FROM (SELECT i, unnest(w) AS t FROM b) GROUP BY i, t),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (SELECT t, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, g GROUP BY t),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * n) // l AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT i, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT i, r, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN b USING (i) WHERE rank <= 10""",
+    "op13_prefix_trie": """
+WITH t AS (SELECT conv_id, turn, octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '') AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(x)) AS place, sha256(x) AS x, size FROM t),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base FROM o),
+tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) AS k),
+h AS (SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+      lambda a, z: xor(a >> 8, k[(xor(a, z) & 255) + 1])), 4294967295::BIGINT) % 9 AS h FROM c, tab),
+g AS (SELECT conv_id, base, h, least(h, (SELECT count(*) FROM o WHERE o.conv_id = base)) AS graft FROM h),
+r AS (SELECT g.conv_id, o.place, x, size FROM g JOIN o ON o.conv_id = base AND o.place <= h
+      UNION ALL SELECT g.conv_id, o.place - h + graft, x, size FROM g JOIN o ON o.conv_id = g.conv_id AND o.place > h
+      UNION ALL SELECT conv_id, 0, '', 0 FROM g),
+p AS (SELECT conv_id, place::BIGINT AS depth, size, max(place) OVER (PARTITION BY conv_id) = place AS ends, sha256(string_agg(x, ',') OVER (PARTITION BY conv_id ORDER BY place)) AS key FROM r),
+n AS (SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(size) AS size, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY key),
+up AS (SELECT DISTINCT d.key, a.key AS above FROM p AS d JOIN p AS a ON a.conv_id = d.conv_id AND a.depth = d.depth - 1),
+kids AS (SELECT above AS key, count(*) AS n FROM up GROUP BY above),
+pairs AS (SELECT DISTINCT a.key, d.key AS below FROM p AS a JOIN p AS d ON d.conv_id = a.conv_id AND d.depth >= a.depth),
+sub AS (SELECT pairs.key, count(*) FILTER (kids.key IS NULL) AS leaves, sum((n.n - 1) * n.size)::BIGINT AS saved FROM pairs JOIN n ON n.key = below LEFT JOIN kids ON kids.key = below GROUP BY pairs.key)
+SELECT n.conv_id, n.depth, above.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, sub.leaves AS n_leaves, sub.saved AS saved_tokens, n.ends_sha256
+FROM n JOIN sub ON sub.key = n.key LEFT JOIN kids ON kids.key = n.key LEFT JOIN up ON up.key = n.key LEFT JOIN n AS above ON above.key = up.above""",
 }
