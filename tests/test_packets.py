@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import decode
 from tracelake.operators import accounting, flows, tcp
-from tracelake.sources import pcap
+from tracelake.sources import captures, pcap
 
 MACS = bytes.fromhex("020000000001020000000002")
 START = 1_700_000_000_000_000
@@ -145,9 +145,10 @@ def test_rotation_keeps_order(spark, tmp_path):
 def test_bad_captures():
     for content in (b"", b"x" * 30, struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"abc"):
         with pytest.raises(ValueError):
-            list(pcap.records(memoryview(content)))
+            list(captures.whole("x", memoryview(content)))
     big = struct.pack(">IHHiIIIIIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, 1, 5, 7000, 0, 9)
-    assert list(pcap.records(memoryview(big))) == [1, (5, 7, 9, 40, 40)]
+    (batch,) = captures.whole("x", memoryview(big))
+    assert batch.select(["ts_sec", "ts_usec", "wire_len", "link_type", "raw"]).to_pylist() == [{"ts_sec": 5, "ts_usec": 7, "wire_len": 9, "link_type": 1, "raw": b""}]
 
 
 def test_decoded_fields(spark):

@@ -44,8 +44,8 @@ def run(spark: SparkSession, config: Config) -> dict:
 def _outputs(spark: SparkSession, config: Config) -> dict:
     """All outputs but the summary, and the counts for it. All frames that pass the filter count, decodable or not."""
     out, found = config.output, config.analysis.anomalies
-    frames = pcap.read_pcap(spark, config.capture.read_pcap).withColumn("original", F.col("raw"))  # whole: snaplen is for live capture
-    packets = decode(frames.withColumn("raw", F.col("original")))
+    # Whole frames: snaplen is for live capture. Read once, and written decoded.
+    packets = pcap.read_pcap(spark, config.capture.read_pcap, lambda frames: decode(frames.withColumn("original", F.col("raw"))))
     if config.capture.filter:
         packets = packets.filter(compile_filter(config.capture.filter, packed=True))
     packets = cut(flows.with_watermark(flows.limited(packets, config.run.count)), "packets")

@@ -1,8 +1,8 @@
-"""Classic PCAP capture files: frames from files, files from frames.
+"""Capture files: frames from files, files from frames.
 
-Reading goes through Spark's binaryFile reader, so any store that Spark reads will do; a file is one
-row of at most 2 GiB, which is how rotated captures come. Writing goes through a data source whose
-tasks stream into files of their own; a file appears under its name only when the job commits.
+Batches read by byte ranges (captures.py). Streams read whole files as they appear, through Spark's binaryFile
+reader: a file is one row of at most 2 GiB there, which is how rotated captures come. Writing goes through a data source
+whose tasks stream into files of their own; a file appears under its name only when the job commits.
 """
 
 from __future__ import annotations
@@ -11,74 +11,21 @@ import re
 import struct
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-# Fixed values of the format.
-MICRO, NANO = 0xA1B2C3D4, 0xA1B23C4D
-HEADER, RECORD = "IHHiIII", "IIII"
-#: Frames and bytes handed on at a time.
-ROWS, BATCH_BYTES = 8192, 16 << 20
-FRAME = "source string, file_no long, ts_sec long, ts_usec int, ts_us long, wire_len long, cap_len int, link_type int, raw binary"
-_SCHEMA = pa.schema([("source", pa.string()), ("file_no", pa.int64()), ("ts_sec", pa.int64()), ("ts_usec", pa.int32()), ("ts_us", pa.int64()), ("wire_len", pa.int64()), ("cap_len", pa.int32()), ("link_type", pa.int32()), ("raw", pa.binary())])
-
-
-def records(content: memoryview, name: str = ""):
-    """(seconds, microseconds, wire length, first byte, end) of every record after the link type, which
-    comes first. Raises ValueError for a file that isn't PCAP or ends inside a record."""
-    if len(content) < 24:
-        raise ValueError(f"{name}: no PCAP header")
-    order = next((o for o in "<>" if struct.unpack_from(o + "I", content)[0] in (MICRO, NANO)), None)
-    if order is None:
-        raise ValueError(f"{name}: not a classic PCAP file")
-    magic, *_, link = struct.unpack_from(order + HEADER, content)
-    yield link & 0xFFFF
-    record, at, scale = struct.Struct(order + RECORD), 24, 1000 if magic == NANO else 1
-    while at < len(content):
-        if at + 16 > len(content):
-            raise ValueError(f"{name}: truncated record header at byte {at}")
-        seconds, fraction, captured, wire = record.unpack_from(content, at)
-        at += 16
-        if at + captured > len(content):
-            raise ValueError(f"{name}: truncated record at byte {at}")
-        yield seconds, fraction // scale, wire, at, at + captured
-        at += captured
-
-
-def _frames(path: str, content: memoryview):
-    found = records(content, path)
-    link, rows, held, number = next(found), [], 0, 0
-
-    def batch():
-        sec, usec, wire, begin, end = zip(*rows)
-        sec, usec = np.array(sec, np.int64), np.array(usec, np.int64)
-        raw = [content[a:z].tobytes() for a, z in zip(begin, end)]
-        numbers = np.arange(number - len(rows) + 1, number + 1)
-        size = len(rows)
-        return pa.RecordBatch.from_arrays([
-            pa.array([path] * size), pa.array(numbers, pa.int64()), pa.array(sec), pa.array(usec, pa.int32()), pa.array(sec * 1_000_000 + usec), pa.array(wire, pa.int64()),
-            pa.array(np.subtract(end, begin), pa.int32()), pa.array(np.full(size, link), pa.int32()), pa.array(raw, pa.binary()),
-        ], schema=_SCHEMA)
-
-    for row in found:
-        rows.append(row)
-        number, held = number + 1, held + row[4] - row[3]
-        if len(rows) == ROWS or held >= BATCH_BYTES:
-            yield batch()
-            rows, held = [], 0
-    if rows:
-        yield batch()
+from tracelake.sources import captures
+from tracelake.sources.captures import HEADER, MICRO, RECORD
 
 
 def _read(batches):
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield from _frames(name, memoryview(content.as_buffer()))
+            yield from captures.whole(name, memoryview(content.as_buffer()))
 
 
 def stream_pcap(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
@@ -86,24 +33,14 @@ def stream_pcap(spark: SparkSession, folder: str, files_per_batch: int = 16) ->
     numbers the frames of a file, there is no number over all files. Unread files wait, none are dropped."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     found = files.option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.pcap").load(folder)
-    return found.select("path", "content").mapInArrow(_read, FRAME)
+    rows = found.select("path", "content").mapInArrow(_read, captures.SCHEMA)
+    return rows.select("source", (F.col("place") + 1).alias("file_no"), *(c for c, _ in captures.FRAME))
 
 
-def read_pcap(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Frames of the files, with frame_no from 1 on in the order of paths, then of records. An empty file
-    list raises Spark's own error; a capture without records gives no rows."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def count(batches):
-        for batch in batches:
-            sizes = [sum(1 for _ in records(memoryview(c.as_buffer()), "")) - 1 for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["source", "n"])
-
-    # One row a file, so a single task is enough for the running total.
-    sizes = files.mapInArrow(count, "source string, n long")
-    before = sizes.selectExpr("source", "coalesce(sum(n) over (order by source rows between unbounded preceding and 1 preceding), 0) as before")
-    frames = files.mapInArrow(_read, FRAME)
-    return frames.join(before, "source").withColumn("frame_no", F.col("before") + F.col("file_no")).drop("before")
+def read_pcap(spark: SparkSession, path: str | list[str], then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Frames of the capture files, with frame_no from 1 on in the order of paths, then of records. An empty file
+    list raises Spark's own error; a capture without records gives no rows. See read_captures for ``then``."""
+    return captures.read_captures(spark, path, then)
 
 
 @dataclass
