@@ -67,10 +67,10 @@ def test_nothing_is_folded_plainly_without_jumps(monkeypatch):
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     columns = [np.array([x[i] for x in rows]) for i in (1, 7, 8, 9, 10, 11, 12, 13, 14)]
     columns[1] = columns[1].astype(np.int64)
-    batch = tcp._Batch(columns, heads, None)
+    batch = tcp.Batch(columns, heads, None)
     assert not batch.redone and batch.counts["samples"].sum() > 100 and batch.counts["retransmissions"].sum() > 50
-    monkeypatch.setattr(tcp._Batch, "_plainly", None)
-    tcp._Batch(columns, heads, None)
+    monkeypatch.setattr(tcp.Batch, "_plainly", None)
+    tcp.Batch(columns, heads, None)
 
 
 def test_more_in_flight_than_is_kept(spark):

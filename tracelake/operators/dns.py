@@ -53,12 +53,16 @@ class Flow:
         return (self.queries, self.matched, self.queries - self.matched, self.refused, self.nxdomain, self.servfail, self.least, self.mean, self.most) if self.seen else None
 
 
+def usable(messages: DataFrame) -> DataFrame:
+    """One question, or none in a response that reports an error; a question that can't be read counts as no message."""
+    one = (F.col("question_count") == 1) & F.col("question").isNotNull()
+    bare = (F.col("question_count") == 0) & F.col("response") & (F.col("rcode") != 0)
+    return messages.filter((F.col("opcode") == 0) & (one | bare))
+
+
 def dns_flows(messages: DataFrame, *more_keys: str) -> DataFrame:
     """One row a flow that asked something, with the columns of RESULT. messages: keyed rows with frame_no,
     ts_us, watermark_us, a_to_b, dns_id, response, opcode, rcode, question_count, question, complete.
     There is no cap on queries that wait across all flows, only on those of one flow."""
-    # One question, or none in a response that reports an error; a question that can't be read counts as no message.
-    one = (F.col("question_count") == 1) & F.col("question").isNotNull()
-    bare = (F.col("question_count") == 0) & F.col("response") & (F.col("rcode") != 0)
     names = ["frame_no", "ts_us", "watermark_us", "a_to_b", "dns_id", "response", "rcode", "question", "complete"]
-    return fold(messages.filter((F.col("opcode") == 0) & (one | bare)), [*KEY, *more_keys], names, RESULT, Flow, Flow.take, Flow.result)
+    return fold(usable(messages), [*KEY, *more_keys], names, RESULT, Flow, Flow.take, Flow.result)

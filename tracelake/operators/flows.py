@@ -1,7 +1,6 @@
 """Flow keys, flow aggregates, capture-time expiry and rankings over packet rows.
 
-A packet row has frame_no, ts_us, protocol, src_ip, src_port, dst_ip, dst_port, wire_len. All of it is
-DataFrame operations, but for the sweep clock, a pass over two numbers a frame.
+A packet row has frame_no, ts_us, protocol, src_ip, src_port, dst_ip, dst_port, wire_len. frame_no is unique.
 """
 
 from __future__ import annotations
@@ -10,12 +9,12 @@ import heapq
 from collections import Counter, deque
 from functools import partial
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.folds import fold
+from tracelake.operators.sweeps import sweeps  # noqa: F401
 from tracelake.sources.tables import cut
 
 KEY = ("protocol", "a_ip", "a_port", "b_ip", "b_port")
@@ -57,35 +56,19 @@ def top_n(flows: DataFrame, n: int, by: str = "bytes_total") -> DataFrame:
 
 
 def with_watermark(frames: DataFrame) -> DataFrame:
-    """The largest time up to each frame, chunk by chunk: maxima of the chunks before, then inside."""
-    chunked = frames.withColumn("chunk", F.floor(F.col("frame_no") / CHUNK))
+    """frames with watermark_us, the largest time up to each frame. Two numbers a frame are dealt by chunks of frames:
+    maxima of the chunks before, then inside. A frame that is not behind has its own time as the watermark, so only
+    late frames are joined back; where they are few, which is read off their table, Spark broadcasts them and the
+    frames themselves, with payloads, stay where they are."""
+    frames = frames.drop("watermark_us")
+    chunked = frames.select("frame_no", "ts_us", F.floor(F.col("frame_no") / CHUNK).alias("chunk"))
     own = chunked.groupBy("chunk").agg(F.max("ts_us").alias("top"))
     # One row a chunk, so a single task is enough for the running maximum.
     before = own.select("chunk", F.max("top").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
     inside = F.max("ts_us").over(Window.partitionBy("chunk").orderBy("frame_no"))
-    return chunked.withColumn("inside", inside).join(before, "chunk").withColumn("watermark_us", F.greatest("inside", "carry")).drop("inside", "carry", "chunk")
-
-
-def sweeps(frames: DataFrame, every_us: int = 1_000_000) -> DataFrame:
-    """Frames after which idle flows are looked for: the first, then each whose watermark is at least
-    every_us past the last sweep's. frames: frame_no, watermark_us."""
-
-    def run(batches):
-        last = None
-        for batch in batches:
-            frames, marks = (np.asarray(batch.column(k)) for k in (0, 1))
-            at, found = 0, []
-            while True:  # one jump a sweep
-                at = at if last is None else int(np.searchsorted(marks, last + every_us))
-                if at >= len(marks):
-                    break
-                last = int(marks[at])
-                found.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(frames[found], pa.int64()), pa.array(marks[found], pa.int64())], names=["frame_no", "sweep_us"])
-
-    # The chain is sequential by definition. It streams two numbers a frame; only frames that raise the watermark matter.
-    rising = frames.groupBy("watermark_us").agg(F.min("frame_no").alias("frame_no")).select("frame_no", "watermark_us")
-    return rising.repartition(1).sortWithinPartitions("watermark_us").mapInArrow(run, "frame_no long, sweep_us long")
+    marked = chunked.withColumn("inside", inside).join(before, "chunk").select("frame_no", "ts_us", F.greatest("inside", "carry").alias("watermark_us"))
+    late = cut(marked.filter("ts_us < watermark_us").select("frame_no", "watermark_us"), "late")
+    return frames.join(late, "frame_no", "left").withColumn("watermark_us", F.coalesce("watermark_us", "ts_us"))
 
 
 def instances(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFrame:

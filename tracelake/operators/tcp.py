@@ -1,6 +1,6 @@
 """The state of TCP flows: connection state, round-trip times, retransmissions and out-of-order segments.
 
-Each needs a flow's packets in frame order. ``Flow`` says what happens, packet by packet. ``_Batch`` computes the
+Each needs a flow's packets in frame order. ``Flow`` says what happens, packet by packet. ``Batch`` computes the
 same for all flows of a batch at once: the connection state is a scan over a finite automaton; the highest sequence
 number of a side is a running maximum of unwrapped numbers; what an acknowledgement finds waiting is a search
 among the ends that raised it. A flow whose numbers jump by more than half their range can't be unwrapped; it
@@ -115,11 +115,11 @@ def _machine() -> Automaton:
     return Automaton(_move, 4 * len(_NAMES), 7)
 
 
-_COLUMNS = ("ts_us", "a_to_b", "syn", "ack", "fin", "rst", "seq", "ack_no", "seq_len")
+COLUMNS = ("ts_us", "a_to_b", "syn", "ack", "fin", "rst", "seq", "ack_no", "seq_len")
 
 
-class _Batch:
-    """All flows of a batch. rows: arrays of _COLUMNS, sorted by flow and frame; heads: where flows begin, from 0
+class Batch:
+    """All flows of a batch. rows: arrays of COLUMNS, sorted by flow and frame; heads: where flows begin, from 0
     on; ``carried``: what the rows before made of the first flow, if it began there."""
 
     def __init__(self, rows: list[np.ndarray], heads: np.ndarray, carried: Flow | None):
@@ -323,7 +323,7 @@ def _changes(column: pa.Array) -> np.ndarray:
 
 def _arrays(table: pa.RecordBatch, first: int) -> list[np.ndarray]:
     out = []
-    for i, name in enumerate(_COLUMNS):
+    for i, name in enumerate(COLUMNS):
         column = table.column(first + i)
         flag = pa.types.is_boolean(column.type)
         values = column.fill_null(False if flag else 0).to_numpy(zero_copy_only=False)
@@ -336,7 +336,7 @@ def tcp_flows(packets: DataFrame, *more_keys: str) -> DataFrame:
     packets: keyed rows with frame_no, ts_us, a_to_b, syn, ack, fin, rst, seq, ack_no, seq_len. Rows are dealt by
     flow and sorted; tasks stream through them."""
     key = [*KEY, *more_keys]
-    rows = packets.filter("protocol = 'tcp'").select(*key, *(F.col(c).alias(f"__{c}") for c in ("frame_no", *_COLUMNS)))
+    rows = packets.filter("protocol = 'tcp'").select(*key, *(F.col(c).alias(f"__{c}") for c in ("frame_no", *COLUMNS)))
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key), *(f"{c} {t}" for c, t in RESULT.items())])
     k = len(key)
 
@@ -354,7 +354,7 @@ def tcp_flows(packets: DataFrame, *more_keys: str) -> DataFrame:
             if own is not None and not goes_on:
                 yield done(own, [pa.array([x], t) for x, t in zip(carried.result(), _TYPES)])
             heads = np.flatnonzero(starts)
-            batch = _Batch(_arrays(table, k + 1), heads, carried if goes_on else None)
+            batch = Batch(_arrays(table, k + 1), heads, carried if goes_on else None)
             if len(heads) > 1:
                 at = pa.array(heads[:-1])
                 yield done([table.column(i).take(at) for i in range(k)], batch.results(len(heads) - 1))

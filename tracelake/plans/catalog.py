@@ -314,7 +314,8 @@ d AS (SELECT *, (a_ip >> 24) || '.' || ((a_ip >> 16) & 255) || '.' || ((a_ip >>
 SELECT protocol, endpoint_a_ip, a_port AS endpoint_a_port, endpoint_b_ip, b_port AS endpoint_b_port, printf('%d.%06d', first_us // 1000000, first_us % 1000000) AS first_seen,
  printf('%d.%06d', (last_us - first_us) // 1000000, (last_us - first_us) % 1000000) AS duration_secs, packets_total, bytes_total FROM d""")
 def flow_csv_rows(spark, sf_dir):
-    packets = flows.with_watermark(_decoded_raw(spark, sf_dir, *snapshots.FIELDS))
+    frames = flows.with_watermark(_captured(spark, sf_dir).select("frame_no", "ts_us", "wire_len", "link_type", "raw"))
+    packets = decode(frames, *snapshots.FIELDS)
     rows = export.csv_rows(snapshots.snapshots(flows.with_key(flows.eligible(packets))))
     return rows.select("protocol", "endpoint_a_ip", "endpoint_a_port", "endpoint_b_ip", "endpoint_b_port", "first_seen", "duration_secs", "packets_total", "bytes_total")
 
