@@ -4,7 +4,7 @@ The tables hold no packets, so a packet trace is derived from events by a fixed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import dns as dns_payloads
@@ -392,3 +392,40 @@ def sql_functions(spark, sf_dir):
     register(spark)
     packed = _captured(spark, sf_dir).withColumns({c: number(F.col(c), 4) for c in ("src_ip", "dst_ip")})
     return packed.select("frame_no", F.expr("time_of_day(ts_us)").alias("time"), F.expr("flow_key(protocol, src_ip, src_port, dst_ip, dst_port).a_to_b").alias("a_to_b"))
+
+
+@query(f"{_TRACE} SELECT {_FRAME} FROM t")
+def capture_ranges(spark, sf_dir):
+    """The trace as capture files, read back by ranges of 64 KiB."""
+    from tracelake.sources import captures, pcap
+    from tracelake.sources.tables import scratch
+
+    folder = scratch(spark, "captures")
+    pcap.write_pcap(_captured(spark, sf_dir), folder)
+    own = ("protocol", "src_ip", "src_port", "dst_ip", "dst_port")
+    rows = captures.read_captures(spark, folder, lambda frames: decode(frames, *own), 1 << 16)
+    return rows.withColumns({c: F.conv(F.hex(c), 16, 10).cast("long") for c in ("src_ip", "dst_ip")}).select(*_FRAME.split(", "))
+
+
+@query(f"""{_TRACE}, n AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY frame_no) AS i, count(*) OVER (PARTITION BY {_K}) AS size FROM p WHERE protocol = 'tcp'),
+s AS (SELECT *, CASE WHEN i = 1 THEN 'syn' WHEN i = size AND i % 5 = 0 THEN 'rst' WHEN i >= size - 1 AND size % 3 = 0 THEN 'fin' ELSE 'ack' END AS kind,
+      CASE WHEN i % 4 = 3 THEN lag(i, 1, 1) OVER w ELSE i END AS sent, CASE WHEN i % 4 = 3 THEN lag(a_to_b, 1, a_to_b) OVER w ELSE a_to_b END AS side FROM n WINDOW w AS (PARTITION BY {_K} ORDER BY i)),
+tops AS (SELECT *, coalesce(max(sent) OVER (PARTITION BY {_K}, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM s WHERE kind <> 'rst'),
+o AS (SELECT {_K}, count(*) FILTER (sent <= top AND i > 1) AS again FROM tops GROUP BY {_K}),
+l AS (SELECT {_K}, arg_max(kind, i) AS last, arg_max(kind, i) FILTER (kind <> 'ack') AS mark, any_value(size) AS size, max(i) FILTER (kind = 'rst') AS gone, count(DISTINCT side) FILTER (kind = 'fin') AS closed,
+      max(i) FILTER (kind = 'ack') AS acked, max(i) FILTER (kind = 'fin') AS finished, arg_min(side, i) AS client FROM s GROUP BY {_K})
+SELECT {_K}, CASE WHEN gone IS NOT NULL THEN 'reset' WHEN closed = 2 THEN 'closed' WHEN closed = 1 THEN 'fin_wait' WHEN size = 1 THEN 'syn_sent' ELSE 'established' END AS tcp_state,
+ CASE WHEN client THEN 'a_to_b' ELSE 'b_to_a' END AS client, coalesce(again, 0) AS again FROM l LEFT JOIN o USING ({_K})""")
+def tcp_life(spark, sf_dir):
+    """TCP flows that begin with a SYN and end by FINs, by a RST or not at all, in which every fourth segment comes
+    again: sequence numbers that wrap, one byte a segment."""
+    order, whole = Window.partitionBy(*flows.KEY).orderBy("frame_no"), Window.partitionBy(*flows.KEY)
+    rows = _keyed(spark, sf_dir).filter("protocol = 'tcp'").withColumns({"i": F.row_number().over(order).cast("long"), "size": F.count("*").over(whole)})
+    i, size = F.col("i"), F.col("size")
+    kind = F.when(i == 1, "syn").when((i == size) & (i % 5 == 0), "rst").when((i >= size - 1) & (size % 3 == 0), "fin").otherwise("ack")
+    again = i % 4 == 3
+    rows = rows.withColumns({"kind": kind, "sent": F.when(again, F.lag("i", 1, 1).over(order)).otherwise(i), "a_to_b": F.when(again, F.coalesce(F.lag("a_to_b").over(order), "a_to_b")).otherwise(F.col("a_to_b"))})
+    is_ = lambda k: F.col("kind") == k
+    rows = rows.withColumns({"syn": is_("syn"), "ack": is_("ack"), "fin": is_("fin"), "rst": is_("rst"), "seq": (F.col("sent") + 4294967290) % 4294967296, "ack_no": F.lit(0).cast("long"), "seq_len": F.when(is_("rst"), 0).otherwise(1).cast("long")})
+    found = tcp.tcp_flows(rows)
+    return found.select(*flows.KEY, "tcp_state", "client", (F.col("retransmissions") + F.col("out_of_order")).alias("again"))
