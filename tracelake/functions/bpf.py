@@ -1,4 +1,7 @@
-"""A subset of the capture-filter language, compiled to a Column over packet rows.
+"""A subset of the capture-filter language, compiled to a Column over packet rows, for tables without the frames' bytes.
+
+It tests what decoding found, so a frame counts by its innermost headers: inside VLANs too, but not by a transport header
+that is cut or not in this fragment. capture_filter.py is the language over bytes.
 
 expr: term {(and | or) term}; term: not term | (expr) | primitive. Primitives: ip, ip6, tcp, udp, icmp, icmp6, arp,
 [tcp | udp] [src | dst] (host A | net A/N | port P | portrange P-Q), less N, greater N. Like the

@@ -429,3 +429,29 @@ def tcp_life(spark, sf_dir):
     rows = rows.withColumns({"syn": is_("syn"), "ack": is_("ack"), "fin": is_("fin"), "rst": is_("rst"), "seq": (F.col("sent") + 4294967290) % 4294967296, "ack_no": F.lit(0).cast("long"), "seq_len": F.when(is_("rst"), 0).otherwise(1).cast("long")})
     found = tcp.tcp_flows(rows)
     return found.select(*flows.KEY, "tcp_state", "client", (F.col("retransmissions") + F.col("out_of_order")).alias("again"))
+
+
+#: Filters over bytes, and what they pass in terms of the trace's rows: every fourth frame is in a VLAN, every fourth a later
+#: fragment, every fourth an ARP request.
+FILTERS = {
+    "tcp": ("tcp", "n % 4 <> 0 AND n % 4 <> 2 AND protocol = 'tcp'"),
+    "host 192.168.0.2": ("host", "n % 4 <> 0 AND (src_ip = 3232235522 OR dst_ip = 3232235522)"),
+    "vlan 7 and port 443": ("tagged", "n % 4 = 0 AND (src_port = 443 OR dst_port = 443)"),
+    "udp port 53 or arp": ("mixed", "(n % 4 = 3 AND protocol = 'udp' AND (src_port = 53 OR dst_port = 53)) OR n % 4 = 2"),
+    "ip[6:2] & 0x1fff != 0 and not src net 10.0.0.0/8": ("later", "n % 4 = 1 AND src_ip >> 24 <> 10"),
+    "tcp[tcpflags] & tcp-syn != 0 or (vlan and tcp[13] = 16)": ("flags", "(n % 4 = 3 AND protocol = 'tcp' AND syn) OR (n % 4 = 0 AND protocol = 'tcp' AND NOT syn)"),
+}
+
+
+@query(f"{_TRACE}, x AS (SELECT *, frame_no AS n FROM t) SELECT frame_no, " + ", ".join(f"coalesce({sql}, FALSE) AS {name}" for name, sql in FILTERS.values()) + " FROM x")
+def capture_filters(spark, sf_dir):
+    """What filters over bytes pass of plain, tagged, fragmented and ARP frames."""
+    from tracelake.functions.capture_filter import matches
+
+    n, raw = F.col("frame_no"), F.col("raw")
+    tagged = F.concat(F.substring(raw, 1, 12), F.unhex(F.lit("81000007")), F.substring(raw, 13, 100))
+    later = F.concat(F.substring(raw, 1, 20), F.unhex(F.lit("0005")), F.substring(raw, 23, 100))
+    asked = F.concat(F.substring(raw, 1, 12), F.unhex(F.lit("08060001080006040001020000000002")), number(F.col("src_ip"), 4), F.unhex(F.lit("000000000000")), number(F.col("dst_ip"), 4))
+    made = F.when(n % 4 == 0, tagged).when(n % 4 == 1, later).when(n % 4 == 2, asked).otherwise(raw)
+    frames = _captured(spark, sf_dir).withColumn("raw", made)
+    return frames.select("frame_no", *(matches(text).alias(name) for text, (name, _) in FILTERS.items()))

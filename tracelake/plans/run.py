@@ -10,7 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.bpf import compile_filter
+from tracelake.functions.capture_filter import matches
 from tracelake.functions.decode import decode
 from tracelake.operators import accounting, detectors, flows, snapshots
 from tracelake.plans.config import Config, validate
@@ -47,7 +47,7 @@ def _outputs(spark: SparkSession, config: Config) -> dict:
     # Whole frames: snaplen is for live capture. Read once, and written decoded.
     packets = pcap.read_pcap(spark, config.capture.read_pcap, lambda frames: decode(frames.withColumn("original", F.col("raw"))))
     if config.capture.filter:
-        packets = packets.filter(compile_filter(config.capture.filter, packed=True))
+        packets = packets.filter(matches(config.capture.filter, raw="original"))
     packets = cut(flows.with_watermark(flows.limited(packets, config.run.count)), "packets")
     if out.write_pcap:
         link = packets.select("link_type").first()
