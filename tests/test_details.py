@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_packets import frames_of, linux_sll2, protocol_edges
 
 from tracelake.functions import decode, packets, registry
-from tracelake.operators import detectors, flows
+from tracelake.operators import capped, detectors, flows
 from tracelake.plans import metrics
 from tracelake.sources import files, pcap
 
@@ -118,21 +118,21 @@ def test_lives_of_flows_with_late_frames(spark):
             for k in [k for k, e in table.items() if top - e[0] > 1000]:
                 ended[k, table.pop(k)[1]] = last
     assert max(want.values()) > 3 and got == want
-    capped = {x.frame_no: x.instance for x in flows.admitted(packets_, swept, 0, 1000).collect()}
-    assert capped == want
+    bounded = {x.frame_no: x.instance for x in capped.admitted(packets_, swept, 0, 1000).collect()}
+    assert bounded == want
     keyed = packets_.withColumn("a_to_b", F.lit(True))
     got = {(tuple(x[k] for k in flows.KEY), x.instance): x.expired_us for x in flows.lives(keyed, swept, 1000).collect()}
     assert {k: v for k, v in got.items() if v is not None} == ended and len(got) == sum(life.values())
-    capped = {(tuple(x[k] for k in flows.KEY), x.instance): x.ended_us for x in flows.admitted(packets_, swept, 0, 1000).collect()}
-    assert capped == got
+    bounded = {(tuple(x[k] for k in flows.KEY), x.instance): x.ended_us for x in capped.admitted(packets_, swept, 0, 1000).collect()}
+    assert bounded == got
 
 
 def test_capped_table(spark):
     ports = [1001, 1002, 1003, 1004, 1002, 1005]
     rows = [(i, i, "udp", 1, p, 2, 53, 60) for i, p in enumerate(ports)]
-    out = flows.admitted(spark.createDataFrame(rows, KEYED), None, 3).collect()
+    out = capped.admitted(spark.createDataFrame(rows, KEYED), None, 3).collect()
     assert {(r.a_port, r.ended_us) for r in out if r.reason == "eviction"} == {(1001, 3), (1003, 5)} and len(out) == 6
-    many = flows.admitted(spark.createDataFrame([(i, i, "udp", 1, i, 2, 53, 60) for i in range(100)], KEYED), None, 2)
+    many = capped.admitted(spark.createDataFrame([(i, i, "udp", 1, i, 2, 53, 60) for i in range(100)], KEYED), None, 2)
     assert many.filter("reason = 'eviction'").count() == 98
 
 

@@ -6,7 +6,6 @@ A packet row has frame_no, ts_us, protocol, src_ip, src_port, dst_ip, dst_port,
 from __future__ import annotations
 
 import heapq
-from collections import Counter, deque
 from functools import partial
 
 import pyarrow as pa
@@ -71,7 +70,7 @@ def with_watermark(frames: DataFrame) -> DataFrame:
     return frames.join(late, "frame_no", "left").withColumn("watermark_us", F.coalesce("watermark_us", "ts_us"))
 
 
-def instances(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFrame:
+def instances(packets: DataFrame, swept: DataFrame, timeout_us: int, key: tuple[str, ...] = KEY) -> DataFrame:
     """packets with ``instance``, the number of the flow's life. A flow ends at the first sweep that finds
     it idle for longer than timeout_us (0: never). A gap alone doesn't end it: a frame is seen before
     the sweep that it causes.
@@ -83,12 +82,12 @@ def instances(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFram
         return packets.withColumn("instance", F.lit(0).cast("long"))
     looked_up = _last_sweep(packets, swept)
     if "watermark_us" not in packets.columns:
-        return _split(looked_up, timeout_us)
-    late = packets.filter("ts_us < watermark_us").select(*KEY).distinct()
-    rows = looked_up.join(late, list(KEY), "left_semi")
-    lives_of = fold(rows, list(KEY), ["frame_no", "ts_us", "swept_us", "swept_at"], {"frame_no": "long", "instance": "long"}, lambda: [None, 0, -1], partial(_next_life, timeout_us), lambda state: None)
-    crooked = rows.drop("swept_us", "swept_at").join(lives_of, [*KEY, "frame_no"])
-    return _split(looked_up.join(late, list(KEY), "left_anti"), timeout_us).unionByName(crooked)
+        return _split(looked_up, timeout_us, key)
+    late = packets.filter("ts_us < watermark_us").select(*key).distinct()
+    rows = looked_up.join(late, list(key), "left_semi")
+    lives_of = fold(rows, list(key), ["frame_no", "ts_us", "swept_us", "swept_at"], {"frame_no": "long", "instance": "long"}, lambda: [None, 0, -1], partial(_next_life, timeout_us), lambda state: None)
+    crooked = rows.drop("swept_us", "swept_at").join(lives_of, [*key, "frame_no"])
+    return _split(looked_up.join(late, list(key), "left_anti"), timeout_us, key).unionByName(crooked)
 
 
 def _next_life(timeout_us: int, state: list, frame: int, ts: int, swept: int | None, swept_at: int | None) -> list[tuple]:
@@ -115,8 +114,8 @@ def _last_sweep(packets: DataFrame, swept: DataFrame) -> DataFrame:
     return known.withColumns(last).drop("in_sweep_us", "in_at", "carry_sweep_us", "carry_at", "chunk", "sweep_us", "at")
 
 
-def _split(seen: DataFrame, timeout_us: int) -> DataFrame:
-    per_key = Window.partitionBy(*KEY).orderBy("frame_no")
+def _split(seen: DataFrame, timeout_us: int, key: tuple[str, ...]) -> DataFrame:
+    per_key = Window.partitionBy(*key).orderBy("frame_no")
     split = F.coalesce(F.col("swept_us") - F.lag("ts_us").over(per_key) > timeout_us, F.lit(False))
     return seen.withColumn("__split", split.cast("long")).withColumn("instance", F.sum("__split").over(per_key)).drop("__split", "swept_us", "swept_at")
 
@@ -129,7 +128,11 @@ def lives(packets: DataFrame, swept: DataFrame, timeout_us: int) -> DataFrame:
     if not timeout_us:
         flows = flows.drop("seen_us")
         return flows.withColumn("expired_us", F.lit(None).cast("long"))
-    flows = cut(flows, "lives")  # read twice below, one row a life
+    return ended(cut(flows, "lives"), swept, timeout_us)  # read twice, one row a life
+
+
+def ended(flows: DataFrame, swept: DataFrame, timeout_us: int) -> DataFrame:
+    """flows (with last_us and seen_us, the time from which sweeps see the last frame) with expired_us."""
     # The first sweep later than last_us + timeout_us. Time is cut into slots, of which each holds at most
     # SLOT / 1 s sweeps; a flow looks in its own slot's sorted list, else takes the first sweep of a later one.
     due = F.greatest(F.col("last_us") + timeout_us, F.col("seen_us"))
@@ -192,64 +195,6 @@ def reported_deltas(packets: DataFrame, every_us: int, n: int) -> DataFrame:
     return sums.select(*names, "bytes").repartition(1).sortWithinPartitions("tick").mapInArrow(run, schema)
 
 
-def admitted(packets: DataFrame, swept: DataFrame | None, max_flows: int, timeout_us: int = 0) -> DataFrame:
-    """A table of at most ``max_flows`` flows, exactly as frame order makes it: packets' frame_no and key with
-    ``instance``, the number of the flow's life, and the end of that life, ended_us and reason (timeout or
-    eviction), both null for lives that last. Before a new flow enters a full table, the second-chance clock
-    evicts one: flows wait in the order in which they came, and one that was seen since the clock passed it
-    waits once more. Sweeps (frame_no, sweep_us) come after their frame.
-
-    Which flow goes depends on all frames before, so this is one sequential task over a few numbers a frame,
-    with the table held; the plans without a cap don't use it."""
-    columns = ["frame_no", "ts_us", *KEY]
-    rows = packets.select(*columns, F.lit(None).cast("long").alias("sweep_us"))
-    if swept is not None and timeout_us:
-        rows = rows.unionByName(swept.select("frame_no", "sweep_us"), allowMissingColumns=True)
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in KEY}
-    schema = ", ".join(["frame_no long", *(f"{c} {t}" for c, t in kinds.items()), "instance long, ended_us long, reason string"])
-
-    def run(batches):
-        table, clock, born = {}, deque(), Counter()  # key -> [last time, seen since the clock passed, instance]
-        arrow = None
-
-        def out(found):
-            parts = list(zip(*found)) or [[]] * (len(KEY) + 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, [pa.int64(), *arrow, pa.int64(), pa.int64(), pa.string()])], names=["frame_no", *KEY, "instance", "ended_us", "reason"])
-
-        for batch in batches:
-            arrow = [batch.schema.field(2 + i).type for i in range(len(KEY))]
-            found = []
-            for frame, ts, *key, sweep in zip(*(c.to_pylist() for c in batch.columns)):
-                if sweep is not None:
-                    for old in [k for k, e in table.items() if sweep - e[0] > timeout_us]:
-                        found.append((None, *old, table.pop(old)[2], sweep, "timeout"))
-                    continue
-                key = tuple(key)
-                if key not in table:
-                    while max_flows and len(table) >= max_flows:
-                        first, life = clock.popleft()
-                        entry = table.get(first)
-                        if entry is None or entry[2] != life:
-                            continue  # that life ended by a sweep
-                        if entry[1]:
-                            entry[1] = False
-                            clock.append((first, life))
-                        else:
-                            found.append((None, *first, table.pop(first)[2], ts, "eviction"))
-                    table[key] = [ts, True, born[key]]
-                    clock.append((key, born[key]))
-                    born[key] += 1
-                entry = table[key]
-                entry[0], entry[1] = max(entry[0], ts), True
-                found.append((frame, *key, entry[2], None, None))
-            yield out(found)
-
-    order = rows.repartition(1).sortWithinPartitions("frame_no", F.col("sweep_us").isNotNull())
-    seen = order.mapInArrow(run, schema)
-    ends = F.max(F.struct("ended_us", "reason")).over(Window.partitionBy(*KEY, "instance"))
-    return seen.withColumn("__end", ends).filter("frame_no is not null").select("frame_no", *KEY, "instance", F.col("__end.ended_us").alias("ended_us"), F.col("__end.reason").alias("reason"))
-
-
 def sampled(packets: DataFrame, rate: int) -> DataFrame:
     """Every rate-th frame of the capture; rate 0 gives none."""
     return packets.filter(F.lit(rate > 0) & (F.col("frame_no") % max(rate, 1) == 0))

@@ -12,7 +12,7 @@ from tracelake.functions import packets as shown
 from tracelake.functions.decode import decode
 from tracelake.functions.encode import encode, number
 from tracelake.operators import accounting as run_accounting
-from tracelake.operators import detectors, dns, flows, snapshots, tcp
+from tracelake.operators import capped, detectors, dns, flows, snapshots, tcp
 from tracelake.sources import export
 
 HOUR = 3_600_000_000
@@ -375,13 +375,22 @@ def reported_deltas(spark, sf_dir):
 @query(f"""{_TRACE}, c AS (SELECT p.*, count(*) OVER (PARTITION BY {_K} ORDER BY frame_no) AS c FROM p) SELECT {_K}, 0::BIGINT AS instance, count(*) AS packets FROM c GROUP BY {_K}""")
 def admitted_flows(spark, sf_dir):
     """A capped table that is never full holds every flow once."""
-    return flows.admitted(_keyed(spark, sf_dir), None, 1_000_000).groupBy(*flows.KEY, "instance").agg(F.count("*").alias("packets"))
-
-
-@query()
+    return capped.admitted(_keyed(spark, sf_dir), None, 1_000_000).groupBy(*flows.KEY, "instance").agg(F.count("*").alias("packets"))
+
+
+@query(f"""{_TRACE}, f AS (SELECT row_number() OVER (ORDER BY frame_no) AS n, frame_no, ts_us, dense_rank() OVER (ORDER BY {_K}) AS k, {_K} FROM p),
+run AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS q, []::BOOLEAN[] AS seen, NULL::BIGINT AS gone
+ UNION ALL SELECT f.n,
+  CASE WHEN list_contains(q, k) THEN q WHEN len(q) < 200 THEN list_append(q, k) ELSE list_append(list_concat(q[coalesce(list_position(seen, FALSE), 1) + 1:], q[1:coalesce(list_position(seen, FALSE), 1) - 1]), k) END,
+  CASE WHEN list_contains(q, k) THEN list_concat(list_append(seen[1:list_position(q, k) - 1], TRUE), seen[list_position(q, k) + 1:]) WHEN len(q) < 200 THEN list_append(seen, TRUE)
+   WHEN list_contains(seen, FALSE) THEN list_append(list_concat(seen[list_position(seen, FALSE) + 1:], list_transform(range(list_position(seen, FALSE) - 1), lambda i: FALSE)), TRUE)
+   ELSE list_append(list_transform(range(199), lambda i: FALSE), TRUE) END,
+  CASE WHEN NOT list_contains(q, k) AND len(q) >= 200 THEN q[coalesce(list_position(seen, FALSE), 1)] END FROM run JOIN f ON f.n = run.n + 1),
+x AS (SELECT gone AS k, f.n, ts_us, row_number() OVER (PARTITION BY gone ORDER BY f.n) - 1 AS instance FROM run JOIN f USING (n) WHERE gone IS NOT NULL)
+SELECT {_K}, instance, ended_us, count(*) AS packets FROM (SELECT f.*, x.instance, x.ts_us AS ended_us FROM f ASOF JOIN x ON f.k = x.k AND f.n < x.n) GROUP BY {_K}, instance, ended_us""".replace("WITH e AS", "WITH RECURSIVE e AS"))
 def evicted_flows(spark, sf_dir):
     """Lives that a table of 200 flows ended."""
-    return flows.admitted(_keyed(spark, sf_dir), None, 200).filter("reason = 'eviction'").groupBy(*flows.KEY, "instance", "ended_us").agg(F.count("*").alias("packets"))
+    return capped.admitted(_keyed(spark, sf_dir), None, 200).filter("reason = 'eviction'").groupBy(*flows.KEY, "instance", "ended_us").agg(F.count("*").alias("packets"))
 
 
 @query(f"{_TRACE} SELECT frame_no, strftime(make_timestamp(ts_us), '%H:%M:%S.%f') AS time, a_to_b FROM p")

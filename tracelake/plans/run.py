@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.capture_filter import matches
 from tracelake.functions.decode import decode
-from tracelake.operators import accounting, detectors, flows, snapshots
+from tracelake.operators import accounting, capped, detectors, flows, snapshots
 from tracelake.plans.config import Config, validate
 from tracelake.sources import export, pcap
 from tracelake.sources.tables import cut
@@ -58,7 +58,7 @@ def _outputs(spark: SparkSession, config: Config) -> dict:
     swept = cut(flows.sweeps(packets), "sweeps")
     keyed = flows.with_key(flows.eligible(packets.drop("original")))
     if config.flow.max_flows:
-        ends = cut(flows.admitted(keyed, swept, config.flow.max_flows, timeout), "admitted")
+        ends = cut(capped.admitted(keyed, swept, config.flow.max_flows, timeout), "admitted")
         numbered = keyed.join(ends.select("frame_no", "instance"), "frame_no")
         ends = ends.select(*flows.KEY, "instance", F.col("ended_us").alias("expired_us"), "reason").distinct()
     else:
