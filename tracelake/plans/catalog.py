@@ -189,12 +189,27 @@ def port_scan_candidates(spark, sf_dir):
     return detectors.scan_candidates(flows.with_watermark(trace(spark, sf_dir)), 6 * HOUR, 5, 6).select("frame_no", "src_ip", "n_ports", "n_hosts")
 
 
-@query()
+def _alert_sql(seen: str, key: str, values: str, reached: str, total: str, counted: str, hosts: str, kind: str) -> str:
+    """Alerts row by row: a key's rows in order, with the rows of the window held, and the time until which it is quiet."""
+    w, quiet = 6 * HOUR, 12 * HOUR
+    keep = f"list_append(list_filter(held, lambda x: x.ts >= f.m - {w}), {{'ts': f.ts_us, {values}}})"
+    return f"""{_TRACE}, m AS (SELECT *, max(ts_us) OVER (ORDER BY frame_no) AS m FROM t),
+f AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY frame_no) AS n FROM m WHERE {seen}),
+run AS (SELECT n, {key}, ts_us, m, [{{'ts': ts_us, {values.replace("f.", "")}}}] AS held, FALSE AS alert, -1::BIGINT AS quiet FROM f WHERE n = 1
+ UNION ALL SELECT n, {key}, ts_us, m, CASE WHEN quiet > m THEN held ELSE kept END, ok, CASE WHEN ok THEN m + {quiet} ELSE quiet END
+ FROM (SELECT *, quiet <= m AND ({reached}) AS ok FROM (SELECT f.n, {", ".join("f." + k for k in key.split(", "))}, f.ts_us, f.m, held, quiet, {keep} AS kept FROM run JOIN f ON f.n = run.n + 1 AND {" AND ".join(f"f.{k} = run.{k}" for k in key.split(", "))})))
+SELECT {key}, ts_us, {total} AS observed_total, {counted} AS observed_values, {hosts} AS observed_hosts, '{kind}' AS kind, 1 AS schema_version FROM run WHERE alert""".replace("WITH e AS", "WITH RECURSIVE e AS")
+
+
+_VARIETY = "len(list_distinct(list_transform({}, lambda x: x.{})))"
+
+
+@query(_alert_sql("syn AND NOT ack", "dst_ip, dst_port", "'src': f.src_ip", f"len(kept) >= 4 AND {_VARIETY.format('kept', 'src')} >= 2", "len(held)::BIGINT", _VARIETY.format("held", "src") + "::BIGINT", "NULL::BIGINT", "syn_flood"))
 def syn_flood_alerts(spark, sf_dir):
     return detectors.syn_flood_alerts(flows.with_watermark(trace(spark, sf_dir)), 6 * HOUR, 4, 2, 12 * HOUR)
 
 
-@query()
+@query(_alert_sql("protocol = 'udp' OR syn", "src_ip", "'port': f.dst_port, 'host': f.dst_ip", f"{_VARIETY.format('kept', 'port')} >= 5 OR {_VARIETY.format('kept', 'host')} >= 6", "NULL::BIGINT", _VARIETY.format("held", "port") + "::BIGINT", _VARIETY.format("held", "host") + "::BIGINT", "port_scan"))
 def port_scan_alerts(spark, sf_dir):
     return detectors.port_scan_alerts(flows.with_watermark(trace(spark, sf_dir)), 6 * HOUR, 5, 6, 12 * HOUR)
 
@@ -367,7 +382,15 @@ def other_protocols(spark, sf_dir):
     return shown.summary(decode(frames, *shown.NEEDED)).select("frame_no", "info", "source")
 
 
-@query()
+@query(f"""{_TRACE}, f AS (SELECT *, dense_rank() OVER (ORDER BY {_K}) AS g, dense_rank() OVER (ORDER BY ts_us // {24 * HOUR}) AS n, ts_us // {24 * HOUR} AS tick FROM p),
+flow AS (SELECT DISTINCT g, {_K} FROM f), z AS (SELECT n, tick, g, sum(wire_len)::BIGINT AS b FROM f GROUP BY n, tick, g),
+a AS (SELECT n, tick, list(coalesce(b, 0) ORDER BY flow.g) AS b FROM (SELECT DISTINCT n, tick FROM f) CROSS JOIN flow LEFT JOIN z USING (n, tick, g) GROUP BY n, tick),
+run AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS tick, list_transform(a.b, lambda x: 0::BIGINT) AS pending, NULL::STRUCT(b BIGINT, k BIGINT)[] AS best FROM a WHERE n = 1
+ UNION ALL SELECT n, tick, list_transform(total, lambda x, i: CASE WHEN list_contains(list_transform(best, lambda y: y.k), i) THEN 0 ELSE x END), best
+ FROM (SELECT *, list_filter(list_sort(list_transform(total, lambda x, i: {{'b': -x, 'k': i}}))[1:5], lambda y: y.b < 0) AS best
+  FROM (SELECT a.n, a.tick, list_transform(list_zip(pending, a.b), lambda x: x[1] + x[2]) AS total FROM run JOIN a ON a.n = run.n + 1))),
+y AS (SELECT tick, unnest(best) AS one, generate_subscripts(best, 1) AS rank FROM run WHERE best IS NOT NULL)
+SELECT tick, {_K}, -one.b AS delta_bytes, rank::BIGINT AS rank FROM y JOIN flow ON flow.g = one.k""".replace("WITH e AS", "WITH RECURSIVE e AS"))
 def reported_deltas(spark, sf_dir):
     return flows.reported_deltas(_keyed(spark, sf_dir), 24 * HOUR, 5)
 
