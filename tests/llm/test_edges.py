@@ -6,6 +6,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import plain_urls
 import pytest
 from pyspark.sql import functions as F
 from test_operators import prose
@@ -195,7 +196,7 @@ def plain_model(texts, order):
 
 def test_url_model_against_plain_counts():
     train = [f"http://a{i % 7}.example/{'x' * (i % 5)}".encode() for i in range(40)]
-    plain, own = plain_model(train, url_filter.ORDER), url_filter.Markov(train)
+    plain, own = plain_model(train, url_filter.ORDER), plain_urls.Markov(train)
     texts = [b"http://a3.example/xx", b"", b"zq", "é/ü".encode(), train[0] * 3]
     assert own.log_likelihood(texts) == pytest.approx([plain(t) for t in texts])
 
@@ -215,11 +216,11 @@ def test_url_models_learn_every_labelled_url(spark):
     good, bad = [f"a{i * i % 211}.net/de/{i}" for i in range(21_000)], [f"b{i % 97}.com/en/" + str(i**9) * 300 for i in range(300)]
     asked = ["a5.info/fr/77", "b7.info/fr/" + "9" * 50, "", "zé/ü", good[5], bad[7]]
     urls = [*good, *bad, *asked, *[asked[0]] * 1200, *[good[0]] * 1200]
-    assert sum(map(len, bad)) > url_filter.TRAIN_BYTES and len(good) > url_filter.TRAIN_ROWS
+    assert sum(map(len, bad)) > 1 << 20 and len(good) > 20_000
     df = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(urls)], "page_id long, url string").repartition(4)
     got = {r.page_id: r for r in url_filter.judge(df).filter(F.col("page_id") >= len(good) + len(bad)).collect()}
-    models = [url_filter.Markov([t.encode() for t in x]) for x in (good, bad)]
-    want = url_filter.ratio(*models, [u.encode() for u in asked])
+    models = [plain_urls.Markov([t.encode() for t in x]) for x in (good, bad)]
+    want = plain_urls.ratio(*models, [u.encode() for u in asked])
     of = [got[len(good) + len(bad) + i] for i in range(len(asked))]
     assert [r.score for r in of] == pytest.approx(want) and [r.verdict for r in of[4:]] == ["allow", "block"]
     assert len(got) == len(asked) + 2400 and {(r.score, r.verdict) for i, r in got.items() if len(urls) - 2400 <= i < len(urls) - 1200} == {(of[0].score, of[0].verdict)}
@@ -234,15 +235,15 @@ def test_url_threshold_is_of_every_labelled_url(spark, monkeypatch):
     urls = spark.createDataFrame(rows, "raw binary, class int, n long")
     scored = url_filter.score_distinct(urls, sum(len(r[0]) for r in rows))
     got = {bytes(r.raw): r for r in scored.collect()}
-    models = [url_filter.Markov(x) for x in (good, bad)]
-    alone = lambda x, t: url_filter.Markov([u for u in x if u != t])
-    left = [url_filter.ratio(alone(good, t), models[1], [t])[0] for t in good], [url_filter.ratio(models[0], alone(bad, t), [t])[0] for t in bad]
+    models = [plain_urls.Markov(x) for x in (good, bad)]
+    alone = lambda x, t: plain_urls.Markov([u for u in x if u != t])
+    left = [plain_urls.ratio(alone(good, t), models[1], [t])[0] for t in good], [plain_urls.ratio(models[0], alone(bad, t), [t])[0] for t in bad]
     assert [got[t].left_out for t in good + bad] == pytest.approx([*left[0], *left[1]]) and len(got) == len(rows)
-    assert [got[r[0]].score for r in rows] == pytest.approx(url_filter.ratio(*models, [r[0] for r in rows]))
-    assert url_filter.best_threshold(scored, len(good), len(bad)) == pytest.approx(url_filter.calibrate(*map(np.array, left)))
+    assert [got[r[0]].score for r in rows] == pytest.approx(plain_urls.ratio(*models, [r[0] for r in rows]))
+    assert url_filter.best_threshold(scored, len(good), len(bad)) == pytest.approx(plain_urls.calibrate(*map(np.array, left)))
     for good, bad in (([3.0, 4.0, 4.0, -1.0], [0.0, 1.0, 4.0]), ([0.0], [1.0]), ([2.5, 0.25], [0.25]), ([1.0], [1.0, 1.0]), ([0.1001, 0.1003], [0.1, 0.1002, 0.1004])):
         df = spark.createDataFrame([(x, 1) for x in good] + [(x, 2) for x in bad], "left_out double, class int")
-        assert url_filter.best_threshold(df, len(good), len(bad)) == pytest.approx(url_filter.calibrate(np.array(good), np.array(bad)))
+        assert url_filter.best_threshold(df, len(good), len(bad)) == pytest.approx(plain_urls.calibrate(np.array(good), np.array(bad)))
 
 
 def test_samples_stay_small(spark):
@@ -265,3 +266,30 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         with pytest.raises(ValueError):
             _shared.shared_dir(Session())
     assert _shared.shared_dir(spark).startswith("file:///")
+
+
+NAMES = ("spans", "raw", "text_", "__doc", "__version", "__spans", "__w", "__l", "__W", "__f_words", "__hot", "__score", "__raw", "__said", "__salt", "doc", "version", "first", "stop")
+
+
+def test_names_of_extra_columns(spark):
+    """Columns with any name that the operators use inside stay as they are."""
+    import warnings
+
+    warnings.simplefilter("ignore")
+    names = [n for n in NAMES if n != "__W"]
+    passage = " ".join(prose(31, 60))
+    rows = [(i, passage if i < 2 else " ".join(prose(40 + i, 70)), f"http://a{i}.net/de/x", *(f"{n}{i}" for n in names)) for i in range(4)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "url string", *(f"`{n}` string" for n in names)]))
+    model = rule_classifier.Model(0.0, ())
+    for made in (substring_dedup.remove_repeats(df), quality_rules.judge(df), rule_classifier.score(df, model), url_filter.judge(df)):
+        got = {r.doc_id: tuple(r[n] for n in names) for r in made.collect()}
+        assert got == {i: tuple(f"{n}{i}" for n in names) for i in range(4)}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {0: 0, 1: 60, 2: 0, 3: 0}
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert substring_dedup.remove_repeats(decontaminate.find_matches(df, bench)).count() == 4  # which has spans of its own
+
+
+def test_two_estimates_agree(spark):
+    docs = spark.createDataFrame([(" ".join(prose(i, 20 + i * 5)) + "\n- a\n- a" * (i % 3),) for i in range(60)], "text string")
+    first = quality_rules.estimate(docs)
+    assert first == quality_rules.estimate(docs) and {x for x, *_ in first} == set(quality_rules.COSTS) and all(c > 0 for *_, c in first)

@@ -269,16 +269,3 @@ def test_url_filter(spark):
     got = [tuple(r) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").select("host", "path", "rule", "verdict").collect()]
     assert got[0] == ("a.com", "/en/x", "com/en/", "block") and got[1][2:] == ("example.com/en/7", "allow") and got[3][2] == "example.net/de/8"
     assert got[2] == ("x.net", "/de/a", "net/de/", "allow") and got[4][2:] == ("org/es/", "block") and got[5][:3] == got[6][:3] == ("", "", None) and got[8][2] is None
-
-
-def test_url_sample_is_of_distinct_urls(spark, monkeypatch):
-    own = [f"a.net/de/{i}" for i in range(200)]
-    hashed = spark.createDataFrame([(t,) for t in own], "t string").orderBy(F.xxhash64("t")).collect()
-    frequent, long = hashed[0].t, ["b.com/en/" + c * 6000 for c in "xyz"]
-    rows = [(t, "allow") for t in own + [frequent] * 3000] + [(t, "block") for t in long * 2]
-    labelled = spark.createDataFrame(rows, "__text string, __said string")
-    monkeypatch.setattr(url_filter, "TRAIN_ROWS", 40)
-    assert url_filter._sample(labelled, "allow") == [r.t.encode() for r in hashed[:40]]
-    assert sorted(url_filter._sample(labelled, "block")) == [t.encode() for t in long] and url_filter.fit(labelled) is not None
-    monkeypatch.setattr(url_filter, "TRAIN_BYTES", 7000)
-    assert [len(t) for t in url_filter._sample(labelled, "block")] == [6009, 991] and url_filter._sample(labelled, "none") == []

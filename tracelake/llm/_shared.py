@@ -239,6 +239,16 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def unused(taken, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of ``taken``, whatever their case."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def docs_only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(c) for c in columns))
 

@@ -7,8 +7,9 @@ so a row that one rule rejects never reaches the dearer ones. Words and lines ar
 CASE. The order changes the time, never the verdict: that is the OR of all rules.
 
 The sample is SAMPLE_ROWS rows of at most SAMPLE_BYTES each, taken partition after partition until there are
-enough, so its size does not depend on the table's. The cost of a rule is the least time of some runs over
-many copies of the sample, less that of an empty rule.
+enough, so its size does not depend on the table's. The cost of a rule is what the characters, words and lines of the
+sample make of fixed unit costs: times of such short runs would be those of the machine's moment, and no two
+estimates would agree.
 
 Null text counts as empty: no words, every statistic 0. Text of white space only is the same. Very long
 texts are judged whole. An empty table gives no rows; its rules keep the order of their names. Repeated rows
@@ -18,12 +19,10 @@ judge(), keep() adds none.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm._shared import cut
+from tracelake.llm._shared import unused
 
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = "[ \\t-\\r]+"
@@ -31,8 +30,6 @@ SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and selectivities are estimated; verdicts never depend on it.
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 1 << 16
-#: Copies of the sample in one timed run, and runs of which the fastest counts.
-COPIES, RUNS = 1, 3
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -119,19 +116,20 @@ def n_repeat_words(words: Column) -> Column:
     ).cast("long")
 
 
-def with_statistics(docs: DataFrame, text: str = "text", parts: bool = False) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; ``parts`` keeps the words
-    and lines, __w and __l, too."""
+def with_statistics(docs: DataFrame, text: str = "text", parts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; ``parts`` names two columns of
+    words and lines that stay, too."""
     body = text_of(text)
-    counted = docs.withColumn("n_words", F.lit(0).cast("long")).withColumns({"__w": _words(body), "__l": _lines(body)})
+    w, lines = parts or unused(docs.columns, "__w", "__l")
+    counted = docs.withColumn("n_words", F.lit(0).cast("long")).withColumns({w: _words(body), lines: _lines(body)})
     out = counted.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": word_chars(F.col("__w")),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": word_chars(F.col(w)),
         "n_symbols": n_symbols(body),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": n_repeat_words(F.col("__w")),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": n_repeat_words(F.col(w)),
     })
-    return out if parts else out.drop("__w", "__l")
+    return out if parts else out.drop(w, lines)
 
 
 def base_failed(words: Column, repeats: Column) -> Column:
@@ -165,32 +163,28 @@ def all_rules(body: Column, words: Column, lines: Column) -> dict[str, Column]:
     return {**base_rules(words), **method_rules(body, words, lines)}
 
 
+#: What a rule costs beyond splitting the text, in nanoseconds a character, a word and a line of its
+#: document, as timed once on one core; every rule costs EACH besides. A rule without an entry counts as OTHER.
+COSTS = {
+    "too_short": (0, 0, 0), "bullets": (0, 0, 300), "duplicate_lines": (0, 0, 540), "word_length": (0, 75, 0),
+    "digits": (22, 0, 0), "symbols": (30, 0, 0), "repeats": (0, 1900, 0),
+}
+OTHER, EACH = (30, 0, 0), 20
+
+
 def estimate(docs: DataFrame, rules=all_rules, rows: int = SAMPLE_ROWS, text: str = "text") -> list[tuple[str, float, float]]:
-    """(rule, share rejected, seconds a row) on at most ``rows`` rows, best rejections per cost first."""
-    small = docs.select(text_of(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
-    texts = [r.t for r in small.take(rows)]
-    if not texts:
-        return sorted((name, 0.0, 0.0) for name in rules(F.lit(""), F.array(), F.array()))
-    # As a table, not as a literal: plans keep the text of literals.
-    table = cut(docs.sparkSession.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "sample")
-    copies = table.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))) if COPIES > 1 else table
-
-    def asked(rule) -> DataFrame:
-        """Counts the rows that the rule hits; the text is split for every rule."""
-        hit = _let(F.struct(_words(F.col("t")).alias("w"), _lines(F.col("t")).alias("l")), lambda p: F.coalesce(rule(F.col("t"), p["w"], p["l"]), F.lit(False)))
-        return copies.agg(F.count_if(hit))
-
-    names = list(rules(F.lit(""), F.array(), F.array()))
-    counts = {"": asked(lambda t, w, line: (F.size(w) < -1) | (F.size(line) < -1))}
-    counts |= {name: asked(lambda t, w, line, name=name: rules(t, w, line)[name]) for name in names}
-    hits, took = {}, dict.fromkeys(counts, float("inf"))
-    for _ in range(RUNS):  # rules take turns, so that all gain alike from a warmer JVM
-        for name, count in counts.items():
-            began = time.perf_counter()
-            hits[name] = count.first()[0]
-            took[name] = min(took[name], time.perf_counter() - began)
-    n = COPIES * len(texts)
-    found = [(name, hits[name] / n, max(took[name] - took[""], 1e-4) / n) for name in names]
+    """(rule, share rejected, seconds a row) on at most ``rows`` rows, best rejections per cost first. One job over the
+    sample counts what each rule hits, and the characters, words and lines that it would look at."""
+    small = docs.select(text_of(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES).limit(rows)
+    split = small.select("t", _words(F.col("t")).alias("w"), _lines(F.col("t")).alias("l"))
+    made = rules(F.col("t"), F.col("w"), F.col("l"))
+    sizes = [F.coalesce(F.sum(F.length("t")), F.lit(0)), F.coalesce(F.sum(F.size("w")), F.lit(0)), F.coalesce(F.sum(F.size("l")), F.lit(0))]
+    n, *counted = split.agg(F.count("*"), *sizes, *(F.count_if(F.coalesce(hit, F.lit(False))) for hit in made.values())).first()
+    if not n:
+        return sorted((name, 0.0, 0.0) for name in made)
+    units, hits = counted[:3], counted[3:]
+    cost = {name: (EACH + sum(c * u for c, u in zip(COSTS.get(name, OTHER), units)) / n) * 1e-9 for name in made}
+    found = [(name, h / n, cost[name]) for name, h in zip(made, hits)]
     return sorted(found, key=lambda x: (-x[1] / x[2], x[2], x[0]))
 
 
@@ -217,10 +211,11 @@ def cascade(docs: DataFrame, rules=all_rules, rows: int = SAMPLE_ROWS, text: str
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the five statistics, base_failed, and kept: not base_failed and no rule of the cascade hit."""
-    out = with_statistics(docs, text, parts=True).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    ready = method_rules(text_of(text), F.col("__w"), F.col("__l"), F.col("word_chars"), F.col("n_symbols"), F.col("n_dup_lines"))
+    w, lines = unused(docs.columns, "__w", "__l")
+    out = with_statistics(docs, text, parts=(w, lines)).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    ready = method_rules(text_of(text), F.col(w), F.col(lines), F.col("word_chars"), F.col("n_symbols"), F.col("n_dup_lines"))
     order = [name for name, _, _ in estimate(docs, method_rules, text=text)]
-    return out.withColumn("kept", in_order([F.col("base_failed"), *(ready[name] for name in order)])).drop("__w", "__l")
+    return out.withColumn("kept", in_order([F.col("base_failed"), *(ready[name] for name in order)])).drop(w, lines)
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:

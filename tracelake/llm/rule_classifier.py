@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import quality_rules as q
-from tracelake.llm._shared import by_least_hash
+from tracelake.llm._shared import by_least_hash, unused
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS = 24, 3, 32
@@ -40,20 +40,21 @@ def held_out(doc: Column) -> Column:
 def statistics(docs: DataFrame, text: str = "text", prefix: str = "__f_") -> DataFrame:
     """docs with one column for each of FEATURES, from the text alone."""
     body = q.text_of(text)
-    out = docs.withColumn("__w", q._words(body)).withColumn("__l", q._lines(body))
-    n, lines, chars = F.size("__w"), F.size("__l"), F.greatest(F.length(body), F.lit(1))
+    w, own = unused(docs.columns, "__w", "__l")
+    out = docs.withColumn(w, q._words(body)).withColumn(own, q._lines(body))
+    n, lines, chars = F.size(w), F.size(own), F.greatest(F.length(body), F.lit(1))
     some = F.greatest(n, F.lit(1))
     values = {
         "words": F.log1p(n),
-        "word_length": q.word_chars(F.col("__w")) / some,
+        "word_length": q.word_chars(F.col(w)) / some,
         "symbols_a_word": q.n_symbols(body) / some,
-        "distinct_words": F.size(F.array_distinct("__w")) / some,
-        "duplicate_lines": (lines - F.size(F.array_distinct("__l"))) / F.greatest(lines, F.lit(1)),
+        "distinct_words": F.size(F.array_distinct(w)) / some,
+        "duplicate_lines": (lines - F.size(F.array_distinct(own))) / F.greatest(lines, F.lit(1)),
         "capitals": (F.length(body) - F.length(F.regexp_replace(body, "[A-Z]+", ""))) / chars,
         "digits": (F.length(body) - F.length(F.regexp_replace(body, "[0-9]+", ""))) / chars,
         "words_a_line": n / F.greatest(lines, F.lit(1)),
     }
-    return out.withColumns({prefix + k: v.cast("double") for k, v in values.items()}).drop("__w", "__l")
+    return out.withColumns({prefix + k: v.cast("double") for k, v in values.items()}).drop(w, own)
 
 
 @dataclass(frozen=True)
@@ -184,6 +185,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """docs with held_out, score and predicted."""
-    out = statistics(docs, text).withColumn("score", model.column())
+    prefix = "__f_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    out = statistics(docs, text, prefix).withColumn("score", model.column(prefix))
     out = out.withColumns({"held_out": held_out(F.col(doc)), "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
-    return out.drop(*("__f_" + f for f in FEATURES))
+    return out.drop(*(prefix + f for f in FEATURES))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_runs, hash_spans, mix, ranges, release, slices, split_words, text_buffer
+from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_runs, hash_spans, mix, ranges, release, slices, split_words, text_buffer, unused
 from tracelake.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -230,8 +230,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc: str = "doc_id", win
     names = [c for c in docs.columns if c not in RESULTS]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
     plain = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("version"))
-    spans = repeated_spans(plain, window, gram, hot).withColumnsRenamed({"doc": "__doc", "version": "__version"})
-    joined = docs.join(spans, (F.col(f"`{doc}`").cast("long") == F.col("__doc")) & (F.xxhash64(f"`{text}`") == F.col("__version")), "left").drop("__doc", "__version")
+    own, version, found = unused(names, "__doc", "__version", "__spans")
+    spans = repeated_spans(plain, window, gram, hot).withColumnsRenamed({"doc": own, "version": version, "spans": found})
+    joined = docs.join(spans, (F.col(f"`{doc}`").cast("long") == F.col(own)) & (F.xxhash64(f"`{text}`") == F.col(version)), "left").drop(own, version)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     at = names.index(text)
 

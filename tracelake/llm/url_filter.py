@@ -18,10 +18,6 @@ Null URLs and URLs without ``://`` have an empty host and path and fit no rule.
 score of 0. Where a class has no labelled URL there is no model; then every undecided URL is allowed.
 Repeated rows get equal results; extra columns stay, except those named like the results. An empty table
 gives no rows. URLs of any length are scored whole.
-
-``fit`` learns two models that one process can hold, from a bounded sample: TRAIN_ROWS distinct URLs a
-class, those with the smallest hashes, up to TRAIN_BYTES bytes, the last one cut there. ``judge`` does
-not use it.
 """
 
 from __future__ import annotations
@@ -32,12 +28,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm._shared import arrow_limits, by_least_hash, cut, mix, release
+from tracelake.llm._shared import arrow_limits, cut, mix, release, unused
 from tracelake.llm.lm_scoring import _freed, _groups, pack, unpack
 
 ORDER = 5
-TRAIN_ROWS = 20_000
-TRAIN_BYTES = 1 << 20
 #: Bytes of distinct URLs for a slice, for a slice of a small table, and for each hash partition.
 SLICE_BYTES = 512 << 10
 LEAST_BYTES = 256 << 10
@@ -69,39 +63,6 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-class Markov:
-    """Counts of (context, byte) for contexts of 0 to ``order`` bytes, as sorted hash tables."""
-
-    def __init__(self, texts: list[bytes], order: int = ORDER):
-        self.order = order
-        symbols, scored, _ = _lay_out(texts, order)
-        self.tables = []
-        for k in range(order + 1):
-            context, pair = _keys(symbols, scored, k)
-            pairs, first, n = np.unique(pair, return_index=True, return_counts=True)
-            contexts, where, total = np.unique(context, return_inverse=True, return_counts=True)
-            kinds = np.bincount(where[first], minlength=len(contexts))
-            self.tables.append((pairs, n.astype(np.int32), contexts, total.astype(np.int32), kinds.astype(np.int32)))
-
-    def log_likelihood(self, texts: list[bytes]) -> np.ndarray:
-        symbols, scored, row = _lay_out(texts, self.order)
-        p = np.full(len(scored), 1 / 256)
-        for k, (pairs, n, contexts, total, kinds) in enumerate(self.tables):
-            if not len(pairs):
-                continue
-            context, pair = _keys(symbols, scored, k)
-            at, found = _find(contexts, context)
-            of, hit = _find(pairs, pair)
-            count = np.where(hit, n[of], 0)
-            p = np.where(found, (count + kinds[at] * p) / (total[at] + kinds[at]), p)
-        return np.bincount(row, np.log(p), minlength=len(texts))
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
 def _lay_out(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts in one array, each after ``order`` start marks; the positions of bytes; their rows."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -113,66 +74,6 @@ def _lay_out(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np
     return symbols, scored, row
 
 
-def _keys(symbols: np.ndarray, scored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    context = np.full(len(scored), k + 1, np.uint64)
-    for j in range(1, k + 1):
-        context = context * np.uint64(0x9E3779B97F4A7C15) + symbols[scored - j]
-    context = mix(context)
-    return context, mix(context * np.uint64(0xD6E8FEB86659FD93) + symbols[scored])
-
-
-def ratio(accepted: Markov, rejected: Markov, texts: list[bytes]) -> np.ndarray:
-    """Difference of log-likelihoods a byte; 0 for an empty text."""
-    length = np.array([max(1, len(t)) for t in texts])
-    return (accepted.log_likelihood(texts) - rejected.log_likelihood(texts)) / length
-
-
-def calibrate(good: np.ndarray, bad: np.ndarray) -> float:
-    """The threshold with the best mean of both classes' accuracies; the middle of the best gap."""
-    if not len(good) or not len(bad):
-        return 0.0
-    scores = np.concatenate([good, bad])
-    order = np.argsort(scores, kind="stable")
-    scores, accepted = scores[order], (np.arange(len(order)) < len(good))[order]
-    # cut before position i: everything from i on is accepted
-    kept = len(good) - np.concatenate([[0], np.cumsum(accepted)])
-    dropped = np.concatenate([[0], np.cumsum(~accepted)])
-    balanced = kept / len(good) + dropped / len(bad)
-    edges = np.concatenate([[scores[0] - 1], (scores[1:] + scores[:-1]) / 2, [scores[-1] + 1]])
-    usable = np.concatenate([[True], scores[1:] > scores[:-1], [True]])
-    best = np.flatnonzero(usable & (balanced >= balanced[usable].max() - 1e-12))
-    return float(edges[best].mean()) if len(best) == 1 else float((edges[best[0]] + edges[best[-1]]) / 2)
-
-
-def _sample(labelled: DataFrame, verdict: str) -> list[bytes]:
-    """Distinct texts, by hash. Sizes come first, so that no more text than is used goes to the driver."""
-    rows = labelled.filter((F.col("__said") == verdict) & (F.col("__text") != "")).withColumn("__h", F.xxhash64("__text"))
-    rows = by_least_hash(rows, "__h", TRAIN_ROWS, distinct=True)
-    sizes = rows.groupBy("__h").agg(F.min(F.octet_length("__text")).alias("n")).orderBy("__h").limit(TRAIN_ROWS).collect()
-    if not sizes:
-        return []
-    used = int(np.searchsorted(np.cumsum([r.n for r in sizes]), TRAIN_BYTES)) + 1
-    last = sizes[min(used, len(sizes)) - 1][0]
-    head = F.substring(F.min("__text"), 1, TRAIN_BYTES).alias("t")
-    out, left = [], TRAIN_BYTES
-    for r in sorted(rows.filter(F.col("__h") <= last).groupBy("__h").agg(head).collect()):
-        text = r.t.encode()[:left]
-        left -= len(text)
-        if text:
-            out.append(text)
-    return out
-
-
-def fit(labelled: DataFrame) -> tuple[Markov, Markov, float] | None:
-    """labelled: __text and __said (allow, block or null). Every fourth text calibrates the threshold."""
-    good, bad = _sample(labelled, "allow"), _sample(labelled, "block")
-    if not good or not bad:
-        return None
-    parted = [([t for i, t in enumerate(x) if i % 4], x[::4]) if len(x) >= 8 else (x, x) for x in (good, bad)]
-    accepted, rejected = Markov(parted[0][0]), Markov(parted[1][0])
-    return accepted, rejected, calibrate(ratio(accepted, rejected, parted[0][1]), ratio(accepted, rejected, parted[1][1]))
-
-
 class Slice:
     """Distinct URLs, the class of each (1 accepted, 2 rejected, 0 neither), and their pairs of context and byte."""
 
@@ -331,12 +232,13 @@ def best_threshold(scored: DataFrame, good: int, bad: int) -> float:
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule, verdict and score (log-likelihood difference a byte); columns of these
     names are replaced."""
+    raw, given, salt, hot_score, own_score = unused(pages.columns, "__raw", "__said", "__salt", "__hot", "__score")
     rest, host, path = parts(F.col(url))
-    split = pages.withColumns({"__raw": rest.cast("binary"), "host": host, "path": path})
+    split = pages.withColumns({raw: rest.cast("binary"), "host": host, "path": path})
     name, said = rule_columns(F.col("host"), F.col("path"), rules)
-    split = split.withColumns({"rule": name, "__said": said})
-    number = F.when(F.col("__said") == "allow", 1).when(F.col("__said") == "block", 2).otherwise(0)
-    urls = split.filter(F.octet_length("__raw") > 0).groupBy(F.col("__raw").alias("raw")).agg(F.max(number).alias("class"), F.count("*").alias("n"))
+    split = split.withColumns({"rule": name, given: said})
+    number = F.when(F.col(given) == "allow", 1).when(F.col(given) == "block", 2).otherwise(0)
+    urls = split.filter(F.octet_length(raw) > 0).groupBy(F.col(raw).alias("raw")).agg(F.max(number).alias("class"), F.count("*").alias("n"))
     urls = cut(urls, "urls")
     of = [F.count(F.when(F.col("class") == c, 1)) for c in (1, 2)]
     size, rows, good, bad = urls.agg(F.sum(F.octet_length("raw")), F.sum("n"), *of).first()
@@ -347,11 +249,11 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
         threshold = best_threshold(scores, good, bad)
         # URLs with a share of the rows, so not many, are not dealt by URL; their rows and those without one fit no key
         hot = F.col("n") > max(1000, rows // 10_000)
-        few = scores.filter(hot).select(F.col("raw").alias("__raw"), F.col("score").alias("__hot"))
-        others = scores.filter(~hot).select(F.col("raw").alias("__raw"), F.lit(-1).cast("long").alias("__salt"), F.col("score").alias("__score"))
-        scored = split.join(F.broadcast(few), "__raw", "left")
-        apart = F.col("__hot").isNotNull() | (F.octet_length("__raw") == 0)
-        scored = scored.withColumn("__salt", F.when(apart, F.monotonically_increasing_id()).otherwise(-1)).join(others, ["__raw", "__salt"], "left")
-        scored = scored.withColumn("score", F.coalesce("__hot", "__score", F.lit(0.0)))
+        few = scores.filter(hot).select(F.col("raw").alias(raw), F.col("score").alias(hot_score))
+        others = scores.filter(~hot).select(F.col("raw").alias(raw), F.lit(-1).cast("long").alias(salt), F.col("score").alias(own_score))
+        scored = split.join(F.broadcast(few), raw, "left")
+        apart = F.col(hot_score).isNotNull() | (F.octet_length(raw) == 0)
+        scored = scored.withColumn(salt, F.when(apart, F.monotonically_increasing_id()).otherwise(-1)).join(others, [raw, salt], "left")
+        scored = scored.withColumn("score", F.coalesce(hot_score, own_score, F.lit(0.0)))
     by_model = F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block")
-    return scored.withColumn("verdict", F.coalesce("__said", by_model)).drop("__raw", "__said", "__salt", "__hot", "__score")
+    return scored.withColumn("verdict", F.coalesce(given, by_model)).drop(raw, given, salt, hot_score, own_score)
