@@ -194,8 +194,10 @@ def test_rotation_goes_on(spark, tmp_path):
 
 
 def test_metrics_text():
-    text = metrics.render({"frames_read": 3, "wire_bytes": 180, "run_secs": 1.5}, 'a"b')
-    assert 'build_info{version="a\\"b"} 1' in text and "capture_packets_total 3\n" in text and text.count('detector="port_scan"') == 4 and text.endswith("\n")
+    text = metrics.render({"frames_read": 3, "wire_bytes": 180, "run_secs": 1.5, "kernel_drops": None}, 'a"b')
+    assert 'build_info{version="a\\"b"} 1' in text and "capture_packets_total 3\n" in text and "drops" not in text and "detector" not in text and text.endswith("\n")
+    counted = {"port_scan": dict.fromkeys(metrics.REASONS, 2)}
+    assert metrics.render({"anomaly_saturation": counted}).count('detector="port_scan",reason=') == 4
 
 
 def test_streamed_alerts(spark, tmp_path):

@@ -23,7 +23,7 @@ def test_defaults():
 def test_run(spark, tmp_path):
     packets = port_scan() + syn_flood() + protocol_edges()
     pcap.write_pcap(frames_of(spark, packets, 1000), str(tmp_path / "in"), files=1)
-    names = ("export_json", "export_csv", "expired_flows_jsonl", "summary_json", "write_pcap")
+    names = ("export_json", "export_csv", "expired_flows_jsonl", "summary_json", "metrics_text", "write_pcap")
     text = f"[capture]\nread_pcap = '{tmp_path}/in'\n[output]\n" + "\n".join(f"{n} = '{tmp_path}/{n}'" for n in names)
     text += f"\n[analysis]\nalerts_jsonl = '{tmp_path}/alerts'\n[analysis.anomalies]\nenabled = true\n[analysis.anomalies.syn_flood]\nsyn_threshold = 60\n[analysis.anomalies.port_scan]\nunique_ports_threshold = 16\n"
     got = run(spark, config.from_toml(text))
@@ -32,6 +32,8 @@ def test_run(spark, tmp_path):
     assert len(lines("export_json")) == 82 and {r["kind"] for r in lines("alerts")} == {"syn_flood", "port_scan"} and not lines("expired_flows_jsonl")
     (file,) = (tmp_path / "summary_json").glob("*.txt")
     assert json.loads(file.read_text())["flows_created"] == 82
+    (file,) = (tmp_path / "metrics_text").glob("*.txt")
+    assert "capture_packets_total 86\n" in file.read_text()
     back = pcap.read_pcap(spark, str(tmp_path / "write_pcap")).orderBy("frame_no").collect()
     assert [bytes(r.raw) for r in back] == packets
 

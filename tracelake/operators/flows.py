@@ -195,6 +195,16 @@ def reported_deltas(packets: DataFrame, every_us: int, n: int) -> DataFrame:
     return sums.select(*names, "bytes").repartition(1).sortWithinPartitions("tick").mapInArrow(run, schema)
 
 
+def consumers(packets: DataFrame, asked: dict[str, tuple[int, int]]) -> DataFrame:
+    """reported_deltas of several consumers, each (every_us, n) with reports of its own: what one has seen starts anew for
+    that one alone. With the column consumer."""
+    out = None
+    for name, (every_us, n) in asked.items():
+        own = reported_deltas(packets, every_us, n).withColumn("consumer", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def sampled(packets: DataFrame, rate: int) -> DataFrame:
     """Every rate-th frame of the capture; rate 0 gives none."""
     return packets.filter(F.lit(rate > 0) & (F.col("frame_no") % max(rate, 1) == 0))

@@ -487,3 +487,14 @@ def capture_filters(spark, sf_dir):
     made = F.when(n % 4 == 0, tagged).when(n % 4 == 1, later).when(n % 4 == 2, asked).otherwise(raw)
     frames = _captured(spark, sf_dir).withColumn("raw", made)
     return frames.select("frame_no", *(matches(text).alias(name) for text, (name, _) in FILTERS.items()))
+
+
+@query(f"{_TRACE} SELECT {_FRAME} FROM t WHERE frame_no > (SELECT max(frame_no) FROM t) - 3000 AND frame_no % 7 = 0")
+def stored_packets(spark, sf_dir):
+    """Every seventh frame, asked of a store that holds the newest 3,000."""
+    from tracelake.sources.packet_store import PacketStore
+    from tracelake.sources.tables import scratch
+
+    rows, store = trace(spark, sf_dir).select(*_FRAME.split(", ")), PacketStore(spark, scratch(spark, "store"), 3000, 512)
+    store.put(rows)
+    return store.get(rows.filter("frame_no % 7 = 0").select("frame_no")).select(*_FRAME.split(", "))

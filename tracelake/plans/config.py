@@ -28,6 +28,7 @@ class Output:
     export_json: str | None = None
     export_csv: str | None = None
     summary_json: str | None = None
+    metrics_text: str | None = None
     expired_flows_jsonl: str | None = None
     expired_flows_csv: str | None = None
 
@@ -35,7 +36,7 @@ class Output:
 @dataclass(frozen=True)
 class Flow:
     timeout_secs: float = 60.0
-    #: Flows held at once; 0 is no cap. A cap makes the plan sequential, see flows.admitted().
+    #: Flows held at once; 0 is no cap. Where the table can be full, frames are replayed in order, see operators/capped.py.
     max_flows: int = 0
 
 
@@ -86,7 +87,7 @@ class Config:
         return {k: v for k, v in found.items() if v}
 
 
-PATHS = ("write_pcap", "export_json", "export_csv", "summary_json", "expired_flows_jsonl", "expired_flows_csv")
+PATHS = ("write_pcap", "export_json", "export_csv", "summary_json", "metrics_text", "expired_flows_jsonl", "expired_flows_csv")
 
 
 def _build(kind, values: dict):

@@ -21,13 +21,14 @@ def escaped(value: str) -> str:
 
 
 def render(summary: dict, version: str = "0") -> str:
-    """summary: of run(); what it does not tell (drops of a file) counts as 0."""
+    """summary: of run(); what it does not tell, drops of a file or what no detector counted, is left out."""
     lines = [f"# HELP {PREFIX}_build_info Version.", f"# TYPE {PREFIX}_build_info gauge", f'{PREFIX}_build_info{{version="{escaped(version)}"}} 1']
     for name, kind, about, key in FAMILIES:
-        lines += [f"# HELP {PREFIX}_{name} {about}", f"# TYPE {PREFIX}_{name} {kind}", f"{PREFIX}_{name} {summary.get(key) or 0}"]
-    name = f"{PREFIX}_anomaly_evidence_discards_total"
-    lines += [f"# HELP {name} Evidence that detector limits turned away.", f"# TYPE {name} counter"]
-    for detector in ("syn_flood", "port_scan"):
-        counts = (summary.get("anomaly_saturation") or {}).get(detector, {})
-        lines += [f'{name}{{detector="{detector}",reason="{r}"}} {counts.get(r, 0)}' for r in REASONS]
+        if summary.get(key) is None:
+            continue
+        lines += [f"# HELP {PREFIX}_{name} {about}", f"# TYPE {PREFIX}_{name} {kind}", f"{PREFIX}_{name} {summary[key]}"]
+    if saturation := summary.get("anomaly_saturation"):
+        name = f"{PREFIX}_anomaly_evidence_discards_total"
+        lines += [f"# HELP {name} Evidence that detector limits turned away.", f"# TYPE {name} counter"]
+        lines += [f'{name}{{detector="{d}",reason="{r}"}} {counts[r]}' for d, counts in saturation.items() for r in REASONS if r in counts]
     return "\n".join(lines) + "\n"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.capture_filter import matches
 from tracelake.functions.decode import decode
 from tracelake.operators import accounting, capped, detectors, flows, snapshots
+from tracelake.plans import metrics
 from tracelake.plans.config import Config, validate
 from tracelake.sources import export, pcap
 from tracelake.sources.tables import cut
@@ -36,9 +37,10 @@ def run(spark: SparkSession, config: Config) -> dict:
         head = {"schema_version": 1, "status": status, "source": f"pcap:{config.capture.read_pcap}", "run_secs": round(time.monotonic() - began, 3)}
         whole = {**head, **summary, "effective_config": asdict(config)}
         summary.update(whole)
-        if config.output.summary_json:
-            with contextlib.suppress(Exception) if status != "success" else contextlib.nullcontext():
-                spark.createDataFrame([(json.dumps(whole, indent=2),)], "value string").coalesce(1).write.text(config.output.summary_json)
+        for path, text in ((config.output.summary_json, json.dumps(whole, indent=2)), (config.output.metrics_text, metrics.render(whole).rstrip("\n"))):
+            if path:
+                with contextlib.suppress(Exception) if status != "success" else contextlib.nullcontext():
+                    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
 def _outputs(spark: SparkSession, config: Config) -> dict:
