@@ -293,3 +293,15 @@ def test_two_estimates_agree(spark):
     docs = spark.createDataFrame([(" ".join(prose(i, 20 + i * 5)) + "\n- a\n- a" * (i % 3),) for i in range(60)], "text string")
     first = quality_rules.estimate(docs)
     assert first == quality_rules.estimate(docs) and {x for x, *_ in first} == set(quality_rules.COSTS) and all(c > 0 for *_, c in first)
+
+
+def test_repeats_are_found_by_the_index(spark, monkeypatch):
+    """Without the index's ranges nothing is removed, copies of whole documents included."""
+    passage = prose(60, 120)
+    texts = [" ".join(passage), " ".join(passage), " ".join(prose(61, 30) + passage[20:90] + prose(62, 30)), " ".join(passage)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {0: 0, 1: 120, 2: 70, 3: 120}
+    old = substring_dedup.search
+    monkeypatch.setattr(substring_dedup, "search", lambda shards, window: old(shards, window).filter("kind = 1"))
+    assert {r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {0}

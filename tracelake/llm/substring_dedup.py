@@ -8,11 +8,12 @@ are routed. The least hash of the GRAM-word runs inside a window, its anchor, de
 window's words: equal windows have equal anchors. A segment is a run of windows with one anchor.
 
 1. Anchors are counted; one that a single document holds cannot have a match elsewhere.
-2. Equal segments of an anchor (128-bit keys) are one; the least document stands for them. All windows of the others
-   are removed. Where an anchor has just one content, that settles it.
-3. The remaining contents go to shards by anchor. A shard builds an FM-index over its segments
+2. Equal segments of an anchor (128-bit keys) are told once for the document with the least id and once for one of
+   the others, if there are others; what is found for that one holds for all others.
+3. All these go to shards by anchor. A shard builds an FM-index over its segments
    (word BWT in a wavelet matrix) and streams them through backward search. Where the matching
-   statistics reach WINDOW words, the range's least document decides about the window.
+   statistics reach WINDOW words, the range's least document decides about the window. Nothing is removed that was
+   not found there, but for windows of step 4.
 4. Anchors with more than HOT occurrences are spread over several shards by content. Their shards
    also report their windows' keys (128 bits), and the least document of equal windows is found
    over all of them.
@@ -195,30 +196,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     version (a hash of the text). docs: doc, text, version."""
     named = ["anchor", "content", "twin"]
     seen = cut(occurrences(docs, window, gram), "occurrences")
-    held = seen.groupBy("anchor").agg(
-        F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("k"),
-        *(f(c).alias(a + c) for c in ("content", "twin") for a, f in (("lo_", F.min), ("hi_", F.max))),
-    ).filter("lo != hi").select("anchor", F.expr("lo_content != hi_content or lo_twin != hi_twin").alias("several"), "k")
+    held = seen.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("k")).filter("lo != hi").select("anchor", "k")
     flagged = cut(seen.join(held, "anchor"), "flagged")
-    head = F.min(F.struct("doc", "version", "first", "n"))
-    contents = cut(flagged.groupBy(*named).agg(head.alias("head"), F.max("k").alias("k"), F.max("several").alias("several")), "contents")
+    one = F.struct("doc", "version", "first", "n")
+    contents = flagged.groupBy(*named).agg(F.min(one).alias("head"), F.max(one).alias("tail"), F.max("k").alias("k"))
+    contents = cut(contents.withColumn("copied", F.col("head.doc") != F.col("tail.doc")), "contents")
     parts = F.when(F.col("k") > hot, F.pmod("content", F.ceil(F.col("k") / hot))).otherwise(0).cast("int")
-    wanted = contents.filter("several").select(
-        "anchor", parts.alias("part"), (F.col("k") > hot).alias("hot"), "content", "twin", F.col("head.doc").alias("doc"), F.col("head.version").alias("version"), F.col("head.first").alias("first"), F.col("head.n").alias("n")
-    )
+    both = F.explode(F.when(F.col("copied"), F.array("head", "tail")).otherwise(F.array("head"))).alias("s")
+    wanted = contents.select("anchor", parts.alias("part"), (F.col("k") > hot).alias("hot"), "content", "twin", both).select("anchor", "part", "hot", "content", "twin", "s.*")
     found = cut(search(_cut_out(wanted, docs, window), window), "found")
     keyed = found.filter("kind = 1")
     least = keyed.groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low != high").select("k1", "k2", "low")
-    across = keyed.join(least, ["k1", "k2"]).filter("low < doc").select(*named, "at", "end")
-    windows = found.filter("kind = 0").select(*named, "at", "end").union(across)
-    # Every segment of the least document with a content has the windows found for it; others lose all.
-    same = flagged.select(*named, "doc", "version", "first", "n").join(contents.select(*named, F.col("head.doc").alias("owner")), named)
-    later = same.filter("doc > owner").select("doc", "version", "first", (F.col("first") + F.col("n") + window - 1).alias("stop"))
-    heads = same.filter("doc = owner").select(*named, "doc", "version", "first")
-    own = windows.join(heads, named).select(
-        "doc", "version", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("end") + window - 1).alias("stop")
-    )
-    return later.union(own).groupBy("doc", "version").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    across = keyed.join(least, ["k1", "k2"]).filter("low < doc").select(*named, "doc", "at", "end")
+    windows = found.filter("kind = 0").select(*named, "doc", "at", "end").union(across)
+    # What was found for the least document with a content holds for its segments, what was found for another one for all others.
+    owners = contents.select(*named, F.col("head.doc").alias("owner"))
+    windows = windows.join(owners, named).select(*named, "owner", (F.col("doc") > F.col("owner")).alias("later"), "at", "end")
+    hits = flagged.select(*named, "doc", "version", "first").join(windows, named).filter((F.col("doc") > F.col("owner")) == F.col("later"))
+    spans = hits.select("doc", "version", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("end") + window - 1).alias("stop"))
+    return spans.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
 
 
 RESULTS = ("n_words", "n_removed", "kept")
