@@ -498,3 +498,11 @@ def stored_packets(spark, sf_dir):
     rows, store = trace(spark, sf_dir).select(*_FRAME.split(", ")), PacketStore(spark, scratch(spark, "store"), 3000, 512)
     store.put(rows)
     return store.get(rows.filter("frame_no % 7 = 0").select("frame_no")).select(*_FRAME.split(", "))
+
+
+@query(f"{_TRACE}, s AS (SELECT {_K}, sum(wire_len)::BIGINT AS weight FROM p GROUP BY {_K}) SELECT * FROM s WHERE weight * 600 > (SELECT sum(weight) FROM s)")
+def flows_above_share(spark, sf_dir):
+    """Flows with more than one in 600 of all bytes, from a sketch of 600 counters."""
+    from tracelake.operators.heavy_hitters import above_share
+
+    return above_share(_keyed(spark, sf_dir), 600)
