@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm._shared import unused
+from tracelake.llm._shared import cut, unused
 
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = "[ \\t-\\r]+"
@@ -175,8 +175,11 @@ OTHER, EACH = (30, 0, 0), 20
 def estimate(docs: DataFrame, rules=all_rules, rows: int = SAMPLE_ROWS, text: str = "text") -> list[tuple[str, float, float]]:
     """(rule, share rejected, seconds a row) on at most ``rows`` rows, best rejections per cost first. One job over the
     sample counts what each rule hits, and the characters, words and lines that it would look at."""
-    small = docs.select(text_of(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES).limit(rows)
-    split = small.select("t", _words(F.col("t")).alias("w"), _lines(F.col("t")).alias("l"))
+    small = docs.select(text_of(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
+    texts = [(r.t,) for r in small.take(rows)]
+    # As a table, not as a literal: plans keep the text of literals.
+    sample = cut(docs.sparkSession.createDataFrame(texts, "t string").coalesce(1), "sample")
+    split = sample.select("t", _words(F.col("t")).alias("w"), _lines(F.col("t")).alias("l"))
     made = rules(F.col("t"), F.col("w"), F.col("l"))
     sizes = [F.coalesce(F.sum(F.length("t")), F.lit(0)), F.coalesce(F.sum(F.size("w")), F.lit(0)), F.coalesce(F.sum(F.size("l")), F.lit(0))]
     n, *counted = split.agg(F.count("*"), *sizes, *(F.count_if(F.coalesce(hit, F.lit(False))) for hit in made.values())).first()
