@@ -98,4 +98,9 @@ def test_flow_records(spark, tmp_path):
     (file,) = (tmp_path / "json").glob("*.json")
     objects = {r["protocol"]: r for r in map(json.loads, file.open())}
     assert objects["udp"]["dns"]["matched_responses"] == 1 and objects["udp"]["endpoint_b"] == {"ip": "198.51.100.1", "port": 53} and objects["udp"]["tls_sni"] is None and objects["tcp"]["dns"] is None
+    export.write_json_array(found, str(tmp_path / "array"))
+    whole = json.loads("".join(f.read_text() for f in sorted((tmp_path / "array").glob("*.txt"))))
+    assert sorted(whole, key=lambda r: r["protocol"]) == [objects["tcp"], objects["udp"]] and whole[0]["bytes_total"] >= whole[1]["bytes_total"]
+    export.write_json_array(found.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none").glob("*.txt")))) == []
     assert export.csv_rows(snapshots.snapshots(flows.with_key(flows.eligible(flows.with_watermark(rows.limit(0)))))).count() == 0

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.flows import KEY
+
 # The columns, in order, and their decimals.
 CSV_COLUMNS = (
     "protocol", "endpoint_a_ip", "endpoint_a_port", "endpoint_b_ip", "endpoint_b_port", "first_seen", "last_seen", "duration_secs", "packets_a_to_b", "packets_b_to_a",
@@ -66,3 +68,20 @@ def write_csv(flows: DataFrame, path: str) -> None:
 def write_json(flows: DataFrame, path: str) -> None:
     """One object a line."""
     json_rows(flows).write.option("ignoreNullFields", False).json(path)
+
+
+def write_json_array(flows: DataFrame, path: str) -> None:
+    """One JSON document: the part files, one after another in the order of their names, are an array of the objects of
+    json_rows, the largest flows first. Only the first object has no comma before it; which it is, a top-1 tells. Flows
+    are told apart by key and instance."""
+    own = [c for c in (*KEY, "instance") if c in flows.columns]
+    at = F.struct((-F.col("bytes_total")).alias("size"), *own)
+    first = flows.select(at.alias("at")).orderBy("at").first()  # one row
+    leads = at == F.struct(*(F.lit(bytearray(x) if isinstance(x, bytes) else x).cast(f.dataType).alias(f.name) for x, f in zip(first.at, flows.select(at.alias("at")).schema["at"].dataType.fields))) if first else F.lit(False)
+    # The place and the mark travel through json_rows in the last column.
+    rows = json_rows(flows.withColumn("tls_sni", F.struct("tls_sni", at.alias("at"), leads.alias("leads"))))
+    plain = [c for c in rows.columns if c != "tls_sni"]
+    text = F.to_json(F.struct(*plain, F.col("tls_sni.tls_sni").alias("tls_sni")), {"ignoreNullFields": "false"})
+    objects = rows.select(F.lit(1).alias("part"), F.col("tls_sni.at").alias("at"), F.concat(F.when(F.col("tls_sni.leads"), "").otherwise(","), text).alias("value"))
+    edges = flows.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, value string").withColumn("at", F.lit(None).cast(objects.schema["at"].dataType))
+    edges.select("part", "at", "value").unionByName(objects).orderBy("part", "at").select("value").write.text(path)
