@@ -48,27 +48,30 @@ class FMIndex:
         self.alphabet, symbol = np.unique(words, return_inverse=True)
         ends = np.cumsum(lengths)
         n = len(words) + len(lengths)
-        text = np.zeros(n, np.int64)  # every segment ends with a 0
+        text = np.zeros(n, np.int32)  # every segment ends with a 0; numbers of words and places fit 32 bits
         text[np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)] = symbol + 1
-        stop = np.repeat(ends + np.arange(len(lengths)), lengths + 1)
+        del symbol
+        stop = np.repeat((ends + np.arange(len(lengths))).astype(np.int32), lengths + 1)
         ranks, k = {1: text}, 1
         while 2 * k <= depth:
             ranks[2 * k] = self._paired(ranks[k], k, stop)[0]
             k *= 2
-        final, order = self._paired(ranks[k], depth - k, stop) if depth > k else (ranks[k], np.argsort(ranks[k], kind="stable"))
-        self.order = order
+        final, order = self._paired(ranks[k], depth - k, stop) if depth > k else (ranks[k], np.argsort(ranks[k], kind="stable").astype(np.int32))
+        del final, stop
         self.lcp = self._common_prefixes(ranks, order, n)
+        del ranks
         self.wavelet = WaveletMatrix(text[order - 1], len(self.alphabet))
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
         self.n = n
-        segment = np.repeat(np.arange(len(lengths)), lengths + 1)
+        segment = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
         edges = np.flatnonzero(self.lcp[:-1] < depth)
-        self.block = np.cumsum(self.lcp[:-1] < depth) - 1
+        self.block = np.cumsum(self.lcp[:-1] < depth, dtype=np.int32) - 1
         self.least = np.minimum.reduceat(owner[segment[order]], edges)
-        shorter = np.flatnonzero(self.lcp < depth - 1)
-        which = np.searchsorted(shorter, np.arange(n), side="right") - 1
+        del segment, order, text
+        shorter = np.flatnonzero(self.lcp < depth - 1).astype(np.int32)
+        which = np.cumsum(self.lcp[:-1] < depth - 1, dtype=np.int32) - 1
         self.low, self.high = shorter[which], shorter[which + 1]
-        self.minima = [self.lcp.astype(np.uint8)]
+        self.minima = [self.lcp]
         while 2 ** len(self.minima) <= n:
             last, half = self.minima[-1], 1 << (len(self.minima) - 1)
             self.minima.append(np.minimum(last[:-half], last[half:]))
@@ -76,32 +79,33 @@ class FMIndex:
     @staticmethod
     def _paired(rank: np.ndarray, shift: int, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(rank)
-        after = np.zeros(n, np.int64)
-        at = np.arange(n) + shift
+        key = rank.astype(np.int64) << 32
+        at = np.arange(n, dtype=np.int32) + np.int32(shift)
         inside = at <= stop
-        after[inside] = rank[at[inside]]
-        key = rank << 32 | after
-        order = np.argsort(key)
+        key[inside] |= rank[at[inside]]
+        del at, inside
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
-        out = np.empty(n, np.int64)
-        out[order] = np.cumsum(np.concatenate([[1], (key[1:] != key[:-1]).astype(np.int64)]))
+        out = np.empty(n, np.int32)
+        out[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
         return out, order
 
     def _common_prefixes(self, ranks: dict, order: np.ndarray, n: int) -> np.ndarray:
         """Words that neighbours in the order share, at most depth; 0 before the first and after the last."""
         a, b = order[:-1].copy(), order[1:].copy()
-        total = np.zeros(n - 1, np.int64)
+        total = np.zeros(n - 1, np.int32)
         for k in sorted(ranks, reverse=True):
             rank = ranks[k]
             again = True
             while again:
                 inside = (a < n) & (b < n)
                 same = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
-                total += k * same
-                a += k * same
-                b += k * same
+                step = np.int32(k) * same
+                total += step
+                a += step
+                b += step
                 again = 2 * k > self.depth - 1 and k > 1 and bool((same & (total < self.depth)).any())
-        out = np.zeros(n + 1, np.int64)
+        out = np.zeros(n + 1, np.uint8 if self.depth < 256 else np.int32)
         out[1:n] = np.minimum(total, self.depth)
         return out
 
@@ -120,10 +124,11 @@ class FMIndex:
     def matching_statistics(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each position of each pattern: the longest prefix of its suffix (up to depth words) that the
         index holds, and the least owner of its occurrences where that is ``depth`` words, else -1."""
-        at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
-        symbol = np.where(self.alphabet[at] == words, at + 1, 0)
+        at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1).astype(np.int32)
+        symbol = np.where(self.alphabet[at] == words, at + np.int32(1), np.int32(0))
+        del at
         ends = np.cumsum(lengths)
-        found, least = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        found, least = np.zeros(len(words), np.int32), np.full(len(words), -1, np.int64)
         live = np.argsort(-lengths, kind="stable")
         low, high, length = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.n, np.int64), np.zeros(len(lengths), np.int64)
         count = np.searchsorted(-lengths[live], -np.arange(1, int(lengths.max(initial=0)) + 1), side="right")
@@ -145,7 +150,7 @@ class FMIndex:
                 lo[hit], hi[hit], q[hit] = start[good], stop[good], q[hit] + 1
                 todo = todo[~good]
                 if len(todo):  # drop last words until the match can be extended
-                    shorter = np.maximum(self.lcp[lo[todo]], self.lcp[hi[todo]])
+                    shorter = np.maximum(self.lcp[lo[todo]], self.lcp[hi[todo]]).astype(np.int64)
                     shorter = np.minimum(shorter, q[todo] - 1)
                     zero = shorter <= 0
                     wide = self._parents(lo[todo], hi[todo], np.maximum(shorter, 1))

@@ -157,6 +157,8 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
         of = row[heads]
         yield _columns(0, [x[of] for x in own], heads - begin[of], stops - begin[of], None)
         hot = np.array([r[2] for r in rows], bool)
+        if not hot.any():
+            return
         windows = np.where(hot, lengths - window + 1, 0)
         of, at = np.repeat(np.arange(len(rows)), windows), ranges(windows)
         twin = hash_spans(buf, starts, ends, seed=1)
