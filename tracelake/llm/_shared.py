@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -85,6 +87,16 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def forget_codecs() -> None:
+    """What tokenising tasks before have remembered in this worker goes: workers are used again, and what is remembered would
+    add to the memory of other work. Tokenising tasks build it anew."""
+    for name in ("bpe", "piece_bpe"):
+        if (module := sys.modules.get(f"tracelake.llm.{name}")) is not None and module._CODECS:
+            module._CODECS.clear()
+            gc.collect()
+    release()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Consecutive parts of batch whose text has at most ``limit`` bytes, or one row."""
     at = batch.schema.get_field_index(column)

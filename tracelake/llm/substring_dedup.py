@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, hash_runs, hash_spans, mix, ranges, release, slices, split_words, text_buffer, unused
+from tracelake.llm._shared import SPACE, arrow_limits, as_long, cut, forget_codecs, hash_runs, hash_spans, mix, ranges, release, slices, split_words, text_buffer, unused
 from tracelake.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -45,7 +45,9 @@ GRAM = 8
 LONGEST = 64
 #: Occurrences from which an anchor is spread over several shards, and the size of a part.
 HOT = 200
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
+#: Bytes of text that are split into words together.
+TEXT_BYTES = 1 << 20
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,8 +93,9 @@ def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
     doc, text, version. content and twin, 128 bits together, name the segment's words."""
 
     def run(batches):
+        forget_codecs()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 buf, starts, ends, row, begin = _words(part, 1)
                 anchor, of, first, n, content, twin = segments(hash_spans(buf, starts, ends), row, window, gram)
                 yield pa.RecordBatch.from_arrays(
@@ -111,7 +114,7 @@ def _cut_out(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 buf, starts, ends, row, begin = _words(part, 1)
                 raw = buf.tobytes()
                 out = []
@@ -173,6 +176,7 @@ def search(shards: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> Da
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), *keys], names=names)
 
     def run(batches):
+        forget_codecs()
         rows, texts, size = [], [], 0
 
         for batch in batches:
@@ -236,7 +240,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc: str = "doc_id", win
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, TEXT_BYTES):
                 buf, starts, ends, row, begin = _words(part, at)
                 raw = buf.tobytes()
                 counts, removed, kept = np.diff(begin), [], []
