@@ -153,6 +153,27 @@ def test_written_decoded(spark, tmp_path):
     assert [bytes(r.original) for r in got.orderBy("frame_no").collect()] == [f[1] for f in frames] and "raw" not in got.columns
 
 
+def test_small_ranges_share_tasks_and_reads(spark, tmp_path):
+    """Many small ranges are no more tasks than cores can use, and a range reads its own bytes, not all that follow."""
+    frames = some_frames(11, 3000)
+    (tmp_path / "a.pcap").write_bytes(content := classic(frames))
+    seen, old = [], captures._scan
+
+    def spy(*args):
+        seen.append(old(*args))
+        return seen[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(captures, "_scan", spy)
+        got = captures.read_captures(spark, str(tmp_path), range_bytes=100)
+    assert told(got) == wanted(frames)
+    assert seen and all(x.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism for x in seen)
+    read = []
+    form = captures.form_of(content[:64], "x")
+    rows = list(captures._batches(form, lambda at, n: read.append(n) or content[at : at + n], 24, 1024, len(content)))
+    assert sum(map(len, rows)) > 5 and sum(read) < 20_000
+
+
 @pytest.mark.skipif(not os.environ.get("TRACELAKE_LARGE"), reason="writes 3 GiB")
 def test_three_gigabytes(spark, tmp_path):
     raw, n = os.urandom(1400), 2_300_000

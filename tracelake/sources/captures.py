@@ -1,10 +1,11 @@
-"""Capture files read by byte ranges: classic PCAP and PCAPNG, a task a range, each byte once but for what guesses look at.
+"""Capture files read by byte ranges: classic PCAP and PCAPNG, each byte once but for what guesses look at.
 
-Neither format marks places at which a file can be split. A range's task looks for the first record header in it:
+Neither format marks places at which a file can be split. A task takes ranges that follow each other, several where they are
+small. It looks for the first record header in them:
 a place from which headers lead to headers, with plausible lengths and times near each other, for as far as
-it looks. It then reads the records that begin in its range. That the guess was right is proved afterwards: the ranges of a
-file must join, each beginning at the byte where the one before ended, the first at the file's start and the
-last ending at its end. A file whose ranges don't join (a capture inside a capture can look like one; a PCAPNG
+it looks. It then reads the records that begin in its ranges, from one into the next. That the guess was right is proved
+afterwards: the ranges of a file must join, each beginning at the byte where the one before ended, the first at the file's start
+and the last ending at its end. A file whose ranges don't join (a capture inside a capture can look like one; a PCAPNG
 file can declare an interface in its middle) is read again, by ranges whose beginnings one task finds by going
 from header to header.
 
@@ -17,6 +18,7 @@ ValueError.
 from __future__ import annotations
 
 import contextlib
+import itertools
 import struct
 from collections.abc import Callable, Iterator
 
@@ -39,8 +41,11 @@ BLOCKS = (SECTION, INTERFACE, PACKET, SIMPLE, 4, 5, ENHANCED, 9, 10, 0xBAD, 0x40
 LONGEST = 262_144
 #: Seconds between neighbouring records that a guess believes in.
 NEAR = 86_400
-#: Bytes of a range; bytes that a guess looks at together; bytes read at a time; frames and bytes handed on at a time.
-RANGE_BYTES, LOOK_BYTES, READ_BYTES, ROWS, BATCH_BYTES = 32 << 20, 1 << 20, 8 << 20, 8192, 16 << 20
+#: Bytes of a range, and of a task's small ranges at most; bytes that a guess looks at together; bytes read at a time; bytes
+#: read beyond a range, in case its last record reaches there; frames and bytes handed on at a time.
+RANGE_BYTES, LOOK_BYTES, READ_BYTES, OVER_BYTES, ROWS, BATCH_BYTES = 32 << 20, 1 << 20, 8 << 20, 4096, 8192, 16 << 20
+#: Tasks a core over all files, before ranges are read several a task.
+TASKS = 4
 
 FRAME = [("ts_sec", "long"), ("ts_usec", "int"), ("ts_us", "long"), ("wire_len", "long"), ("cap_len", "int"), ("link_type", "int"), ("raw", "binary")]
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -255,7 +260,7 @@ def _batches(form, read, at: int, stop: int, size: int) -> Iterator[list[tuple]]
     """Records that begin in [at, stop), with absolute begin and end, and their bytes."""
     want, edge = READ_BYTES, at
     while at < stop:
-        data = memoryview(read(at, want))
+        data = memoryview(read(at, min(want, stop - at + OVER_BYTES) if want == READ_BYTES else want))
         found, used, ended = form.parse(data, stop - at)
         if not used and not ended:
             if at + len(data) >= size:
@@ -271,6 +276,13 @@ def _batches(form, read, at: int, stop: int, size: int) -> Iterator[list[tuple]]
             return
 
 
+def _by_range(rows: list[tuple], begin: int, number: int, range_bytes: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows that begin in the same range; the first range is ``number`` and begins at ``begin``."""
+    of = lambda r: number + (r[0] - begin) // range_bytes
+    for own, run in itertools.groupby(rows, of):
+        yield own, list(run)
+
+
 def _arrow(name: str, number: int, first: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     i = 0
     while i < len(rows):
@@ -294,14 +306,14 @@ def whole(name: str, content: memoryview) -> Iterator[pa.RecordBatch]:
         place += len(rows)
 
 
-def _scan(spark: SparkSession, ranges: list[tuple[str, int, int, int, int | None, list | None]]) -> DataFrame:
-    """Frames of (path, size, begin, end, exact start or None, state), a task each. Without an exact start the
-    first record is guessed, and a PCAPNG range stops where an interface or section is declared late."""
+def _scan(spark: SparkSession, shares: list[tuple[str, int, int, int, int, int | None, list | None]], range_bytes: int) -> DataFrame:
+    """Frames of (path, size, first range, begin, end, exact start or None, state), a task each. Without an exact start the
+    first record is guessed, and a PCAPNG file is read up to where an interface or section is declared late."""
 
     def run(batches):
         for batch in batches:
             for number in batch.column(0).to_pylist():
-                path, size, begin, end, start, state = ranges[number]
+                path, size, first, begin, end, start, state = shares[number]
                 with opened(path) as file:
                     read = _reader(file)
                     form = form_of(read(0, 64), path)
@@ -312,15 +324,17 @@ def _scan(spark: SparkSession, ranges: list[tuple[str, int, int, int, int | None
                         elif begin > 0:  # what is declared before the first packet
                             _declared(form, read, size)
                     at = form.first if begin == 0 else start if start is not None else guess(form, read, begin, end, size)
-                    place = 0
+                    now, place = first, 0
                     # What fails behind a guess fails again where the start is known, or the guess was wrong.
                     bear = contextlib.suppress(ValueError) if start is None and begin > 0 else contextlib.nullcontext()
                     with bear:
                         for rows in _batches(form, read, at, end, size) if at is not None else ():
-                            yield from _arrow(path, number, place, rows)
-                            place += len(rows)
+                            for own, part in _by_range(rows, begin, first, range_bytes):
+                                now, place = own, place if own == now else 0
+                                yield from _arrow(path, own, place, part)
+                                place += len(part)
 
-    return spark.range(0, len(ranges), 1, max(len(ranges), 1)).mapInArrow(run, SCHEMA)
+    return spark.range(0, len(shares), 1, max(len(shares), 1)).mapInArrow(run, SCHEMA)
 
 
 def _declared(form: NextGeneration, read, size: int) -> None:
@@ -381,15 +395,23 @@ def _indexed(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int
     return {(r.source, r.edge): (r.start, ast.literal_eval(r.state)) for r in rows}
 
 
-def _ranges(files: list[tuple[str, int]], range_bytes: int, exact: dict | None = None) -> list[tuple]:
-    out = []
+def _together(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int) -> int:
+    """How many ranges a task takes: one, unless they are small and there are far more of them than cores."""
+    size = min(RANGE_BYTES, sum(size for _, size in files) // (TASKS * spark.sparkContext.defaultParallelism))
+    return max(size // range_bytes, 1)
+
+
+def _shares(files: list[tuple[str, int]], range_bytes: int, together: int, exact: dict | None = None) -> list[tuple]:
+    """Shares of ``together`` ranges; ranges are numbered over all files."""
+    out, number, wide = [], 0, range_bytes * together
     for path, size in files:
-        for begin in range(0, max(size, 1), range_bytes):
-            end = min(begin + range_bytes, size)
+        for begin in range(0, max(size, 1), wide):
+            end, first = min(begin + wide, size), number + begin // range_bytes
             if exact is None or begin == 0:
-                out.append((path, size, begin, max(end, 1), None if exact is None else 0, None))
+                out.append((path, size, first, begin, max(end, 1), None if exact is None else 0, None))
             elif (path, begin) in exact and exact[path, begin][0] < end:
-                out.append((path, size, begin, end, *exact[path, begin]))
+                out.append((path, size, first, begin, end, *exact[path, begin]))
+        number += -(-max(size, 1) // range_bytes)
     return out
 
 
@@ -410,12 +432,13 @@ def read_captures(spark: SparkSession, path: str | list[str], then: Callable[[Da
     listed = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # a row a file, as Spark itself lists them
     files = sorted((r.path, r.length) for r in listed)
     apply = then or (lambda frames: frames)
-    table = cut(apply(_scan(spark, _ranges(files, range_bytes))), "frames")
+    together = _together(spark, files, range_bytes)
+    table = cut(apply(_scan(spark, _shares(files, range_bytes, together), range_bytes)), "frames")
     several = {p: n for p, n in files if n > range_bytes}
     torn = _torn(table.filter(F.col("source").isin(list(several))) if len(several) < 1000 else table, several) if several else []
     if torn:
         again = [(p, several[p]) for p in torn]
-        exact = cut(apply(_scan(spark, _ranges(again, range_bytes, _indexed(spark, again, range_bytes)))), "frames")
+        exact = cut(apply(_scan(spark, _shares(again, range_bytes, together, _indexed(spark, again, range_bytes * together)), range_bytes)), "frames")
         table = table.filter(~F.col("source").isin(torn)).unionByName(exact)
     counts = table.groupBy("source", "range_no").agg(F.count("*").alias("n"))
     # One row a range, so a single task is enough for the running totals.
