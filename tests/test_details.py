@@ -150,6 +150,28 @@ def test_deltas_since_the_last_report(spark):
     assert got == want
 
 
+def test_few_flows_reach_the_reports(spark, monkeypatch):
+    """Only flows that can be reported go through the one task, those with ties at the edge and without a port too."""
+    sent, old = [], flows.in_order
+
+    def spy(rows, *rest):
+        sent.append(rows.count())
+        return old(rows, *rest)
+
+    monkeypatch.setattr(flows, "in_order", spy)
+    r = random.Random(10)
+    rows = [(i, i, "udp", 1, None if (p := r.randrange(3000)) == 7 else p, 2, 53, 40 if p > 30 else 5000 + 40 * (p % 4)) for i in range(8000)]
+    got = [(x.tick, x.a_port, x.delta_bytes, x["rank"]) for x in flows.reported_deltas(spark.createDataFrame(rows, KEYED), 1000, 3).orderBy("tick", "rank").collect()]
+    open_, want = defaultdict(int), []
+    for tick in range(8):
+        for x in rows[tick * 1000 : tick * 1000 + 1000]:
+            open_[x[4]] += x[7]
+        for rank, (size, port) in enumerate(sorted(((-s, p) for p, s in open_.items() if s), key=lambda x: (x[0], -1 if x[1] is None else x[1]))[:3], 1):
+            want.append((tick, port, -size, rank))
+            open_[port] = 0
+    assert got == want and len(sent) == 1 and 24 <= sent[0] < 500
+
+
 def test_functions_for_sql(spark):
     registry.register(spark)
     row = spark.sql("SELECT hex_dump(unhex('00414243')) AS h, time_of_day(3661000007) AS t, tls_sni(unhex('16')) AS s, dns_decode(unhex('00')) AS d").first()

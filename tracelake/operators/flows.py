@@ -8,12 +8,14 @@ from __future__ import annotations
 import heapq
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.folds import fold
 from tracelake.operators.sweeps import sweeps  # noqa: F401
+from tracelake.sources.ordered import in_order
 from tracelake.sources.tables import cut
 
 KEY = ("protocol", "a_ip", "a_port", "b_ip", "b_port")
@@ -166,9 +168,11 @@ def reported_deltas(packets: DataFrame, every_us: int, n: int) -> DataFrame:
     reported flows start anew, so a flow's bytes add up until it is among the n.
 
     Sums come first, by partial aggregation. What is reported depends on all reports before, so one task
-    goes through the intervals, with a row for each flow of an interval and the open sums held."""
+    goes through the intervals, with the open sums held, but only of flows that can be reported (see _reportable);
+    others have sorted its rows."""
     tick = F.floor(F.col("ts_us") / every_us).alias("tick")
-    sums = packets.groupBy(tick, *KEY).agg(F.sum("wire_len").alias("bytes"))
+    sums = cut(packets.groupBy(tick, *KEY).agg(F.sum("wire_len").alias("bytes")), "sums")
+    sums = _reportable(sums, n)
     names = ["tick", *KEY]
     schema = ", ".join([*(f"{c} {sums.schema[c].dataType.simpleString()}" for c in names), "delta_bytes long, rank long"])
 
@@ -184,7 +188,7 @@ def reported_deltas(packets: DataFrame, every_us: int, n: int) -> DataFrame:
 
         for batch in batches:
             kinds = [batch.schema.field(i).type for i in range(len(names))]
-            for own, *key, size in zip(*(c.to_pylist() for c in batch.columns)):
+            for own, *key, size, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != now and now is not None:
                     yield report()
                 now = own
@@ -192,7 +196,53 @@ def reported_deltas(packets: DataFrame, every_us: int, n: int) -> DataFrame:
         if now is not None:
             yield report()
 
-    return sums.select(*names, "bytes").repartition(1).sortWithinPartitions("tick").mapInArrow(run, schema)
+    return in_order(sums.select(*names, "bytes", F.lit(0).alias("all")), ["tick", *KEY], "all", [0], run, schema)
+
+
+def _reportable(sums: DataFrame, n: int) -> DataFrame:
+    """Those of sums (tick, key, bytes) whose flows can ever be among the n reported.
+
+    Before the i-th interval at most n * (i - 1) flows were reported; all others still have all their bytes open. So
+    what is reported in it has the n * i largest running totals, resets left out. A lower bound of the n * i-th
+    largest is read off a histogram of running totals, which changes by a row where a total enters another bucket: two numbers
+    an interval and bucket that changes, however many flows there are. A flow stays if its total reaches the least bound that
+    is still to come."""
+    order = Window.partitionBy(*KEY).orderBy("tick")
+    bucket = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1)).cast("double")) * 16).cast("int")
+    totals = sums.withColumn("total", F.sum("bytes").over(order)).withColumn("bucket", bucket(F.col("total")))
+    moves = totals.select("tick", "bucket", F.lag("bucket").over(order).alias("was"))
+    moved = moves.filter("was is null or was <> bucket")
+    changes = moved.select("tick", "bucket", F.lit(1).alias("delta")).unionByName(moved.filter("was is not null").select("tick", F.col("was").alias("bucket"), F.lit(-1).alias("delta")))
+    changes = changes.unionByName(sums.select("tick", F.lit(0).alias("bucket"), F.lit(0).alias("delta")).distinct())
+    counts = changes.groupBy("tick", "bucket").agg(F.sum("delta").alias("delta"))
+
+    def bounds(batches):
+        held, ticks, least, now = {}, [], [], None
+
+        def close():
+            left, bound = n * (len(ticks) + 1), 0
+            for b in sorted(held, reverse=True):
+                left -= held[b]
+                if left <= 0:
+                    bound = b
+                    break
+            ticks.append(now)
+            least.append(bound)
+
+        for batch in batches:
+            for own, b, delta in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != now and now is not None:
+                    close()
+                now, held[b] = own, held.get(b, 0) + delta
+        if now is not None:
+            close()
+            floors = np.minimum.accumulate(np.array(least, np.int32)[::-1])[::-1]
+            yield pa.RecordBatch.from_arrays([pa.array(ticks, pa.int64()), pa.array(floors, pa.int32())], names=["tick", "least"])
+
+    # A row an interval and bucket, so a single task is enough.
+    needed = counts.select(F.col("tick").cast("long").alias("tick"), "bucket", F.col("delta").cast("long").alias("delta")).repartition(1).sortWithinPartitions("tick").mapInArrow(bounds, "tick long, least int")
+    able = F.max(F.col("bucket") >= F.col("least")).over(Window.partitionBy(*KEY))
+    return totals.join(F.broadcast(cut(needed, "bounds")), "tick").withColumn("able", able).filter("able").select(*sums.columns)
 
 
 def consumers(packets: DataFrame, asked: dict[str, tuple[int, int]]) -> DataFrame:
