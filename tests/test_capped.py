@@ -6,6 +6,7 @@ from collections import Counter, deque
 import pytest
 
 from tracelake.operators import capped, flows
+from tracelake.sources.ordered import in_order
 
 SCHEMA = "frame_no long, ts_us long, protocol string, a_ip long, a_port long, b_ip long, b_port long, wire_len long"
 
@@ -79,3 +80,31 @@ def test_only_bursts_are_replayed(spark, monkeypatch):
     sizes.clear()
     capped.admitted(marked, flows.sweeps(marked, 200), 1000, 1000).collect()
     assert not sizes
+
+
+def test_no_task_sorts_the_trace(spark, monkeypatch):
+    """A table that is always full: the task that replays the only span reads sorted files, it has no sort of its own."""
+    plans, old = [], capped._replay
+
+    def spy(*args):
+        out = old(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(capped, "_replay", spy)
+    r = random.Random(3)
+    rows = [(i, i, "udp", 1, r.randrange(50), 2, 53, 60) for i in range(3000)]
+    out = capped.admitted(spark.createDataFrame(rows, SCHEMA), None, 8).collect()
+    assert {x.frame_no: (x.a_port, x.instance, x.ended_us, x.reason) for x in out} == plainly(rows, 8, 200, 0)
+    assert len(plans) == 1 and "Sort" not in plans[0] and "Exchange" not in plans[0]
+
+
+def test_rows_in_order(spark):
+    """Groups over several files, one without rows, binary values and nulls."""
+    r = random.Random(4)
+    rows = [(r.randrange(1, 4), i, None if i % 5 == 0 else bytes([i % 256])) for i in range(5000)]
+    r.shuffle(rows)
+    run = lambda batches: batches
+    out = in_order(spark.createDataFrame(rows, "g int, n long, x binary"), ["n"], "g", [1, 2, 3, 4], run, "g int, n long, x binary")
+    assert [(x.g, x.n, x.x) for x in out.collect()] == sorted(rows, key=lambda x: x[:2])
+    assert in_order(spark.createDataFrame([], "g int, n long"), ["n"], "g", [1], run, "g int, n long").count() == 0

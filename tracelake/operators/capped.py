@@ -7,7 +7,7 @@ and are one; what was evicted in a span is gone from both tables when the next o
 
 When a span begins, the table is known from lives alone: those that have begun and not expired, in order of birth, all
 seen since. So spans are replayed side by side, each by one task over a few numbers a frame of the span, with the table
-held. All other frames are numbered by window functions, going on after a span with what the table held at its end. If the
+held; other tasks sort these numbers. All other frames are numbered by window functions, going on after a span with what the table held at its end. If the
 unbounded table never has so many flows, nothing is replayed.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.flows import CHUNK, KEY, ended, instances
+from tracelake.sources.ordered import in_order
 from tracelake.sources.tables import cut
 
 #: Spans that are told apart; those with the smallest gaps between them are replayed as one.
@@ -74,9 +75,9 @@ def _within(region: Column, frame: Column, spans: list[tuple[int, int]]) -> Colu
     return (region > 0) & F.coalesce(frame <= F.get(F.array(*(F.lit(b) for _, b in spans)), region - 1), F.lit(False))
 
 
-def _replay(rows: DataFrame, kinds: dict[str, str], most: int, timeout_us: int) -> DataFrame:
+def _replay(rows: DataFrame, kinds: dict[str, str], most: int, timeout_us: int, spans: int) -> DataFrame:
     """rows by span: flows held at first, frames, sweeps. Gives frames with the start of their life, ends of lives, and what is
-    held at the end (what = 0, 1, 2)."""
+    held at the end (what = 0, 1, 2). A span's task reads rows that others have sorted; it holds the table and a batch."""
     schema = ", ".join(["span int, what int, frame_no long", *(f"{c} {t}" for c, t in kinds.items()), "start long, ts_us long, reason string"])
 
     def run(batches):
@@ -118,6 +119,8 @@ def _replay(rows: DataFrame, kinds: dict[str, str], most: int, timeout_us: int)
                             found.append((span, 1, None, *first, table.pop(first)[2], ts, "eviction"))
                     table[key] = [ts, True, frame]
                     clock.append((key, frame))
+                    if len(clock) > 2 * most:  # most are of lives that sweeps ended
+                        clock = deque(x for x in clock if x[0] in table and table[x[0]][2] == x[1])
                 entry = table[key]
                 entry[0], entry[1] = max(entry[0], ts), True
                 found.append((span, 0, frame, *key, entry[2], None, None))
@@ -126,7 +129,7 @@ def _replay(rows: DataFrame, kinds: dict[str, str], most: int, timeout_us: int)
         if table:
             yield out(held())
 
-    return rows.repartition("span").sortWithinPartitions("span", "phase", "frame_no", "kind").mapInArrow(run, schema)
+    return in_order(rows, ["phase", "frame_no", "kind"], "span", list(range(1, spans + 1)), run, schema)
 
 
 def admitted(packets: DataFrame, swept: DataFrame | None, max_flows: int, timeout_us: int = 0) -> DataFrame:
@@ -160,7 +163,7 @@ def admitted(packets: DataFrame, swept: DataFrame | None, max_flows: int, timeou
         marks = swept.withColumn("region", _span(frame, spans, True)).filter(inside)
         types = {c: numbered.schema[c].dataType for c in KEY}
         rows = rows.unionByName(marks.select(F.col("region").alias("span"), F.lit(1).alias("phase"), "frame_no", F.lit(1).alias("kind"), F.col("sweep_us").alias("ts_us"), *(nothing(t).alias(c) for c, t in types.items()), nothing("long").alias("start")))
-    replayed = cut(_replay(rows, {c: numbered.schema[c].dataType.simpleString() for c in KEY}, max_flows, timeout_us), "replayed")
+    replayed = cut(_replay(rows, {c: numbered.schema[c].dataType.simpleString() for c in KEY}, max_flows, timeout_us, len(spans)), "replayed")
 
     # All other frames: after a span flows go on with what was held.
     stops = F.get(F.array(*(F.lit(b) for _, b in spans)), F.col("span") - 1)
@@ -186,6 +189,7 @@ def _reason() -> Column:
 
 def _told(frames: DataFrame, ends: DataFrame) -> DataFrame:
     """Frames with the number and end of their life; a life is told by its key and first frame."""
-    one = ends.groupBy(*KEY, "start").agg(F.max(F.struct("expired_us", "reason")).alias("end"))
+    # Dealt first: hardly any life has two rows, so aggregates ahead of the exchange would only sort what a task reads.
+    one = ends.repartition(*KEY).groupBy(*KEY, "start").agg(F.max(F.struct("expired_us", "reason")).alias("end"))
     lives = one.select(*KEY, "start", (F.row_number().over(Window.partitionBy(*KEY).orderBy("start")) - 1).cast("long").alias("instance"), F.col("end.expired_us").alias("ended_us"), F.col("end.reason").alias("reason"))
     return frames.join(lives, [*KEY, "start"]).select("frame_no", *KEY, "instance", "ended_us", "reason")
